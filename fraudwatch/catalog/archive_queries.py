@@ -237,7 +237,7 @@ def r17_parse_responses(spark, folder):
             (p0 + coalesce(p1, 0) + p2) / (2 + CAST(p1 IS NOT NULL AS INTEGER)) AS conf FROM hit),
           g AS (SELECT *, {CANONICAL_SQL} AS kind FROM f)
         SELECT msg_key, stamp AS intercept_time, mailbox AS user_mailbox, substr(props, 1, 60) || '...' AS raw_content_summary,
-          kind AS fraud_type, printf('%.3f', conf) AS confidence,
+          kind AS fraud_type, printf('%.6f', conf) AS confidence_avg,
           stamp || ' ' || kind || '：{fixed.REPLY_UNAVAILABLE}' AS user_alert_content,
           '{fixed.DEFAULT_ADVICE}' AS similar_cases_suggest FROM g""",
 )
@@ -245,11 +245,7 @@ def r18_template_report(spark, folder):
     detected = detected_mail(spark, folder)
     confidence = S.mean_confidence(F.col("scores"))
     filled = replies.template_report(detected, F.col("sent_at"), confidence)
-    names = ["intercept_time", "user_mailbox", "raw_content_summary", "fraud_type", "user_alert_content",
-             "similar_cases_suggest"]
-    return filled.select(
-        "msg_key", *[f"data.{n}" for n in names], F.format_string("%.3f", confidence).alias("confidence")
-    )
+    return filled.select("msg_key", *[f"data.{name}" for name in fixed.ARCHIVE_FIELDS])
 
 
 @query("r19_new_counts", f"WITH {MSG} SELECT mailbox, count(*) AS new_count FROM msg GROUP BY mailbox")

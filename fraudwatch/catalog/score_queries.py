@@ -140,7 +140,7 @@ def e10_score_flags(spark, folder):
     "m5_parse_generated",
     f"""WITH {MSG}, answer AS (SELECT msg_key, trim(CASE event_type WHEN 'click' THEN tname WHEN 'purchase' THEN '这是' || tname
             WHEN 'view' THEN '电信诈骗' WHEN 'signup' THEN '正常' ELSE '' END, ' ' || chr(10)) AS t FROM msg)
-        SELECT msg_key, CASE WHEN contains(t, '诈骗') THEN 1.0 ELSE 0.0 END AS prob,
+        SELECT msg_key, CASE WHEN contains(t, '诈骗') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prob,
           CASE WHEN contains(t, '公检法诈骗') OR contains(t, '贷款诈骗') OR contains(t, '客服诈骗') OR contains(t, '熟人诈骗') THEN t
                WHEN contains(t, '诈骗') THEN '疑似诈骗' ELSE '正常' END AS type FROM answer""",
 )

@@ -38,9 +38,9 @@ def fit_stage1(df: DataFrame, rounds: int = 300, depth: int = 5, rate: float = 0
     """Cost-weighted boosted trees on ``features`` and ``stage1_label``."""
     booster = GBTClassifier(
         labelCol="stage1_label", weightCol="cost_weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        seed=SEED, probabilityCol="probability1", **_columns(1), **more,
+        seed=SEED, featuresCol="features", predictionCol="prediction1", **more,
     )
-    return booster.fit(df)
+    return booster.setRawPredictionCol("raw1").setProbabilityCol("probability1").fit(df)
 
 
 def fit_stage2(df: DataFrame, rounds: int = 150, depth: int = 5, rate: float = 0.1, **more):
