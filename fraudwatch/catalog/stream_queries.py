@@ -12,7 +12,7 @@ DRAIN = {"drain": True}
 
 
 def message_stream(spark, folder):
-    path = f"{folder.rstrip('/')}/events.parquet"
+    path = f"{folder.rstrip('/')}/events.parquet*"  # a glob matches one file or a folder of parts
     return as_messages(detect.read_messages(spark, path, table(spark, folder, "events").schema))
 
 

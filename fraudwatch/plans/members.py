@@ -46,6 +46,7 @@ def fit_stage1(df: DataFrame, rounds: int = 300, depth: int = 5, rate: float = 0
 def fit_stage2(df: DataFrame, rounds: int = 150, depth: int = 5, rate: float = 0.1, **more):
     """One boosted model per scam class, on scam rows only."""
     booster = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED, **more)
+    booster.setRawPredictionCol("raw2")
     vs_rest = OneVsRest(classifier=booster, labelCol="stage2_label", **_columns(2))
     return vs_rest.fit(df)
 
