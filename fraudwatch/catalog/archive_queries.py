@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from fraudwatch import fixed
 from fraudwatch.catalog.inputs import (
-    ARCHIVED_TYPE, MSG, REG, REP, TODAY, choose, messages, registry, reports, scored, seconds, seconds_sql, table,
+    ARCHIVED_TYPE, MEMBERS, MSG, REG, REP, TODAY, choose, messages, registry, reports, scored, seconds, seconds_sql,
+    slots, table,
 )
 from fraudwatch.catalog.registry import query
 from fraudwatch.catalog.score_queries import CANONICAL_SQL
@@ -152,10 +153,8 @@ def r15_type_distribution_full(spark, folder):
 
 def detected_mail(spark, folder):
     """Detected messages with mail fields; probabilities keep four places."""
-    rounded = F.transform(
-        "scores", lambda s: F.struct(s["ord"], s["model"], F.round(s["prob"], 4).alias("prob"), s["type"], s["error"])
-    )
-    return ensemble.detect(scored(spark, folder).withColumn("scores", rounded)).withColumns(
+    rounded = F.array(*[s.withField("prob", F.round(s["prob"], 4)) for s in slots()])
+    return ensemble.detect(scored(spark, folder).withColumn("scores", rounded), len(MEMBERS)).withColumns(
         {"from": F.concat("event_type", F.lit("@sender.example")), "subject": F.col("event_type"),
          "body": F.col("props"), "date": F.date_format("sent_at", "yyyy-MM-dd")}
     )
@@ -243,7 +242,7 @@ def r17_parse_responses(spark, folder):
 )
 def r18_template_report(spark, folder):
     detected = detected_mail(spark, folder)
-    confidence = S.mean_confidence(F.col("scores"))
+    confidence = S.mean_confidence(slots())
     filled = replies.template_report(detected, F.col("sent_at"), confidence)
     return filled.select("msg_key", *[f"data.{name}" for name in fixed.ARCHIVE_FIELDS])
 

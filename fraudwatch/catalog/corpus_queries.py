@@ -199,7 +199,7 @@ GRAMS = r"""ch AS (SELECT msg_key, unnest(c) AS c1, unnest(range(len(c))) AS pos
 
 @query("f1_char_ngrams", f"WITH {DOC}, src AS (SELECT msg_key, content FROM doc), {GRAMS} SELECT msg_key, gram, tf FROM tf")
 def f1_char_ngrams(spark, folder):
-    rows = features.gram_rows(corpus(spark, folder), "msg_key", "content")
+    rows = features.gram_rows(corpus(spark, folder, heavy=True), "msg_key", "content")
     return rows.withColumn("tf", F.col("tf").cast("bigint"))
 
 
@@ -209,12 +209,12 @@ def f1_char_ngrams(spark, folder):
         SELECT gram, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM tf GROUP BY gram ORDER BY tf DESC, gram LIMIT {MAX_TERMS}""",
 )
 def f2_top_terms(spark, folder):
-    return features.top_terms(corpus(spark, folder), "msg_key", "content", MAX_TERMS)
+    return features.top_terms(corpus(spark, folder, heavy=True), "msg_key", "content", MAX_TERMS)
 
 
 def parts(spark, folder):
     """Train and test corpus of the ordered split."""
-    docs = splits.split_tail(corpus(spark, folder), "class_id", "msg_key")
+    docs = splits.split_tail(corpus(spark, folder, heavy=True), "class_id", "msg_key")
     return docs.filter("split = 'train'"), docs.filter("split = 'test'")
 
 
@@ -313,7 +313,7 @@ def f8_index_labels(spark, folder):
     """Dictionary, then the inverse; some ids asked for are not in it."""
     docs = corpus(spark, folder).select("msg_key", "source", "lang")
     dictionary = features.index_labels(docs, "msg_key", "source")
-    asked = docs.join(dictionary, "source").withColumn(
+    asked = features.apply_labels(docs, dictionary, "source").withColumn(
         "asked_id", F.when(F.col("lang") == "es", F.col("label_id") + 10).otherwise(F.col("label_id"))
     )
     named = features.name_labels(asked, dictionary, "source", "asked_id")

@@ -8,7 +8,9 @@ its SQL counterpart below it.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fraudwatch import fixed, schemas
+from fraudwatch.functions import scores as S
 from fraudwatch.operators import ensemble, reports as R
+from fraudwatch.session import spread
 
 TODAY = "2024-01-30"
 CLASS_OF_EVENT = {"error": 0, "click": 1, "purchase": 2, "view": 3, "signup": 4}
@@ -77,15 +79,22 @@ PRED_SQL = f"""{MSG}, pred AS (
   SELECT *, props AS content, CASE WHEN p0 >= 0.85 THEN k // 25 + 1 ELSE 0 END AS predicted FROM msg)"""
 
 
+MEMBERS = ["boosted", "presence", "semantic"]
+
+
+def slots() -> list[Column]:
+    return S.slots(F.col("scores"), len(MEMBERS))
+
+
 def members() -> list[ensemble.Member]:
     kind = choose("event_type", TYPE_OF_EVENT)
     value = F.col("value")
     failed = F.when(F.col("event_type") == "error", F.lit(FAILURE))
     numbered = F.concat(kind, F.lit(" ("), F.col("class_id").cast("string"), F.lit(")"))
     return [
-        ("boosted", lambda: (value / (value + 5), kind, None)),
-        ("presence", lambda: (F.col("k") / F.lit(100.0), numbered, failed)),
-        ("semantic", lambda: (value / (value + 20), kind, None)),
+        (MEMBERS[0], lambda: (value / (value + 5), kind, None)),
+        (MEMBERS[1], lambda: (F.col("k") / F.lit(100.0), numbered, failed)),
+        (MEMBERS[2], lambda: (value / (value + 20), kind, None)),
     ]
 
 
@@ -110,7 +119,7 @@ def archive_data() -> Column:
 
 
 def as_reports(scored_messages: DataFrame) -> DataFrame:
-    detected = ensemble.detect(scored_messages)
+    detected = ensemble.detect(scored_messages, len(MEMBERS))
     return R.build_reports(detected, "msg_key", F.col("sent_at"), archive_data())
 
 
@@ -138,8 +147,10 @@ REG = """reg AS (SELECT 'user' || c_custkey || '@example.com' AS email, c_nation
   FROM customer)"""
 
 
-def corpus(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select(
+def corpus(spark, folder, heavy: bool = False) -> DataFrame:
+    """Documents as a corpus; for ``heavy`` text work a small table uses all cores."""
+    rows = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return (spread(rows) if heavy else rows).select(
         F.col("doc_id").alias("msg_key"),
         F.col("text").alias("content"),
         choose("lang", CLASS_OF_LANG, 4).cast("int").alias("class_id"),

@@ -123,7 +123,7 @@ def e1_member_ensemble(spark, folder):
     for member in (boosted(spark, folder), presence(spark, folder)):
         rows = member.score(rows).withColumnsRenamed({"prob": f"{member.name}_prob", "stage2": f"{member.name}_stage2"})
     score = lambda i, name: S.score(i, name, F.col(f"{name}_prob"), labels.class_name(F.col(f"{name}_stage2") + 1))
-    verdict = S.verdict(F.array(score(0, "boosted"), score(1, "presence")))
+    verdict = S.verdict([score(0, "boosted"), score(1, "presence")])
     return rows.select("msg_key", "class_id", verdict.alias("v")).select(
         "msg_key", "class_id", "v.is_fraud", F.array_join("v.trigger_models", ",").alias("trigger_models")
     )

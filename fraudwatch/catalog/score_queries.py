@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fraudwatch.catalog.inputs import (
-    ARCHIVED_TYPE, MSG, PRED_SQL, REP, SCORE, choose, messages, reports, scored, table,
+    ARCHIVED_TYPE, MEMBERS, MSG, PRED_SQL, REP, SCORE, choose, messages, reports, scored, slots, table,
 )
 from fraudwatch.catalog.registry import query
 from fraudwatch.functions import labels, scores as S
@@ -24,7 +24,7 @@ def e1_score_all(spark, folder):
     f"WITH {SCORE} SELECT msg_key, bool_or(coalesce(prob >= 0.85, FALSE)) AS is_fraud FROM score GROUP BY msg_key",
 )
 def e2_vote(spark, folder):
-    return scored(spark, folder).select("msg_key", S.any_reaches(F.col("scores")).alias("is_fraud"))
+    return scored(spark, folder).select("msg_key", S.any_reaches(slots()).alias("is_fraud"))
 
 
 @query(
@@ -42,7 +42,7 @@ def e2_vote_long(spark, folder):
 )
 def e3_triggers(spark, folder):
     return scored(spark, folder).select(
-        "msg_key", F.array_join(S.trigger_models(F.col("scores")), ",").alias("trigger_models")
+        "msg_key", F.array_join(S.trigger_models(slots()), ",").alias("trigger_models")
     )
 
 
@@ -52,7 +52,7 @@ def e3_triggers(spark, folder):
         FROM score WHERE error IS NULL""",
 )
 def e4_details(spark, folder):
-    detected = ensemble.detect(scored(spark, folder))
+    detected = ensemble.detect(scored(spark, folder), len(MEMBERS))
     exploded = detected.select("msg_key", F.explode_outer("detection.details").alias("model", "d"))
     return exploded.select("msg_key", "model", SIX("d.prob", "prob"), F.col("d.type").alias("type"))
 
@@ -67,11 +67,11 @@ def e5_failed_member(spark, folder):
     """Scores stored by separate jobs; nobody scored the ``view`` messages."""
     all_messages = messages(spark, folder)
     long = ensemble.to_long(scored(spark, folder).filter("event_type <> 'view'"), "msg_key")
-    gathered = ensemble.from_long(all_messages.select("msg_key"), long, "msg_key")
+    gathered = ensemble.from_long(all_messages.select("msg_key"), long, "msg_key", MEMBERS)
     return gathered.select(
         "msg_key",
-        S.any_reaches(F.col("scores")).alias("is_fraud"),
-        F.size(S.answered(F.col("scores"))).cast("bigint").alias("voters"),
+        S.any_reaches(slots()).alias("is_fraud"),
+        S.voters(slots()).cast("bigint").alias("voters"),
     )
 
 
@@ -82,7 +82,8 @@ def e5_failed_member(spark, folder):
 )
 def e6_members(spark, folder):
     chosen = scored(spark, folder, ["boosted", "semantic"])
-    return chosen.select("msg_key", S.any_reaches(F.col("scores")).alias("is_fraud"))
+    voted = S.any_reaches(S.slots(F.col("scores"), 2))
+    return chosen.select("msg_key", voted.alias("is_fraud"))
 
 
 CANONICAL_SQL = """CASE WHEN contains(t, '公检法') OR contains(t, '政府机关') THEN '公检法诈骗'
@@ -128,7 +129,7 @@ def e8_top_model(spark, folder):
     f"WITH {SCORE} SELECT msg_key, round(avg(prob), 6) AS confidence_avg FROM score WHERE error IS NULL GROUP BY msg_key",
 )
 def e9_confidence(spark, folder):
-    return scored(spark, folder).select("msg_key", SIX(S.mean_confidence(F.col("scores")), "confidence_avg"))
+    return scored(spark, folder).select("msg_key", SIX(S.mean_confidence(slots()), "confidence_avg"))
 
 
 @query("e10_score_flags", f"WITH {LONG_REP} SELECT id, model, round(prob, 6) AS prob, prob > 0.85 AS high FROM live")

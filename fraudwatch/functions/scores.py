@@ -4,6 +4,9 @@ A message carries its few member scores in one array, so voting, triggers and
 details are row-local: the detection path needs no shuffle.
 """
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, functions as F
 
 from fraudwatch import fixed
@@ -28,35 +31,46 @@ def score(order: int, model: str, prob: Column, scam_type: Column, error: Column
     )
 
 
-def answered(scores: Column) -> Column:
-    """Scores of the members that did not fail."""
-    return F.filter(scores, lambda s: s["error"].isNull() & s["prob"].isNotNull())
+def slots(scores: Column, members: int) -> list[Column]:
+    """The array's elements one by one.
+
+    An ensemble has a fixed, small number of members, so everything below is spelled
+    out per member: the optimiser then drops the array and compiles plain columns.
+    """
+    return [F.get(scores, F.lit(i)) for i in range(members)]
+
+
+def _live(slot: Column) -> Column:
+    """The member answered: it did not fail and was not left out."""
+    return slot["error"].isNull() & slot["prob"].isNotNull()
+
 
+def _hit(slot: Column, threshold: float) -> Column:
+    return slot["error"].isNull() & reaches(slot["prob"], threshold)
 
-def any_reaches(scores: Column, threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
-    return F.exists(answered(scores), lambda s: reaches(s["prob"], threshold))
 
+def any_reaches(scores: list[Column], threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
+    return reduce(or_, [_hit(s, threshold) for s in scores], F.lit(False))
 
-def trigger_models(scores: Column, threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
-    hits = F.filter(answered(scores), lambda s: reaches(s["prob"], threshold))
-    ordered = F.array_sort(F.transform(hits, lambda s: F.struct(s["ord"], s["model"])))
-    return F.transform(ordered, lambda s: s["model"])
 
+def trigger_models(scores: list[Column], threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
+    """Names of the members that reach the threshold, in member order."""
+    none = F.array().cast("array<string>")
+    return F.concat(none, *[F.when(_hit(s, threshold), F.array(s["model"])).otherwise(none) for s in scores])
 
-def details(scores: Column) -> Column:
+
+def details(scores: list[Column]) -> Column:
     """Map from model to its probability and type, in member order."""
-    ordered = F.array_sort(
-        F.transform(answered(scores), lambda s: F.struct(s["ord"], s["model"], s["prob"], s["type"]))
+    none = F.array().cast("array<struct<key:string,value:struct<prob:double,type:string>>>")
+    entry = lambda s: F.struct(
+        s["model"].alias("key"), F.struct(s["prob"].alias("prob"), s["type"].alias("type")).alias("value")
     )
     return F.map_from_entries(
-        F.transform(
-            ordered,
-            lambda s: F.struct(s["model"], F.struct(s["prob"].alias("prob"), s["type"].alias("type"))),
-        )
+        F.concat(none, *[F.when(_live(s), F.array(entry(s))).otherwise(none) for s in scores])
     )
 
 
-def verdict(scores: Column, threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
+def verdict(scores: list[Column], threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
     return F.struct(
         any_reaches(scores, threshold).alias("is_fraud"),
         trigger_models(scores, threshold).alias("trigger_models"),
@@ -64,10 +78,15 @@ def verdict(scores: Column, threshold: float = fixed.FRAUD_THRESHOLD) -> Column:
     )
 
 
-def mean_confidence(scores: Column) -> Column:
-    live = answered(scores)
-    total = F.aggregate(live, F.lit(0.0), lambda acc, s: acc + s["prob"])
-    return F.when(F.size(live) > 0, total / F.size(live))
+def voters(scores: list[Column]) -> Column:
+    """How many members answered."""
+    return reduce(add, [_live(s).cast("int") for s in scores], F.lit(0))
+
+
+def mean_confidence(scores: list[Column]) -> Column:
+    """Mean probability of the members that answered; null when none did."""
+    total = reduce(add, [F.when(_live(s), s["prob"]).otherwise(F.lit(0.0)) for s in scores], F.lit(0.0))
+    return F.try_divide(total, voters(scores))
 
 
 def strongest(details_map: Column) -> Column:

@@ -68,7 +68,7 @@ def char_ngrams(text: Column, shortest: int = 1, longest: int = 3) -> Column:
         return F.concat(*parts)
 
     squeezed = F.regexp_replace(F.lower(text), fixed.SPACE_CLASS + "{2,}", " ")
-    return bind(characters(squeezed), grams)
+    return bind(bind(squeezed, characters), grams)
 
 
 def histogram(items: Column) -> Column:

@@ -30,15 +30,15 @@ def to_long(scored: DataFrame, key: str) -> DataFrame:
     return scored.select(key, F.inline("scores"))
 
 
-def from_long(messages: DataFrame, long_scores: DataFrame, key: str) -> DataFrame:
-    """Gather separately stored scores; a message nobody scored keeps an empty array.
+def from_long(messages: DataFrame, long_scores: DataFrame, key: str, members: list[str]) -> DataFrame:
+    """Gather separately stored scores into one array, a place per member.
 
-    A group holds one row per ensemble member, so its size does not grow.
+    A message nobody scored keeps empty places.
     """
-    fields = ["ord", "model", "prob", "type", "error"]
-    gathered = long_scores.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("scores"))
-    empty = F.array().cast("array<struct<ord:int,model:string,prob:double,type:string,error:string>>")
-    return messages.join(gathered, key, "left").withColumn("scores", F.coalesce("scores", empty))
+    fields = F.struct("ord", "model", "prob", "type", "error")
+    places = [F.first(F.when(F.col("model") == name, fields), ignorenulls=True).alias(name) for name in members]
+    gathered = long_scores.groupBy(key).agg(*places)
+    return messages.join(gathered, key, "left").withColumn("scores", F.array(*members)).drop(*members)
 
 
 def vote(long_scores: DataFrame, key: str, threshold: float = fixed.FRAUD_THRESHOLD) -> DataFrame:
@@ -47,8 +47,9 @@ def vote(long_scores: DataFrame, key: str, threshold: float = fixed.FRAUD_THRESH
     return long_scores.groupBy(key).agg(F.bool_or(voted).alias("is_fraud"))
 
 
-def detect(scored: DataFrame, threshold: float = fixed.FRAUD_THRESHOLD) -> DataFrame:
-    return scored.withColumn("detection", S.verdict(F.col("scores"), threshold))
+def detect(scored: DataFrame, members: int, threshold: float = fixed.FRAUD_THRESHOLD) -> DataFrame:
+    """Add ``detection``, the verdict over the scores of ``members`` members."""
+    return scored.withColumn("detection", S.verdict(S.slots(F.col("scores"), members), threshold))
 
 
 def top_model(reports: DataFrame) -> DataFrame:

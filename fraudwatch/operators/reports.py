@@ -1,6 +1,6 @@
 """Report archive and the aggregates shown on the dashboard."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudwatch import fixed, schemas
 from fraudwatch.functions import labels
@@ -33,12 +33,15 @@ def fraud_type() -> Column:
 
 def archive(reports: DataFrame, path: str) -> None:
     """Append to the archive, one folder per day so that dated reads are pruned."""
-    (
-        reports.withColumn("report_date", F.to_date("timestamp"))
-        .write.mode("append")
-        .partitionBy("report_date")
-        .parquet(path)
-    )
+    by_day(reports).write.mode("append").partitionBy("report_date").parquet(path)
+
+
+def by_day(reports: DataFrame) -> DataFrame:
+    """Bring each day's rows together so that a write makes few files.
+
+    Rebalancing merges small days and cuts a hot day into several tasks.
+    """
+    return reports.withColumn("report_date", F.to_date("timestamp")).hint("rebalance", F.col("report_date"))
 
 
 def read_archive(spark, path: str) -> DataFrame:
@@ -59,6 +62,13 @@ def type_distribution(reports: DataFrame, scam_type: Column | None = None) -> Da
     return reports.groupBy(labels.counted_type(scam_type).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def type_shares(reports: DataFrame, scam_type: Column | None = None) -> DataFrame:
+    """Distribution with each type's share in percent; the total runs over the type rows."""
+    counts = type_distribution(reports, scam_type)
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("share", F.round(F.col("n") * 100 / total, 1))
+
+
 def mailbox_stats(reports: DataFrame, registry: DataFrame) -> DataFrame:
     hits = reports.groupBy(F.col("mailbox").alias("email")).agg(
         F.count(F.lit(1)).alias("intercept_count"), F.max("timestamp").alias("last_hit")

@@ -11,16 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudwatch import fixed
 from fraudwatch.functions import text
-from fraudwatch.session import spread
+from fraudwatch.session import small_side
 
 CODE_POINTS = 0x110000
+MAX_LABELS = 10_000
 
 
 def gram_rows(df: DataFrame, key: str, column: str, shortest: int = 1, longest: int = 3) -> DataFrame:
     """``(key, gram, tf)``, counted inside each row."""
     counted = text.histogram(text.char_ngrams(F.col(column), shortest, longest))
     # The outer form keeps the optimiser from adding a filter that repeats the expression.
-    rows = spread(df.select(key, column)).select(key, F.inline_outer(counted))
+    rows = df.select(key, F.inline_outer(counted))
     return rows.filter(F.col("gram").isNotNull())
 
 
@@ -75,7 +76,7 @@ def tfidf_fit(
 
 def tfidf_vectors(model: TermModel, df: DataFrame, column: str, target: str = "features") -> DataFrame:
     """Sparse L2-normalised vectors, computed row by row without a shuffle."""
-    ready = model.with_grams(spread(df), column)
+    ready = model.with_grams(df, column)
     return model.stages(target=target).transform(ready).drop("grams", "tf", "weighted")
 
 
@@ -103,9 +104,7 @@ def build_vocab(df: DataFrame, key: str, column: str) -> DataFrame:
     There are at most as many rows as Unicode has code points, which also bounds
     the closing window.
     """
-    places = spread(df.select(key, column)).select(
-        key, F.posexplode_outer(text.characters(F.col(column))).alias("pos", "ch")
-    )
+    places = df.select(key, F.posexplode_outer(text.characters(F.col(column))).alias("pos", "ch"))
     firsts = places.filter("ch IS NOT NULL").groupBy("ch").agg(F.min(F.struct(key, "pos")).alias("at"))
     order = F.row_number().over(Window.orderBy("at"))
     return firsts.select("ch", (order + fixed.UNK_ID).alias("id"))
@@ -183,8 +182,13 @@ def index_labels(df: DataFrame, key: str, label: str) -> DataFrame:
     return firsts.select(label, (F.row_number().over(Window.orderBy("at")) - 1).alias("label_id"))
 
 
+def apply_labels(df: DataFrame, dictionary: DataFrame, label: str) -> DataFrame:
+    """Add ``label_id``; labels are few, so no row moves for the lookup."""
+    return df.join(small_side(dictionary, MAX_LABELS), label, "left")
+
+
 def name_labels(df: DataFrame, dictionary: DataFrame, label: str, id_column: str) -> DataFrame:
     """Inverse of ``index_labels``; an unknown id gets the unknown-type name."""
     names = dictionary.select(F.col("label_id").alias(id_column), F.col(label).alias("label_name"))
-    named = df.join(names, id_column, "left")
+    named = df.join(small_side(names, MAX_LABELS), id_column, "left")
     return named.withColumn("label_name", F.coalesce("label_name", F.lit(fixed.UNKNOWN_TYPE)))

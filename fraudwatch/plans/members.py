@@ -21,7 +21,6 @@ from fraudwatch.functions import labels, text
 from fraudwatch.operators.cleaning import fraud_only, stage_labels, weighted
 from fraudwatch.plans.cascade import cascade, scam_probability
 from fraudwatch.plans.features import tfidf_fit
-from fraudwatch.session import spread
 
 SEED = 42
 SCRATCH = [
@@ -82,7 +81,7 @@ class Member:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``prob`` and ``stage2``; both stages run for every message."""
-        ready = self.features.transform(self.prepare(spread(df)))
+        ready = self.features.transform(self.prepare(df))
         scored = self.stage2.transform(self.stage1.transform(ready))
         named = scored.withColumns(
             {"prob": scam_probability(F.col("probability1")), "stage2": F.col("prediction2").cast("int")}
@@ -126,7 +125,7 @@ def _fit(name, train, features, params, first, second) -> Member:
     labelled = stage_labels(weighted(train)).select(
         params["column"], "class_id", "stage1_label", "stage2_label", "cost_weight"
     )
-    ready = features.transform(_prepare(spread(labelled), params))
+    ready = features.transform(_prepare(labelled, params))
     ready = ready.select("features", "class_id", "stage1_label", "stage2_label", "cost_weight")
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -176,7 +175,7 @@ def fit_semantic(
     else:
         params = {"kind": "characters", "column": column}
         learner = Word2Vec(vectorSize=size, minCount=1, inputCol="tokens", outputCol="features", seed=SEED)
-        features = PipelineModel([learner.fit(_prepare(spread(train.select(column)), params))])
+        features = PipelineModel([learner.fit(_prepare(train.select(column), params))])
     return _fit(
         "semantic", train, features, params,
         lambda df: fit_linear1(df, iterations), lambda df: fit_linear2(df, iterations),

@@ -26,13 +26,13 @@ def header_text(value) -> str:
         return str(value)
 
 
-def part_text(part) -> str:
-    """Decoded text of one part; empty when it has none or its charset is unknown."""
+def part_text(part) -> str | None:
+    """Decoded text of one part; none without a payload or with an unknown charset."""
     try:
-        raw = part.get_payload(decode=True) or b""
-        return raw.decode(part.get_content_charset() or "utf-8", "ignore")
+        raw = part.get_payload(decode=True)
+        return raw.decode(part.get_content_charset() or "utf-8", "ignore") if raw else None
     except Exception:
-        return ""
+        return None
 
 
 def body_text(mail) -> str:
@@ -42,13 +42,13 @@ def body_text(mail) -> str:
     mail of a single part is returned as it is, HTML included.
     """
     if not mail.is_multipart():
-        return part_text(mail)
+        return part_text(mail) or ""
     html = ""
     for part in mail.walk():
         if "attachment" in str(part.get("Content-Disposition")):
             continue
         text = part_text(part)
-        if not text:
+        if text is None:
             continue
         kind = part.get_content_type()
         if kind == "text/plain":

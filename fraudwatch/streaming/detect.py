@@ -75,7 +75,7 @@ def archive_sink(build: Callable[[DataFrame], DataFrame], path: str) -> Callable
                 (F.col("batch_id") != batch) & F.col("report_date").between(days["first"], days["last"])
             )
             fresh = reports.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
-            write_batch(fresh, path, batch, by="report_date")
+            write_batch(fresh.hint("rebalance", F.col("report_date")), path, batch, by="report_date")
         finally:
             reports.unpersist()
 
