@@ -10,7 +10,7 @@ from operator import add, or_
 from pyspark.sql import Column, functions as F
 
 from fraudwatch import fixed
-from fraudwatch.functions.text import quoted
+from fraudwatch.functions.text import bind, quoted
 
 
 def reaches(prob: Column, threshold: float = fixed.FRAUD_THRESHOLD, inclusive: bool = True) -> Column:
@@ -106,9 +106,11 @@ def detection_json(detection: Column) -> Column:
     """The verdict as JSON indented by two spaces, keys in stored order."""
 
     def block(items, opening, closing, indent):
-        lines = F.array_join(items, ",\n")
-        full = F.concat(F.lit(opening + "\n"), lines, F.lit("\n" + " " * indent + closing))
-        return F.when(F.size(items) == 0, F.lit(opening + closing)).otherwise(full)
+        full = lambda lines: F.concat(F.lit(opening + "\n"), lines, F.lit("\n" + " " * indent + closing))
+        return bind(
+            F.array_join(items, ",\n"),
+            lambda lines: F.when(lines == "", F.lit(opening + closing)).otherwise(full(lines)),
+        )
 
     models = F.transform(detection["trigger_models"], lambda m: F.concat(F.lit("    "), quoted(m)))
     members = F.transform(

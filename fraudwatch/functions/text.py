@@ -16,8 +16,7 @@ def bind(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any script."""
-    space = fixed.SPACE_CLASS
-    return F.regexp_replace(text, f"^{space}+|{space}+$", "")
+    return F.btrim(text, F.lit(fixed.SPACE_CHARS))
 
 
 def missing_to_null(text: Column) -> Column:
@@ -98,6 +97,7 @@ def histogram(items: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A JSON string literal."""
-    inside = F.to_json(F.array(text))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+    """A JSON string literal; the JSON writer is used only where something needs escaping."""
+    escaped = F.btrim(F.to_json(F.array(text)), F.lit("[]"))
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(F.rlike(text, F.lit(r'["\\\x00-\x1F]')), escaped).otherwise(plain)

@@ -27,7 +27,8 @@ def score_all(messages: DataFrame, members: list[Member], enabled: list[str] | N
 
 
 def to_long(scored: DataFrame, key: str) -> DataFrame:
-    return scored.select(key, F.inline("scores"))
+    # There is at least one member; the plain form would test the array size per row.
+    return scored.select(key, F.inline_outer("scores"))
 
 
 def from_long(messages: DataFrame, long_scores: DataFrame, key: str, members: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fraudwatch.functions.text import strip
+from fraudwatch.session import small_side
+
+MAX_NEW = 100_000
 
 
 def concat(*frames: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def add_mailboxes(
     """
     blank = strip(F.coalesce(F.col("email"), F.lit(""))) == ""
     firsts = batch.filter(~blank).groupBy("email").agg(F.min(row_key).alias(row_key))
-    accepted = firsts.join(registry.select("email"), "email", "left_anti")
+    accepted = small_side(firsts.join(registry.select("email"), "email", "left_anti"), MAX_NEW)
     added = accepted.select(
         "email",
         at.alias("added_at"),

@@ -104,7 +104,9 @@ def build_vocab(df: DataFrame, key: str, column: str) -> DataFrame:
     There are at most as many rows as Unicode has code points, which also bounds
     the closing window.
     """
-    places = df.select(key, F.posexplode_outer(text.characters(F.col(column))).alias("pos", "ch"))
+    # Distinct characters keep the order in which they appear, and there are few per text.
+    distinct = F.array_distinct(text.characters(F.col(column)))
+    places = df.select(key, F.posexplode_outer(distinct).alias("pos", "ch"))
     firsts = places.filter("ch IS NOT NULL").groupBy("ch").agg(F.min(F.struct(key, "pos")).alias("at"))
     order = F.row_number().over(Window.orderBy("at"))
     return firsts.select("ch", (order + fixed.UNK_ID).alias("id"))
