@@ -6,7 +6,7 @@ Small round counts keep the check short; texts are used whole.
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fraudwatch.catalog.corpus_queries import MAX_TERMS, parts
+from fraudwatch.catalog.corpus_queries import MAX_TERMS, TAIL, parts
 from fraudwatch.catalog.inputs import table
 from fraudwatch.catalog.registry import query
 from fraudwatch.operators import splits
@@ -129,7 +129,7 @@ def e1_member_ensemble(spark, folder):
     )
 
 
-@query("s9_bundle")
+@query("s9_bundle", f"WITH {TAIL} SELECT msg_key, TRUE AS same FROM tail WHERE split = 'test'")
 def s9_bundle(spark, folder):
     """Saved and loaded again: scores must not change."""
     fitted, path = presence(spark, folder), new_path(spark, "bundle")

@@ -1,6 +1,6 @@
 """Report archive and the aggregates shown on the dashboard."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fraudwatch import fixed, schemas
 from fraudwatch.functions import labels
@@ -63,9 +63,9 @@ def type_distribution(reports: DataFrame, scam_type: Column | None = None) -> Da
 
 
 def type_shares(reports: DataFrame, scam_type: Column | None = None) -> DataFrame:
-    """Distribution with each type's share in percent; the total runs over the type rows."""
+    """Distribution with each type's share in percent of all reports."""
     counts = type_distribution(reports, scam_type)
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.round(F.col("n") * 100 / total, 1))
 
 

@@ -32,8 +32,22 @@ def key_order(key: str) -> tuple[Column, list[Column]]:
     return F.col(key).cast("bigint"), [F.col(key)]
 
 
-def group_sizes(df: DataFrame, group: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+def _rows(df: DataFrame, group: str, order: tuple[Column, list[Column]]) -> DataFrame:
+    """Group, position and exact order of every row: all that a split has to read."""
+    position, exact = order
+    return df.select(F.col(group), position.alias("_at"), _exact(exact).alias("_o"))
+
+
+def _exact(columns: list[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
+
+
+def extents(df: DataFrame, group: str, order: tuple[Column, list[Column]]) -> DataFrame:
+    """Row count and position range of each group: one small row per class or file."""
+    found = _rows(df, group, order).groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")
+    )
+    return small_side(found, MAX_GROUPS)
 
 
 def rank_cut(
@@ -46,20 +60,10 @@ def rank_cut(
 ) -> DataFrame:
     """``(group, cut)``: the order struct of the row at rank ``k`` of each group.
 
-    ``ranks`` holds ``(group, k)``; groups with ``k`` = 0 have no cut.
+    ``ranks`` holds the group extents and ``k``; groups with ``k`` = 0 have no cut.
     """
-    position, exact = order
-    rows = df.select(
-        F.col(group), position.alias("_at"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(exact)]).alias("_o")
-    )
-    zoom = (
-        rows.groupBy(group)
-        .agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("band"))
-        .join(ranks, group)
-        .filter("k > 0")
-        .withColumn("k", F.col("k").cast("bigint"))
-        .select(group, "k", "lo", "hi", "band")
-    )
+    rows = _rows(df, group, order)
+    zoom = ranks.filter("k > 0").select(group, F.col("k").cast("bigint").alias("k"), "lo", "hi", F.col("n").alias("band"))
     zoom = small_side(zoom, MAX_GROUPS)
     while zoom.filter((F.col("band") > rank_rows) & (F.col("hi") > F.col("lo"))).limit(1).count():
         zoom = small_side(_zoom_in(rows, group, zoom, intervals), MAX_GROUPS)
@@ -98,41 +102,44 @@ def _zoom_in(rows: DataFrame, group: str, zoom: DataFrame, intervals: int) -> Da
 
 
 def _upto(df, group, order, sizes, rank, flag, **sizing):
-    """Add ``flag``: the row's rank is at most ``rank`` (an expression over n)."""
-    cuts = rank_cut(df, group, order, sizes.select(group, rank.alias("k")), **sizing)
-    here = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order[1])])
-    joined = df.withColumn("_here", here).join(cuts, group, "left")
+    """Add ``flag``: the row's rank is at most ``rank`` (an expression over the extents)."""
+    cuts = rank_cut(df, group, order, sizes.withColumn("k", rank), **sizing)
+    joined = df.withColumn("_here", _exact(order[1])).join(cuts, group, "left")
     return joined.withColumn(flag, F.coalesce(F.col("_here") <= F.col("cut"), F.lit(False))).drop("_here", "cut")
 
 
-def _label(df):
-    return df.withColumn("split", F.when(F.col("_head"), "train").otherwise("test")).drop("_head")
+def _two_parts(df, group, order, sizes, rank, **sizing):
+    marked = _upto(df, group, order, sizes, rank, "_head", **sizing)
+    return marked.withColumn("split", F.when(F.col("_head"), "train").otherwise("test")).drop("_head")
 
 
-def _sizes(df, group):
-    return small_side(group_sizes(df, group), MAX_GROUPS)
+def _share(ratio: float) -> Column:
+    return F.floor(F.col("n") * F.lit(float(ratio)))
 
 
 def split_head(df: DataFrame, group: str, key: str, ratio: float = 0.9, **sizing) -> DataFrame:
     """Train is the first ⌊ratio·n⌋ rows of each group in key order, test the rest."""
-    rank = F.floor(F.col("n") * F.lit(float(ratio)))
-    return _label(_upto(df, group, key_order(key), _sizes(df, group), rank, "_head", **sizing))
+    order = key_order(key)
+    return _two_parts(df, group, order, extents(df, group, order), _share(ratio), **sizing)
 
 
 def split_tail(df: DataFrame, group: str, key: str, ratio: float = 0.1, **sizing) -> DataFrame:
-    """Test is the last ⌊ratio·n⌋ rows of each group, train the rest."""
-    rank = F.col("n") - F.floor(F.col("n") * F.lit(float(ratio)))
-    return _label(_upto(df, group, key_order(key), _sizes(df, group), rank, "_head", **sizing))
+    """Test is the last ⌊ratio·n⌋ rows of each group, train the rest.
+
+    A group too small for one test row is train in full.
+    """
+    order = key_order(key)
+    return _two_parts(df, group, order, extents(df, group, order), F.col("n") - _share(ratio), **sizing)
 
 
 def split_gap(
     df: DataFrame, group: str, key: str, head: float = 0.9, tail: float = 0.1, **sizing
 ) -> DataFrame:
     """First ⌊head·n⌋ rows train, last ⌊tail·n⌋ rows test, a row between is ``none``."""
-    sizes, order = _sizes(df, group), key_order(key)
-    df = _upto(df, group, order, sizes, F.floor(F.col("n") * F.lit(float(head))), "_head", **sizing)
-    before_tail = F.col("n") - F.floor(F.col("n") * F.lit(float(tail)))
-    df = _upto(df, group, order, sizes, before_tail, "_not_tail", **sizing)
+    order = key_order(key)
+    sizes = extents(df, group, order)
+    df = _upto(df, group, order, sizes, _share(head), "_head", **sizing)
+    df = _upto(df, group, order, sizes, F.col("n") - _share(tail), "_not_tail", **sizing)
     label = F.when(F.col("_head"), "train").when(~F.col("_not_tail"), "test").otherwise("none")
     return df.withColumn("split", label).drop("_head", "_not_tail")
 
@@ -145,28 +152,26 @@ def split_stratified(
     Each class gets the whole part of its share of the train rows; rows left over
     go to the classes with the largest remainders, then by class.
     """
-    sizes = _sizes(df, group)
-    overall = sizes.agg(F.sum("n").alias("total")).first()["total"] or 0
+    order = seeded_order(key, seed)
+    sizes = extents(df, group, order)
+    overall = sizes.agg(F.sum("n")).first()[0] or 0
     train_total = overall - math.ceil(overall * test_ratio)
     share = F.col("n") * F.lit(float(train_total)) / F.lit(float(max(overall, 1)))
     shares = sizes.withColumn("whole", F.floor(share)).withColumn("part", share - F.floor(share))
     left = train_total - (shares.agg(F.sum("whole")).first()[0] or 0)
+    # One row per class, as counted above.
     by_part = Window.orderBy(F.desc(F.round("part", 9)), group)
-    ranks = small_side(
-        shares.withColumn("extra", (F.row_number().over(by_part) <= F.lit(left)).cast("int")).select(
-            group, (F.col("whole") + F.col("extra")).alias("n")
-        ),
-        MAX_GROUPS,
-    )
-    return _label(_upto(df, group, seeded_order(key, seed), ranks, F.col("n"), "_head", **sizing))
+    extra = (F.row_number().over(by_part) <= F.lit(left)).cast("int")
+    sizes = small_side(shares.withColumn("train", F.col("whole") + extra), MAX_GROUPS)
+    return _two_parts(df, group, order, sizes, F.col("train"), **sizing)
 
 
 def split_shuffled(
     df: DataFrame, group: str, key: str, test_ratio: float = 0.1, seed: int = 42, **sizing
 ) -> DataFrame:
     """Shuffle each file with a seed; train is the first ⌊(1 - ratio)·n⌋ rows."""
-    rank = F.floor(F.col("n") * F.lit(1.0 - test_ratio))
-    return _label(_upto(df, group, seeded_order(key, seed), _sizes(df, group), rank, "_head", **sizing))
+    order = seeded_order(key, seed)
+    return _two_parts(df, group, order, extents(df, group, order), _share(1.0 - test_ratio), **sizing)
 
 
 def split_summary(df: DataFrame, group: str) -> DataFrame:

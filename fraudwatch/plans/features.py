@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudwatch import fixed
 from fraudwatch.functions import text
+from fraudwatch.operators.ordering import global_rank
 from fraudwatch.session import small_side
 
 CODE_POINTS = 0x110000
@@ -181,7 +182,8 @@ def flatten_chat(messages: Column) -> Column:
 def index_labels(df: DataFrame, key: str, label: str) -> DataFrame:
     """``(label, label_id)`` from 0 in order of first appearance."""
     firsts = df.groupBy(label).agg(F.min(key).alias("at"))
-    return firsts.select(label, (F.row_number().over(Window.orderBy("at")) - 1).alias("label_id"))
+    ranked = global_rank(firsts, [F.asc("at"), F.asc(label)], "label_id")
+    return ranked.select(label, (F.col("label_id") - 1).cast("int").alias("label_id"))
 
 
 def apply_labels(df: DataFrame, dictionary: DataFrame, label: str) -> DataFrame:

@@ -21,6 +21,7 @@ from fraudwatch.functions import labels, text
 from fraudwatch.operators.cleaning import fraud_only, stage_labels, weighted
 from fraudwatch.plans.cascade import cascade, scam_probability
 from fraudwatch.plans.features import tfidf_fit
+from fraudwatch.session import shared_folder
 
 SEED = 42
 SCRATCH = [
@@ -121,7 +122,11 @@ def _prepare(df: DataFrame, params: dict) -> DataFrame:
 
 
 def _fit(name, train, features, params, first, second) -> Member:
-    """Compute the features once, then fit both stages on them."""
+    """Compute the features once, then fit both stages on them.
+
+    With a checkpoint folder in place boosting cuts its lineage every few rounds.
+    """
+    shared_folder(train.sparkSession)
     labelled = stage_labels(weighted(train)).select(
         params["column"], "class_id", "stage1_label", "stage2_label", "cost_weight"
     )

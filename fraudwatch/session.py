@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", memory: str = "20g") -> SparkSession:
@@ -19,7 +20,6 @@ def local_session(cpus: int | str = "*", memory: str = "20g") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="fraudwatch-"))
         .getOrCreate()
     )
 
@@ -29,14 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of this machine.
     """
-    folder = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    folder = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="fraudwatch-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="fraudwatch-")
+        folder = _local_folders[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
