@@ -150,7 +150,12 @@ REG = """reg AS (SELECT 'user' || c_custkey || '@example.com' AS email, c_nation
 def corpus(spark, folder, heavy: bool = False) -> DataFrame:
     """Documents as a corpus; for ``heavy`` text work a small table uses all cores."""
     rows = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    return (spread(rows) if heavy else rows).select(
+    return as_corpus(spread(rows) if heavy else rows)
+
+
+def as_corpus(documents: DataFrame) -> DataFrame:
+    """Works on a table and on a stream alike."""
+    return documents.select(
         F.col("doc_id").alias("msg_key"),
         F.col("text").alias("content"),
         choose("lang", CLASS_OF_LANG, 4).cast("int").alias("class_id"),

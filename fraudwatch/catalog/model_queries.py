@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from fraudwatch.catalog.corpus_queries import MAX_TERMS, TAIL, parts
 from fraudwatch.catalog.inputs import table
 from fraudwatch.catalog.registry import query
-from fraudwatch.operators import splits
+from fraudwatch.operators import ensemble, splits
 from fraudwatch.plans import members
 from fraudwatch.session import new_path
 
@@ -117,15 +117,11 @@ def m7_cascade_models(spark, folder):
 @query("e1_member_ensemble")
 def e1_member_ensemble(spark, folder):
     """Fitted members score the same messages; the OR vote decides."""
-    from fraudwatch.functions import labels, scores as S
-
-    rows = parts(spark, folder)[1]
-    for member in (boosted(spark, folder), presence(spark, folder)):
-        rows = member.score(rows).withColumnsRenamed({"prob": f"{member.name}_prob", "stage2": f"{member.name}_stage2"})
-    score = lambda i, name: S.score(i, name, F.col(f"{name}_prob"), labels.class_name(F.col(f"{name}_stage2") + 1))
-    verdict = S.verdict([score(0, "boosted"), score(1, "presence")])
-    return rows.select("msg_key", "class_id", verdict.alias("v")).select(
-        "msg_key", "class_id", "v.is_fraud", F.array_join("v.trigger_models", ",").alias("trigger_models")
+    fitted = {"boosted": boosted(spark, folder), "presence": presence(spark, folder)}
+    detected = ensemble.detect(members.score_members(parts(spark, folder)[1], fitted), len(fitted))
+    return detected.select(
+        "msg_key", "class_id", "detection.is_fraud",
+        F.array_join("detection.trigger_models", ",").alias("trigger_models"),
     )
 
 

@@ -69,6 +69,10 @@ def s3_load_dir(spark, folder):
 
 
 def raw_mails(spark, folder):
+    return as_raw_mails(corpus(spark, folder))
+
+
+def as_raw_mails(documents):
     """Documents as base64 mails: single part, HTML then plain, HTML only, or attachment only."""
     body = F.base64(F.encode("content", "UTF-8"))
     coded = lambda kind, extra="": F.concat(
@@ -85,8 +89,9 @@ def raw_mails(spark, folder):
     )
     subject = F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(F.concat(F.lit("贷款"), F.col("source")), "UTF-8")), F.lit("?="))
     head = F.concat(F.lit("From: "), F.col("lang"), F.lit("@example.com\r\nSubject: "), subject,
+                    F.lit("\r\nX-Id: "), F.col("msg_key").cast("string"),
                     F.lit("\r\nDate: Tue, 30 Jan 2024 08:00:00 +0000\r\nMIME-Version: 1.0\r\n"))
-    return corpus(spark, folder).select(
+    return documents.select(
         F.col("msg_key").cast("string").alias("uid"),
         F.lit("box@example.com").alias("mailbox"),
         F.encode(F.concat(head, layout), "UTF-8").alias("raw"),

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from fraudwatch.catalog.inputs import FAILURE, MSG, REP, as_messages, as_reports, members, table
+from fraudwatch import fixed
+from fraudwatch.catalog.inputs import DOC, FAILURE, MSG, REP, as_corpus, as_messages, as_reports, members, table
 from fraudwatch.catalog.registry import query
-from fraudwatch.operators import ensemble
+from fraudwatch.catalog.source_queries import as_raw_mails
+from fraudwatch.operators import ensemble, reports as R
 from fraudwatch.session import new_path
 from fraudwatch.streaming import detect
 
@@ -55,6 +57,34 @@ def w3_detect_stream(spark, folder):
     return spark.read.parquet(out).select("id", "mailbox", F.coalesce("data.fraud_type", F.lit("")).alias("fraud_type"))
 
 
+@query(
+    "w3_intercept",
+    f"""WITH {DOC}, body AS (SELECT lang, source, CASE WHEN class_id = 3 THEN '' ELSE content END AS body FROM doc)
+        SELECT 'box@example.com' AS mailbox, '2024-01-30 08:00:00' AS stamp,
+          round(length(body) / (length(body) + 100.0::DOUBLE), 6) AS prob, count(*) AS n
+        FROM body WHERE length(body) / (length(body) + 100.0::DOUBLE) >= 0.85 GROUP BY ALL""",
+)
+def w3_intercept(spark, folder):
+    """Raw mails from end to end, each delivered twice; the score stands in for a member."""
+    out, bad, state = (new_path(spark, name) for name in ("archive", "bad", "state"))
+    path = f"{folder.rstrip('/')}/documents.parquet*"
+    stored = table(spark, folder, "documents").schema
+    mails = lambda: as_raw_mails(as_corpus(detect.read_messages(spark, path, stored)))
+    size = F.length("body")
+    only = [("length", lambda: (size / (size + F.lit(100.0)), F.lit(fixed.SUSPECTED_TYPE), None))]
+
+    def judge(messages):
+        detected = ensemble.detect(ensemble.score_all(messages, only), 1)
+        return R.build_reports(detected, "uid", F.col("sent_at"))
+
+    _finish(detect.intercept(mails().union(mails()), judge, out, bad, state, **DRAIN))
+    reports = spark.read.parquet(out)
+    prob = F.round(F.col("detection.details")["length"]["prob"], 6)
+    return reports.groupBy(
+        "mailbox", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), prob.alias("prob")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "w4_counters",
     f"WITH {REP} SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(ftype, '未知诈骗') AS type, count(*) AS n FROM rep GROUP BY 1, 2",

@@ -96,6 +96,16 @@ def histogram(items: Column) -> Column:
     return bind(F.sort_array(items), lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s)))
 
 
+def mail_time(date: Column) -> Column:
+    """A mail's Date header as a timestamp; null when it cannot be read.
+
+    The weekday and a trailing zone comment carry nothing and are cut off.
+    """
+    plain = F.regexp_replace(date, r"^\s*[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
+    zoned = F.regexp_replace(plain, r"\s(GMT|UTC?)$", " +0000")
+    return F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
 def quoted(text: Column) -> Column:
     """A JSON string literal; the JSON writer is used only where something needs escaping."""
     escaped = F.btrim(F.to_json(F.array(text)), F.lit("[]"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fraudwatch import fixed
 from fraudwatch.functions import labels, text
+from fraudwatch.functions.scores import score
 from fraudwatch.operators.cleaning import fraud_only, stage_labels, weighted
 from fraudwatch.plans.cascade import cascade, scam_probability
 from fraudwatch.plans.features import tfidf_fit
@@ -116,6 +117,7 @@ def _prepare(df: DataFrame, params: dict) -> DataFrame:
     source = F.col(params["column"])
     if params["kind"] == "vector":
         return df.withColumn("features", array_to_vector(source.cast("array<double>")))
+    source = F.coalesce(source, F.lit(""))
     if params["kind"] == "characters":
         return df.withColumn("tokens", text.characters(source))
     return df.withColumn("grams", text.char_ngrams(source, params["shortest"], params["longest"]))
@@ -187,6 +189,36 @@ def fit_semantic(
     )
 
 
+def load_members(spark: SparkSession, paths: dict[str, str]) -> dict[str, Member | str]:
+    """Saved members by name; one that cannot be loaded is represented by its error."""
+    loaded = {}
+    for name, path in paths.items():
+        try:
+            loaded[name] = Member.load(spark, path)
+        except Exception as error:  # whatever is wrong with one bundle, the others still vote
+            loaded[name] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
+    return loaded
+
+
+def score_members(messages: DataFrame, members: dict[str, Member | str]) -> DataFrame:
+    """Add ``scores`` with a place per member, in the given order.
+
+    Both stages run for every message and the type is kept below the threshold.
+    All members score the same rows one after the other; nothing is shuffled.
+    """
+    kept, places = messages.columns, []
+    for order, (name, member) in enumerate(members.items()):
+        if isinstance(member, str):
+            nothing = F.lit(None)
+            places.append(score(order, name, nothing, nothing.cast("string"), F.lit(member)))
+            continue
+        renamed = {"prob": f"_prob{order}", "stage2": f"_stage{order}"}
+        messages = member.score(messages).withColumnsRenamed(renamed)
+        kind = labels.class_name(F.col(f"_stage{order}") + 1)
+        places.append(score(order, name, F.col(f"_prob{order}"), kind))
+    return messages.select(*kept, F.array(*places).alias("scores"))
+
+
 def score_batch(
     df: DataFrame, inputs: list[Column], loader: Callable, result_type, target: str = "prob",
     batch: int = 128, shapes: list | None = None,

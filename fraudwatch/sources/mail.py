@@ -5,9 +5,10 @@ from email import message_from_bytes
 from email.header import decode_header
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fraudwatch import schemas
+from fraudwatch.functions.text import mail_time
 
 PARSED = T.StructType(schemas.MESSAGE.fields + [T.StructField("error", T.StringType())])
 
@@ -82,6 +83,15 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["uid", "mailbox"]], out], axis=1)[PARSED.names]
 
 
+def content_keyed(raw_mails: DataFrame) -> DataFrame:
+    """Give each mail a key that a later delivery of the same mail shares."""
+    return raw_mails.withColumn("uid", F.sha2("raw", 256))
+
+
+def timed(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("sent_at", mail_time(F.col("date")))
+
+
 def parse_mail(raw_mails: DataFrame) -> DataFrame:
     """``(uid, mailbox, raw)`` to messages; a mail that cannot be read keeps its error."""
     return raw_mails.select("uid", "mailbox", "raw").mapInPandas(_parse_batches, PARSED)

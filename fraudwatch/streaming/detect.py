@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fraudwatch import fixed
 from fraudwatch.functions import labels
 from fraudwatch.operators.reports import fraud_type
+from fraudwatch.sources import mail
 
 
 def read_messages(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -21,7 +22,11 @@ def read_messages(spark: SparkSession, path: str, schema: T.StructType, files_pe
 
 
 def unseen(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated deliveries; state is kept only for the delay."""
+    """Drop repeated deliveries; state is kept only for the delay.
+
+    Rows whose ``time`` lies further back than the delay count as late and go too:
+    pass an arrival time when old messages may still come in.
+    """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -89,6 +94,35 @@ def detect_stream(
     return run_stream(stream, archive_sink(build, path), checkpoint, **trigger)
 
 
+def intercept(
+    raw_mails: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, bad_path: str, checkpoint: str,
+    delay: str = "1 day", **trigger
+) -> StreamingQuery:
+    """Raw mails to archived reports: read, drop repeats, score, archive.
+
+    Repeats are recognised within ``delay`` of their arrival, whatever date a mail
+    claims, so an old mail that arrives late is still scored.  A mail that cannot be
+    read is held in ``bad_path`` and does not stop the others.  ``build`` gets message
+    columns with ``sent_at``, the claimed date or else the arrival.
+    """
+    messages = mail.timed(mail.parse_mail(mail.content_keyed(raw_mails)))
+    arrived = messages.withColumn("arrived_at", F.current_timestamp())
+    fresh = unseen(arrived, ["mailbox", "uid"], "arrived_at", delay).withColumn(
+        "sent_at", F.coalesce("sent_at", "arrived_at")
+    )
+    archive = archive_sink(build, path)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        try:
+            write_batch(rows.filter(F.col("error").isNotNull()), bad_path, batch)
+            archive(rows.filter(F.col("error").isNull()).drop("error"), batch)
+        finally:
+            rows.unpersist()
+
+    return run_stream(fresh, store, checkpoint, **trigger)
+
+
 def running_counts(reports: DataFrame, time: str = "timestamp", scam_type: Column | None = None, delay: str = "1 day"):
     """Streaming count per day and type."""
     scam_type = fraud_type() if scam_type is None else scam_type

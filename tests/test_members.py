@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from fraudwatch.operators import evaluate, splits
+from fraudwatch.operators import ensemble, evaluate, splits
 from fraudwatch.plans import members
 from fraudwatch.session import new_path
 
@@ -65,3 +65,16 @@ def test_batch_model_is_loaded_per_worker(spark):
     frame = spark.createDataFrame([([1.0, 2.0],), ([5.0, 3.0],)], "v array<double>")
     out = members.score_batch(frame, [F.col("v")], loader, T.DoubleType(), shapes=[[2]])
     assert [r["prob"] for r in out.collect()] == [-1.0, 2.0]
+
+
+def test_a_member_that_does_not_load_is_left_out(spark, corpus):
+    fitted = members.fit_presence(corpus.filter("split = 'train'"), "content", buckets=1 << 10, iterations=5)
+    path = new_path(spark, "bundle")
+    fitted.save(path)
+    loaded = members.load_members(spark, {"lost": path + "-none", "presence": path})
+    blank = corpus.select("msg_key", F.when(F.col("msg_key") > 0, F.col("content")).alias("content"))
+    detected = ensemble.detect(members.score_members(blank, loaded), 2)
+    details = [list(r["detection"]["details"]) for r in detected.collect()]
+    assert len(details) == 300 and all(d == ["presence"] for d in details)
+    errors = detected.select(F.col("scores")[0]["error"].alias("e")).distinct().collect()
+    assert len(errors) == 1 and errors[0]["e"]

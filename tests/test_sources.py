@@ -118,3 +118,12 @@ def test_predictions_round_trip(spark):
     rows = [("多\n行", "正常", "贷款诈骗", 0.9), ("a,b", "1", "正常", 0.1)]
     store.write_predictions(spark.createDataFrame(rows, store.PREDICTIONS), path)
     assert tuples(store.read_predictions(spark, path)) == sorted(rows, key=repr)
+
+
+def test_mail_times(one):
+    from fraudwatch.functions.text import mail_time
+
+    at = dt.datetime(2024, 1, 30, 0, 0)
+    for text in ("Tue, 30 Jan 2024 08:00:00 +0800", "30 Jan 2024 00:00:00 GMT", "Tue, 30 Jan 2024 08:00:00 +0800 (CST)"):
+        assert one(mail_time(F.col("t")), t=text) == at
+    assert one(mail_time(F.col("t")), t="yesterday") is None and one(mail_time(F.col("t")), t=None) is None

@@ -85,3 +85,20 @@ def test_interval_trigger(spark):
         assert spark.read.parquet(out).count() == 1
     finally:
         running.stop()
+
+
+def test_mails_from_end_to_end(spark):
+    """An old mail that arrives late is scored, a repeat is not, a broken one is held."""
+    inbox, out, bad, state = (new_path(spark, n) for n in ("inbox", "out", "bad", "state"))
+    raw = lambda subject, date: f"Subject: {subject}\r\nDate: {date}\r\n\r\nbody".encode()
+    old, new = raw("a", "Tue, 2 Jan 2001 08:00:00 +0800"), raw("b", "no date")
+    kind = "uid string, mailbox string, raw binary"
+    for rows in ([("1", "x", new), ("2", "x", old)], [("7", "x", old), ("8", "y", old), ("9", "x", None)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(inbox)
+    score = [("only", lambda: (F.lit(0.9), F.lit("贷款诈骗"), None))]
+    judge = lambda m: R.build_reports(ensemble.detect(ensemble.score_all(m, score), 1), "uid", F.col("sent_at"))
+    detect.intercept(stream(spark, inbox), judge, out, bad, state, drain=True).awaitTermination()
+    stored = spark.read.parquet(out)
+    assert sorted(r["mailbox"] for r in stored.collect()) == ["x", "x", "y"]
+    assert stored.filter("timestamp = TIMESTAMP '2001-01-02 00:00:00'").count() == 2
+    assert spark.read.parquet(bad).count() == 1
