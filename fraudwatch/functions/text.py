@@ -50,24 +50,12 @@ def characters(text: Column) -> Column:
 def char_ngrams(text: Column, shortest: int = 1, longest: int = 3) -> Column:
     """All character n-grams of the lower-cased, space-squeezed text, by length.
 
-    Each length is built from the one before with array zips, so the cost is
-    linear in the text and there is no lookup by position.
+    The pattern looks ahead for n code points and then moves on by one, so matches
+    overlap.  It runs as one compiled call per length, linear in the text.
     """
-
-    def grams(chars):
-        parts, current = [], chars
-        for length in range(1, longest + 1):
-            if length > 1:
-                left = F.greatest(F.size(chars) - (length - 1), F.lit(0))
-                current = F.zip_with(
-                    F.slice(current, 1, left), F.slice(chars, length, left), lambda a, b: F.concat(a, b)
-                )
-            if length >= shortest:
-                parts.append(current)
-        return F.concat(*parts)
-
     squeezed = F.regexp_replace(F.lower(text), fixed.SPACE_CLASS + "{2,}", " ")
-    return bind(bind(squeezed, characters), grams)
+    windows = lambda whole, n: F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return bind(squeezed, lambda whole: F.concat(*[windows(whole, n) for n in range(shortest, longest + 1)]))
 
 
 def histogram(items: Column) -> Column:
