@@ -154,7 +154,7 @@ def m5_parse_generated(spark, folder):
         .otherwise(F.lit(""))
     )
     text = F.concat(F.lit("user\n"), F.col("props"), F.lit("\nassistant\n"), answer, F.lit(" \n"))
-    return messages(spark, folder).select("msg_key", F.inline(F.array(replies.parse_generated(text))))
+    return messages(spark, folder).select("msg_key", F.inline_outer(F.array(replies.parse_generated(text))))
 
 
 @query(

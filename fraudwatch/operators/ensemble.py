@@ -54,8 +54,8 @@ def detect(scored: DataFrame, members: int, threshold: float = fixed.FRAUD_THRES
 
 
 def top_model(reports: DataFrame) -> DataFrame:
-    best = S.strongest(F.col("detection.details"))
-    return reports.select("id", "mailbox", best["model"].alias("model"), best["prob"].alias("prob"))
+    # Unpacked by a generator, the pair is computed once per report.
+    return reports.select("id", "mailbox", F.inline_outer(F.array(S.strongest(F.col("detection.details")))))
 
 
 def score_flags(reports: DataFrame, threshold: float = fixed.FRAUD_THRESHOLD) -> DataFrame:

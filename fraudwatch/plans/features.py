@@ -89,14 +89,13 @@ def tfidf_long(model: TermModel, df: DataFrame, key: str, column: str) -> DataFr
     """
     terms = F.broadcast(model.table(df.sparkSession))
     raw = gram_rows(df, key, column, model.shortest, model.longest).join(terms, "gram")
+    weighted = F.col("tf") * F.col("idf")
     packed = raw.groupBy(key).agg(
-        F.collect_list(F.struct("gram", (F.col("tf") * F.col("idf")).alias("raw"))).alias("pairs")
-    )
-    norm = F.sqrt(F.aggregate("pairs", F.lit(0.0), lambda acc, p: acc + p["raw"] * p["raw"]))
-    return (
-        packed.select(key, norm.alias("norm"), F.inline("pairs"))
-        .select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+        F.sqrt(F.sum(weighted * weighted)).alias("norm"),
+        F.collect_list(F.struct("gram", weighted.alias("raw"))).alias("pairs"),
     )
+    rows = packed.select(key, "norm", F.inline("pairs"))
+    return rows.select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def build_vocab(df: DataFrame, key: str, column: str) -> DataFrame:
