@@ -91,7 +91,7 @@ def mean_confidence(scores: list[Column]) -> Column:
 
 def strongest(details_map: Column) -> Column:
     """Model with the highest probability above zero; the first name wins a tie."""
-    entries = F.array_sort(
+    entries = F.sort_array(
         F.transform(
             F.map_entries(details_map),
             lambda e: F.struct(e["key"].alias("model"), e["value"]["prob"].alias("prob")),

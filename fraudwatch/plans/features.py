@@ -20,9 +20,8 @@ MAX_LABELS = 10_000
 
 def gram_rows(df: DataFrame, key: str, column: str, shortest: int = 1, longest: int = 3) -> DataFrame:
     """``(key, gram, tf)``, counted inside each row."""
-    counted = text.histogram(text.char_ngrams(F.col(column), shortest, longest))
     # The outer form keeps the optimiser from adding a filter that repeats the expression.
-    rows = df.select(key, F.inline_outer(counted))
+    rows = df.select(key, F.inline_outer(text.gram_histogram(F.col(column), shortest, longest)))
     return rows.filter(F.col("gram").isNotNull())
 
 

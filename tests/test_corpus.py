@@ -128,6 +128,16 @@ def test_grams_count_like_a_loop(spark, values):
         assert got.get(key, Counter()) == python_grams(value, 1, 3)
 
 
+@settings(max_examples=15, deadline=None)
+@given(values=st.lists(texts, min_size=1, max_size=8), piece=st.integers(1, 5))
+def test_counting_in_pieces_changes_nothing(spark, values, piece):
+    frame = spark.createDataFrame(list(enumerate(values)), "key long, content string")
+    counted = frame.select("key", text.gram_histogram(F.col("content"), 1, 3, piece).alias("h"))
+    for row in counted.collect():
+        assert {e["gram"]: e["tf"] for e in row["h"]} == dict(python_grams(values[row["key"]], 1, 3))
+        assert len(row["h"]) == len({e["gram"] for e in row["h"]})
+
+
 def test_grams_of_a_short_text(one):
     assert one(text.char_ngrams(F.col("t")), t="ab") == ["a", "b", "ab"]
     assert one(text.char_ngrams(F.col("t"), 2, 4), t="abc") == ["ab", "bc", "abc"]
