@@ -109,15 +109,16 @@ def gram_histogram(text: Column, shortest: int = 1, longest: int = 3, piece: int
     grows is the number of distinct grams.  Pieces overlap by what a gram that
     starts in one piece may need from the next.
     """
-    count = lambda part, starts=None: histogram(_windows(part, shortest, longest, starts))
 
     def pieces(whole):
         firsts = F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / piece).cast("int"))
         cut = lambda i: F.substring(whole, i * piece + 1, F.lit(piece + longest - 1))
         start = F.array().cast(_COUNTED)
-        return F.aggregate(firsts, start, lambda acc, i: _add_histograms(acc, count(cut(i), piece)))
+        count = lambda i: histogram(_windows(cut(i), shortest, longest, piece))
+        return F.aggregate(firsts, start, lambda acc, i: _add_histograms(acc, count(i)))
 
-    return bind(squeeze(text), lambda whole: F.when(F.length(whole) <= piece, count(whole)).otherwise(pieces(whole)))
+    at_once = histogram(char_ngrams(text, shortest, longest))
+    return F.when(F.length(text) <= piece, at_once).otherwise(bind(squeeze(text), pieces))
 
 
 def mail_time(date: Column) -> Column:
