@@ -29,7 +29,7 @@ def s1_load_corpus(spark, folder):
     rows.withColumn("part", F.col("class_id")).write.partitionBy("part").options(**KEEP).csv(root)
     paths = {f"{root}/part={number}": number for number in range(5)}
     loaded = C.load_corpus(spark, paths)
-    return loaded.select("class_id", F.trim("label").alias("label"), F.md5("content").alias("content_md5"))
+    return loaded.select("class_id", "label", F.md5("content").alias("content_md5"))
 
 
 @query(
