@@ -85,16 +85,6 @@ def m4_semantic_text(spark, folder):
     return _judged(fitted, test)
 
 
-def _linear_model():
-    """Stand-in for a caller's model: fixed weights over 64 inputs."""
-    weights = np.arange(64) % 5 - 2.0
-
-    def predict(inputs: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(inputs.astype(np.float64) @ weights)))
-
-    return predict
-
-
 @query(
     "m8_score_batch",
     """WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)
@@ -102,9 +92,13 @@ def _linear_model():
 )
 def m8_score_batch(spark, folder):
     rows = table(spark, folder, "embeddings")
-    scored = members.score_batch(
-        rows, [F.col("embedding")], _linear_model, T.DoubleType(), shapes=[[64]]
-    )
+
+    def linear_model():
+        """Stand-in for a caller's model: fixed weights over 64 inputs."""
+        weights = np.arange(64) % 5 - 2.0
+        return lambda inputs: 1.0 / (1.0 + np.exp(-(inputs.astype(np.float64) @ weights)))
+
+    scored = members.score_batch(rows, [F.col("embedding")], linear_model, T.DoubleType(), shapes=[[64]])
     return scored.select("vec_id", F.round("prob", 6).alias("prob"))
 
 

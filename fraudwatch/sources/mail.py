@@ -1,15 +1,20 @@
 """Raw mails to message rows."""
 
+import sys
 from collections.abc import Iterator
 from email import message_from_bytes
 from email.header import decode_header
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fraudwatch import schemas
 from fraudwatch.functions.text import mail_time
 
+# The parser travels with the job: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PARSED = T.StructType(schemas.MESSAGE.fields + [T.StructField("error", T.StringType())])
 
 

@@ -115,8 +115,12 @@ def intercept(
     def store(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         try:
-            write_batch(rows.filter(F.col("error").isNotNull()), bad_path, batch)
-            archive(rows.filter(F.col("error").isNull()).drop("error"), batch)
+            # The closing batch of a drained stream is empty, and most batches hold nothing back.
+            found = rows.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad")).first()
+            if found["bad"]:
+                write_batch(rows.filter(F.col("error").isNotNull()), bad_path, batch)
+            if found["good"]:
+                archive(rows.filter(F.col("error").isNull()).drop("error"), batch)
         finally:
             rows.unpersist()
 
