@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fraudwatch.llm import jaccard_join, packing
+from fraudwatch.llm import fingerprints, html_text, jaccard_join, line_dedup, packing, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,14 +25,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_url_filter")
+def op1(spark, folder):
+    judged = url_filter.judge(table(spark, folder, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query("op2_jaccard_join", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' '))) END AS shingles
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles
   FROM w),
 t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
 links AS (
@@ -51,3 +57,59 @@ def op2(spark, folder):
 def op3(spark, folder):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, folder, "documents"), vocabulary, digests=True)
+
+
+@query("op4_sharding", f"""
+WITH h AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+    CAST(('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 15)) AS BIGINT) AS hash
+  FROM documents),
+s AS (
+  SELECT depth, hash >> (60 - depth) AS prefix, sum(bytes) AS shard_bytes FROM h, range(0, 61) r(depth) GROUP BY ALL),
+leaf AS (
+  SELECT doc_id, hash, bytes, min(s.depth) AS depth
+  FROM h JOIN s ON s.prefix = hash >> (60 - s.depth) AND (shard_bytes <= {sharding.LIMIT_BYTES} OR s.depth = 60) GROUP BY ALL)
+SELECT doc_id, bytes, CASE WHEN leaf.depth = 0 THEN '' ELSE left(lpad(bin(hash), 60, '0'), leaf.depth::INT) END AS shard,
+  leaf.depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes
+FROM leaf JOIN s ON s.depth = leaf.depth AND s.prefix = hash >> (60 - leaf.depth)
+""")
+def op4(spark, folder):
+    return sharding.shards(table(spark, folder, "documents")).drop("hash")
+
+
+LINES = """
+WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, coalesce(source, '') AS site, (SELECT max({{'n': length(x), 'line': x}}) FROM unnest(ls) t(x)).line AS body,
+    unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''))) AS line FROM d),
+b AS (SELECT line, body, min(site) AS site FROM l GROUP BY line, body),
+gone AS (SELECT line FROM b GROUP BY line HAVING count(DISTINCT site) >= {sites}),
+x AS (SELECT doc_id, text, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT doc_id, text, i, x.line, gone.line IS NULL AS stays
+  FROM x LEFT JOIN gone ON gone.line = trim(x.line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))),
+t AS (SELECT doc_id, any_value(text) AS old, count(*) AS lines, count(*) FILTER (NOT stays) AS lines_cut,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN old IS NULL THEN 0 ELSE lines END AS lines, CASE WHEN old IS NULL THEN 0 ELSE lines_cut END AS lines_cut,
+  CASE WHEN old IS NOT NULL THEN length(text) END AS n_chars, CASE WHEN old IS NOT NULL THEN md5(text) END AS text_md5 FROM t
+"""
+
+
+@query("op5_line_dedup", LINES.format(sites=line_dedup.MIN_SITES))
+def op5(spark, folder):
+    cut = line_dedup.drop_boilerplate(table(spark, folder, "documents"), counts=True)
+    return cut.select("doc_id", "lines", "lines_cut", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query("op6_fingerprints")
+def op6(spark, folder):
+    return fingerprints.compare(table(spark, folder, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark, folder):
+    kept = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return kept.withColumn("log_weight", F.round("log_weight", 6))
+
+
+@query("op10_html_extraction")
+def op10(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
