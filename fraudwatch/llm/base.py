@@ -1,13 +1,14 @@
 """Pieces that several operators share."""
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fraudwatch.session import settle
 
@@ -17,9 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Rows of eight bytes up to which a table may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Characters of text that a task turns into one block of arrays.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Distinct words whose hashes or ids a task keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def shipped(module: str) -> None:
@@ -36,6 +37,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(settled) if settled.count() <= max_rows else settled
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While jobs run inside, Python workers get Arrow batches of at most this size; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -99,6 +112,3 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for i in range(width):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + count])
     return out
-
-
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fraudwatch.llm import fingerprints, html_text, jaccard_join, line_dedup, packing, quality, sharding, url_filter
+from fraudwatch.llm import fingerprints, html_text, jaccard_join, line_dedup, packing, pieces, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op7(spark, folder):
 @query("op10_html_extraction")
 def op10(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op8_sentencepiece")
+def op8(spark, folder):
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import WordHashes, blocks, mix, shingle_hashes, shipped, word_array
+from fraudwatch.llm.base import WordHashes, blocks, mix, shingle_hashes, shipped, small_batches, word_array
 from fraudwatch.llm.components import connected
 from fraudwatch.session import settle
 
@@ -69,7 +69,9 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """Hashes of every set by bucket: per block of texts and bucket, runs of one set's hashes.
 
     ``head`` holds (set id, set size, hashes here) of each run, ``hashes`` the
-    runs one after the other.  Copies within a block are sent once.
+    runs one after the other.  The bucket comes from a hash's upper 16 bits and
+    its lower 48 are sent, so with many buckets nothing is lost, and with few
+    there is little to confuse.  Copies within a block are sent once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
             hashes = np.concatenate(list(sets.values()))
             owner = np.repeat(np.arange(len(sets)), sizes)
-            bucket = (hashes >> np.uint64(40)).astype(np.int64) % buckets
+            bucket = (hashes >> np.uint64(48)).astype(np.int64) % buckets
             order = np.lexsort((owner, bucket))
             hashes, owner, bucket = hashes[order], owner[order], bucket[order]
             ids = np.fromiter(sets, np.int64, len(sets))
@@ -94,7 +96,8 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(bucket)]):
                 sets_here, runs = np.unique(owner[lo:hi], return_counts=True)
                 head = np.stack([ids[sets_here], sizes[sets_here], runs])
-                for column, value in zip(out, (int(bucket[lo]), head.tobytes(), hashes[lo:hi].tobytes())):
+                low = hashes[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                for column, value in zip(out, (int(bucket[lo]), head.tobytes(), low.tobytes())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
@@ -110,8 +113,11 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, parts = [], []
         for batch in batches:
-            heads += [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column("head").to_pylist()]
-            parts += [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            for bucket, head, low in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "hashes"))):
+                wide = np.zeros((len(low) // 6, 8), np.uint8)
+                wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+                parts.append(wide.view("<u8").ravel() | np.uint64(bucket << 48))
+                heads.append(np.frombuffer(head, np.int64).reshape(3, -1))
         if not parts:
             return
         head, hashes = np.concatenate(heads, axis=1), np.concatenate(parts)
@@ -120,6 +126,15 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
         size = np.zeros(len(sids), np.int64)
         size[of] = head[1]
         owner = np.repeat(of.astype(np.int32), head[2])
+        # Most hashes stand alone: sort values only, then look closer at those that repeat.
+        values = np.sort(hashes)
+        twice = values[1:][values[1:] == values[:-1]]
+        del values
+        if not len(twice):
+            return
+        place = np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)
+        repeats = twice[place] == hashes
+        hashes, owner = hashes[repeats], owner[repeats]
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
         fresh = np.ones(len(hashes), bool)  # a copy of a set repeats its (hash, set)
@@ -131,7 +146,7 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
         shared = count > 1
         hashes, owner, count = hashes[shared], owner[shared], count[shared]
         order = np.argsort(owner, kind="stable")
-        hashes, owner, count = hashes[order], owner[order], count[order].astype(np.int64)
+        hashes, owner, count = hashes[order], owner[order], np.minimum(count[order], 0xFFFFFFFF).astype(np.uint32)
         ends = np.flatnonzero(np.diff(owner)) + 1 if len(owner) else np.zeros(0, np.int64)
         bounds = np.concatenate([[0], ends, [len(owner)]]) if len(owner) else np.zeros(1, np.int64)
         for at in range(0, len(bounds) - 1, 20_000):
@@ -163,7 +178,7 @@ def _ordered(counted: DataFrame, percent: int) -> DataFrame:
                 hashes = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
                 if len(hashes) < _need(n, percent):
                     continue
-                counts = np.concatenate([np.frombuffer(p["counts"], np.int64) for p in parts])
+                counts = np.concatenate([np.frombuffer(p["counts"], np.uint32) for p in parts])
                 hashes = hashes[np.lexsort((hashes, counts))]
                 alone = n - len(hashes)
                 for column, value in zip(out, (sid, n, hashes.tobytes(), n - _need(n, percent) + 1 - alone)):
@@ -221,12 +236,10 @@ def _to_leaders(index: DataFrame, percent: int, seed: int) -> DataFrame:
     """Pairs of a set and the leader of one of its lists, one leader for each hash and block."""
     scramble = F.xxhash64(F.lit(seed), F.col("sid"))
     leaders = index.groupBy("hash", F.col("block").alias("oblock")).agg(
-        F.min(F.struct(scramble.alias("r"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("place").alias("mplace"))).alias("top"),
-        F.count(F.lit(1)).alias("size"),
+        F.min(F.struct(scramble.alias("r"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("place").alias("mplace"))).alias("top")
     )
     leaders = leaders.select("hash", "oblock", "top.other", "top.m", "top.mplace")
-    near = index.withColumn("oblock", F.explode(F.array(F.col("block"), F.col("block") - 1)))
-    met = near.join(leaders, ["hash", "oblock"]).where((F.col("sid") != F.col("other")) & _possible(percent))
+    met = index.join(leaders, "hash").where((F.col("block") - F.col("oblock")).between(-1, 1) & (F.col("sid") != F.col("other")) & _possible(percent))
     return met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
 
@@ -292,19 +305,22 @@ def set_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     of its own lies in one component with others that connect it.
     """
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sets = settle(_ordered(_counted(_dealt(docs, width, buckets), buckets), percent))
-    index = settle(_index(sets, percent))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    with small_batches(spark):
+        sets = settle(_ordered(_counted(_dealt(docs, width, buckets), buckets), percent))
+        index = settle(_index(sets, percent))
     known = links = comps = None
     for seed in range(ROUNDS):
         pairs = _to_leaders(index, percent, seed)
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = settle(_compared(pairs, sets))
+        with small_batches(spark):
+            found = settle(_compared(pairs, sets))
         known = found if known is None else known.unionByName(found)
     comps = connected(known.where(_joins(percent)).select("a", "b"))
     answers = _pivots(known).join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "full_outer")
-    found = _compared(_open_pairs(index, answers, known, percent), sets)
+    with small_batches(spark):
+        found = settle(_compared(_open_pairs(index, answers, known, percent), sets))
     links = known.unionByName(found).where(_joins(percent))
     return links.select("a", "b")
 
@@ -319,7 +335,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     no row of their component has one.  Repeated rows stay.  Columns other than
     doc_id and text are not looked at.  Set and shingle ids are 64-bit hashes.
     """
-    rows = settle(sets_of(docs, width))
+    with small_batches(docs.sparkSession):
+        rows = settle(sets_of(docs, width))
     comps = connected(set_links(docs, width, percent))
     grouped = rows.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
     placed = grouped.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

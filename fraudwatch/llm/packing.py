@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import CACHE_WORDS, blocks, shipped
+from fraudwatch.llm.base import CACHE_WORDS, blocks, shipped, small_batches
 from fraudwatch.operators.ordering import global_rank
 
 shipped(__name__)
@@ -106,5 +106,6 @@ def pack(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int =
     cut = pieces(docs, vocabulary, most, end_id, digests)
     last = "ids_crc32" if digests else "ids"
     order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col(last)]
-    ranked = global_rank(cut, order, "sequence_id")
+    with small_batches(docs.sparkSession):
+        ranked = global_rank(cut, order, "sequence_id")
     return ranked.withColumn("sequence_id", F.col("sequence_id") - 1).withColumn("offset", F.lit(0).cast("bigint"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import WordHashes, blocks, mix, shipped, word_array
+from fraudwatch.llm.base import WordHashes, blocks, mix, shipped, small_batches, word_array
 from fraudwatch.session import settle
 
 shipped(__name__)
@@ -86,7 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = CELLS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["cell", "raw", "target"])
 
     counts = _marked(docs, labels).mapInArrow(run, "cell bigint, raw bigint, target bigint")
-    found = counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    with small_batches(docs.sparkSession):
+        found = counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(size), np.zeros(size)
     raw[found["cell"]], target[found["cell"]] = found["raw"], found["target"]
     if not target.sum():  # without good documents nothing tells the models apart
@@ -183,7 +184,8 @@ class Classifier:
 
 def classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     model = fit(docs, labels)
-    scored = settle(score(docs, labels, model))
+    with small_batches(docs.sparkSession):
+        scored = settle(score(docs, labels, model))
     cut = cut_of(scored)
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     least = kth_largest(scored, "noisy", k) if k else math.inf
