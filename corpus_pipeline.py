@@ -5,12 +5,22 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fraudwatch.llm import jaccard_join, packing
+from fraudwatch.llm import jaccard_join, line_dedup, packing, quality
 from fraudwatch.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier draws; the labels table says what good text is."""
+    return quality.keep(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand on many sites."""
+    return line_dedup.drop_boilerplate(docs).select(*COLUMNS)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest doc_id."""
     components = jaccard_join.components(docs)
@@ -24,11 +34,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", drop_lines),
     ("n-gram Jaccard join", near_copies),
     ("packing", pack),
 ]
 
-#: The classifier's counts and the tokenizer's ids have no SQL form.
+#: Neither the classifier's models nor the tokenizer's ids have an SQL form.
 ORACLE_SQL = None
 
 

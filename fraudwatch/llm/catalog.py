@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fraudwatch.llm import fingerprints, html_text, jaccard_join, line_dedup, packing, pieces, quality, sharding, url_filter
+from fraudwatch.llm import fingerprints, html_text, jaccard_join, line_dedup, packing, pieces, quality, search, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,9 @@ def op10(spark, folder):
 @query("op8_sentencepiece")
 def op8(spark, folder):
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_search")
+def op9(spark, folder):
+    docs = table(spark, folder, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0"))
