@@ -22,10 +22,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest doc_id."""
+    """Keep one document of each group of near copies: the one with the smallest doc_id.
+
+    Repeated rows become one.  A row without doc_id stays if a row without doc_id
+    is all that some group has.
+    """
     components = jaccard_join.components(docs)
-    kept = components.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = components.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

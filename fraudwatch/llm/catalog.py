@@ -79,8 +79,11 @@ def op4(spark, folder):
 
 LINES = """
 WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, coalesce(source, '') AS site, (SELECT max({{'n': length(x), 'line': x}}) FROM unnest(ls) t(x)).line AS body,
-    unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''))) AS line FROM d),
+f AS (SELECT coalesce(source, '') AS site, list_filter(list_distinct(list_transform(ls, lambda x:
+    trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))), lambda x: x <> '') AS full_lines FROM d),
+o AS (SELECT site, full_lines, list_reverse_sort(list_transform(full_lines, lambda x: {{'n': length(x), 'line': x}})) AS sized FROM f),
+u AS (SELECT site, sized, unnest(full_lines) AS line FROM o),
+l AS (SELECT line, site, CASE WHEN line = sized[1].line THEN coalesce(sized[2].line, '') ELSE sized[1].line END AS body FROM u),
 b AS (SELECT line, body, min(site) AS site FROM l GROUP BY line, body),
 gone AS (SELECT line FROM b GROUP BY line HAVING count(DISTINCT site) >= {sites}),
 x AS (SELECT doc_id, text, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),

@@ -19,10 +19,13 @@ LG_K = 11
 NEAR = 0.2
 
 
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
 def line_key(line: Column) -> Column:
     """64-bit hash of a line without the white space around it; null for a blank line."""
-    trimmed = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
-    return F.when(trimmed != "", F.xxhash64(trimmed))
+    return F.when(trimmed(line) != "", F.xxhash64(trimmed(line)))
 
 
 def _lines(text: Column) -> Column:
@@ -32,15 +35,19 @@ def _lines(text: Column) -> Column:
 def spread(docs: DataFrame) -> DataFrame:
     """line, site of every distinct line in every distinct document body, slim.
 
-    Copies of a document are one document: bodies with the same longest line
-    count once, with the smallest of their sites, so that a whole document that
-    many sites copied is not taken for boilerplate.
+    Copies of a document are one document: for a line, documents with the same
+    longest other line count once, with the smallest of their sites, so that a
+    whole document that many sites copied is not taken for boilerplate.
     """
-    keys = F.array_distinct(F.transform(_lines(F.col("text")), line_key))
-    # The body is named by the hash of its longest line, ties by the line itself.
-    longest = F.array_max(F.transform(_lines(F.col("text")), lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
+    full = F.filter(F.array_distinct(F.transform(_lines(F.col("text")), trimmed)), lambda x: x != "")
     site = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    told = docs.select(F.explode(keys).alias("line"), F.xxhash64(longest["line"]).alias("body"), site.alias("site")).where("line IS NOT NULL")
+    told = docs.select(full.alias("full"), site.alias("site"))
+    sized = F.sort_array(F.transform("full", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))), asc=False)
+    told = told.withColumn("longest", F.transform(F.slice(sized, 1, 2), lambda x: x["line"]))
+    told = told.select("site", "longest", F.explode("full").alias("text"))
+    first, second = F.col("longest")[0], F.get("longest", F.lit(1))
+    other = F.when(F.col("text") == first, F.coalesce(second, F.lit(""))).otherwise(first)
+    told = told.select(F.xxhash64("text").alias("line"), F.xxhash64(other).alias("body"), "site")
     return told.groupBy("line", "body").agg(F.min("site").alias("site")).select("line", "site")
 
 
