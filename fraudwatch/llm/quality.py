@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word unigrams and bigrams, one of target text
-(labelled good) and one of all raw text, give every document the logarithm of its
-importance weight, log p_target - log p_raw.  Documents are drawn without
+Two generative models over hashed n-grams, one of target text (labelled good) and
+one of all raw text, give every document the logarithm of its importance weight,
+log p_target - log p_raw.  The n-grams are words, pairs of words, and runs of up to
+three word shapes (case, digits, marks, the word before once more).  Documents are drawn without
 replacement in proportion to their weights: Gumbel noise is added to the
 logarithm and the k largest stay.  k is the number of documents whose weight
 lies on the target's side of a cut found on held-out labelled documents.
@@ -18,17 +19,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import WordHashes, blocks, mix, shipped, small_batches, word_array
+from fraudwatch.llm.base import CACHE_WORDS, WordHashes, blocks, mix, shipped, small_batches, word_array
 from fraudwatch.session import settle
 
 shipped(__name__)
 
 #: Labelled documents used at most, those with the smallest hashes; half of them fit, half find the cut.
 LABELLED_ROWS = 50_000
-#: Cells of the hashed n-gram models.
+#: Cells of the hashed n-gram models, the first of them for shapes.
 CELLS = 1 << 15
-#: Occurrences that every cell is given in advance, spread over the model.
-PRIOR = 1.0
+#: Occurrences by which a cell's target count is drawn towards what raw text would give.
+PRIOR = 50.0
 SEED = 7
 #: Bins of a pass that looks for the k-th largest value.
 BINS = 1024
@@ -43,11 +44,36 @@ class Model:
     ratios: np.ndarray
 
 
-def cells(hashes: WordHashes, text: str | None, size: int = CELLS) -> np.ndarray:
-    """Cells of a text's words and pairs of neighbouring words, in lower case, marks apart from letters."""
-    words = word_array(hashes, TOKEN.findall((text or "").lower()))
+#: Shapes of a word, and how many cells their runs of one to three take.
+LOWER, TITLE, UPPER, MIXED, MARK, MARKS, AGAIN = range(7)
+SHAPES = 8 + 64 + 512
+
+
+def shape_of(word: str) -> int:
+    if word.isalpha():
+        return LOWER if word.islower() else UPPER if word.isupper() and len(word) > 1 else TITLE if word[1:].islower() or len(word) == 1 else MIXED
+    return MIXED if word[0].isalnum() else MARK if len(word) == 1 else MARKS
+
+
+class ShapedHashes(WordHashes):
+    """61 bits of a lower-cased word's hash with its shape in the lowest three."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower()) & ~7 | shape_of(word)
+        return value
+
+
+def cells(hashes: ShapedHashes, text: str | None, size: int = CELLS) -> np.ndarray:
+    """Cells of a text's words, pairs of neighbours, and runs of one to three shapes, marks apart from letters."""
+    both = word_array(hashes, TOKEN.findall(text or ""))
+    shape, words = (both & np.uint64(7)).astype(np.int64), both >> np.uint64(3)
+    shape[1:][words[1:] == words[:-1]] = AGAIN
     pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
-    return (np.concatenate([words, pairs]) >> np.uint64(20)).astype(np.int64) % size
+    hashed = SHAPES + (np.concatenate([mix(words), pairs]) >> np.uint64(20)).astype(np.int64) % (size - SHAPES)
+    two = shape[:-1] * 8 + shape[1:]
+    return np.concatenate([hashed, shape, 8 + two, 72 + two[:-1] * 8 + shape[2:]])
 
 
 def labelled(labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
@@ -73,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = CELLS) -> Model:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = ShapedHashes()
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in blocks(batches, "text"):
             columns = (batch.column(c).to_pylist() for c in ("text", "good", "held"))
@@ -92,10 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = CELLS) -> Model:
     raw[found["cell"]], target[found["cell"]] = found["raw"], found["target"]
     if not target.sum():  # without good documents nothing tells the models apart
         return Model(np.zeros(size))
-    # Both models lean on the raw one where they have seen little.
-    base = (raw + PRIOR) / (raw.sum() + PRIOR * size)
-    smoothed = (target + PRIOR * size * base) / (target.sum() + PRIOR * size)
-    return Model(np.log(smoothed) - np.log(base))
+    # Where little has been seen, the target model leans on the raw one.
+    expected = raw * (target.sum() / raw.sum())
+    return Model(np.log(target + PRIOR) - np.log(expected + PRIOR))
 
 
 def noise(doc_id: int | None, text: str | None, seed: int = SEED) -> float:
@@ -104,7 +129,7 @@ def noise(doc_id: int | None, text: str | None, seed: int = SEED) -> float:
     return -math.log(-math.log((bits + 0.5) / (1 << 53)))
 
 
-def _weights(hashes: WordHashes, model: Model, batch: pa.RecordBatch) -> tuple[list[float], list[float]]:
+def _weights(hashes: ShapedHashes, model: Model, batch: pa.RecordBatch) -> tuple[list[float], list[float]]:
     weights, noisy = [], []
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
         weight = float(model.ratios[cells(hashes, text, len(model.ratios))].sum())
@@ -117,7 +142,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
     """doc_id, good and held of labelled documents, log_weight and noisy (with Gumbel noise) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = ShapedHashes()
         for batch in blocks(batches, "text"):
             weights, noisy = _weights(hashes, model, batch)
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +237,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id, text = names.index("doc_id"), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = ShapedHashes()
         for batch in blocks(batches, "text"):
             slim = pa.RecordBatch.from_arrays([batch.column(doc_id), batch.column(text)], names=["doc_id", "text"])
             _, noisy = _weights(hashes, model, slim)
