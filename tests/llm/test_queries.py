@@ -134,7 +134,7 @@ def test_quality_on_labels(spark, con):
     good = dict(rows(con, "SELECT doc_id, min(quality) FROM labels GROUP BY doc_id"))
     kept = [got[i] for i, q in good.items() if q and i in got]
     bad = [got[i] for i, q in good.items() if not q and i in got]
-    assert sum(kept) / len(kept) > 0.95 and sum(bad) <= 0.2 * len(bad)
+    assert sum(kept) >= 0.98 * len(kept) and sum(bad) <= 0.1 * len(bad)
 
 
 def test_urls(spark, con):
