@@ -9,7 +9,7 @@ from fraudwatch.functions import labels, text
 from fraudwatch.operators import cleaning, splits
 from fraudwatch.plans import features
 
-MAX_TERMS = 1000
+MAX_TERMS = fixed.MAX_TERMS
 
 
 def rated(spark, folder):
@@ -182,6 +182,21 @@ def t5_split_shuffled(spark, folder):
     return splits.split_shuffled(corpus(spark, folder).select("msg_key", "source"), "source", "msg_key")
 
 
+@query(
+    "t2_split_any_key",
+    f"""WITH {DOC}, v AS (SELECT msg_key, CASE WHEN lang = 'es' THEN NULL ELSE class_id END AS grp,
+            CASE WHEN source <> 'src3' THEN source END AS k FROM doc),
+          r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY k NULLS FIRST, msg_key) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM v)
+        SELECT msg_key, CASE WHEN rn <= n - floor(n * 0.1::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r""",
+)
+def t2_split_any_key(spark, folder):
+    """Text keys that repeat or are missing, and a group that is null."""
+    rows = corpus(spark, folder).select(
+        "msg_key", F.when(F.col("lang") != "es", F.col("class_id")).alias("grp"), F.when(F.col("source") != "src3", F.col("source")).alias("k")
+    )
+    return splits.split_tail(rows, "grp", "k", tie="msg_key").select("msg_key", "split")
+
+
 @query("t6_split_summary", f"WITH {TAIL} SELECT class_id, split, count(*) AS n FROM tail GROUP BY class_id, split")
 def t6_split_summary(spark, folder):
     return splits.split_summary(t2_split_tail(spark, folder), "class_id")
@@ -199,7 +214,7 @@ GRAMS = r"""ch AS (SELECT msg_key, unnest(c) AS c1, unnest(range(len(c))) AS pos
 
 @query("f1_char_ngrams", f"WITH {DOC}, src AS (SELECT msg_key, content FROM doc), {GRAMS} SELECT msg_key, gram, tf FROM tf")
 def f1_char_ngrams(spark, folder):
-    rows = features.gram_rows(corpus(spark, folder, heavy=True), "msg_key", "content")
+    rows = features.gram_rows(corpus(spark, folder), "msg_key", "content")
     return rows.withColumn("tf", F.col("tf").cast("bigint"))
 
 
@@ -209,12 +224,12 @@ def f1_char_ngrams(spark, folder):
         SELECT gram, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM tf GROUP BY gram ORDER BY tf DESC, gram LIMIT {MAX_TERMS}""",
 )
 def f2_top_terms(spark, folder):
-    return features.top_terms(corpus(spark, folder, heavy=True), "msg_key", "content", MAX_TERMS)
+    return features.top_terms(corpus(spark, folder), "msg_key", "content", MAX_TERMS)
 
 
 def parts(spark, folder):
     """Train and test corpus of the ordered split."""
-    docs = splits.split_tail(corpus(spark, folder, heavy=True), "class_id", "msg_key")
+    docs = splits.split_tail(corpus(spark, folder), "class_id", "msg_key")
     return docs.filter("split = 'train'"), docs.filter("split = 'test'")
 
 

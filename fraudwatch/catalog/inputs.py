@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fraudwatch import fixed, schemas
 from fraudwatch.functions import scores as S
 from fraudwatch.operators import ensemble, reports as R
-from fraudwatch.session import spread
 
 TODAY = "2024-01-30"
 CLASS_OF_EVENT = {"error": 0, "click": 1, "purchase": 2, "view": 3, "signup": 4}
@@ -128,7 +127,7 @@ def reports(spark, folder) -> DataFrame:
 
 
 REP = f"""{MSG}, rep AS (
-  SELECT sha256(mailbox || '|' || msg_key) AS id, * FROM msg
+  SELECT sha256(length(mailbox) || ':' || mailbox || length(CAST(msg_key AS VARCHAR)) || ':' || msg_key) AS id, * FROM msg
   WHERE p0 >= 0.85 OR coalesce(p1 >= 0.85, FALSE) OR p2 >= 0.85)"""
 
 
@@ -147,10 +146,8 @@ REG = """reg AS (SELECT 'user' || c_custkey || '@example.com' AS email, c_nation
   FROM customer)"""
 
 
-def corpus(spark, folder, heavy: bool = False) -> DataFrame:
-    """Documents as a corpus; for ``heavy`` text work a small table uses all cores."""
-    rows = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    return as_corpus(spread(rows) if heavy else rows)
+def corpus(spark, folder) -> DataFrame:
+    return as_corpus(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def as_corpus(documents: DataFrame) -> DataFrame:

@@ -34,10 +34,11 @@ def to_long(scored: DataFrame, key: str) -> DataFrame:
 def from_long(messages: DataFrame, long_scores: DataFrame, key: str, members: list[str]) -> DataFrame:
     """Gather separately stored scores into one array, a place per member.
 
-    A message nobody scored keeps empty places.
+    A message nobody scored keeps empty places.  Of several scores by one member
+    the greatest counts, whatever order they arrive in.
     """
     fields = F.struct("ord", "model", "prob", "type", "error")
-    places = [F.first(F.when(F.col("model") == name, fields), ignorenulls=True).alias(name) for name in members]
+    places = [F.max(F.when(F.col("model") == name, fields)).alias(name) for name in members]
     gathered = long_scores.groupBy(key).agg(*places)
     return messages.join(gathered, key, "left").withColumn("scores", F.array(*members)).drop(*members)
 

@@ -12,22 +12,31 @@ from fraudwatch.functions.text import contains_either, preview
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: list) -> DataFrame:
-    """Every (true, predicted) cell of the class domain, zeros included."""
+    """Every (true, predicted) cell of the given classes, zeros included, and every other cell that occurs.
+
+    A class outside the list and a missing value are cells of their own, so the
+    counts always sum to the rows.
+    """
     kind = df.schema[truth].dataType.simpleString()
     domain = F.array(*[F.lit(c) for c in classes]).cast(f"array<{kind}>")
     cells = (
         df.sparkSession.range(1)
-        .select(F.explode(domain).alias("truth"))
-        .select("truth", F.explode(domain).alias("predicted"))
+        .select(F.explode(domain).alias("t"))
+        .select("t", F.explode(domain).alias("p"))
+        .withColumn("given", F.lit(True))
     )
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).cast(kind).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return cells.join(counts, ["truth", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = cells.join(counts, F.col("t").eqNullSafe(F.col("truth")) & F.col("p").eqNullSafe(F.col("predicted")), "full_outer")
+    pick = lambda mine, theirs: F.when(F.col("given"), F.col(mine)).otherwise(F.col(theirs))
+    return met.select(
+        pick("t", "truth").alias("truth"), pick("p", "predicted").alias("predicted"), F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def _per_class(cells: DataFrame) -> DataFrame:
-    """True positives, predicted and actual totals of each class, from the cells."""
+    """True positives, predicted and actual totals of each class, a missing value among them, from the cells."""
     sides = cells.select(
         F.explode(
             F.array(
@@ -89,16 +98,20 @@ def report_summary(df: DataFrame, truth: str, predicted: str, classes: list, dig
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+    """Share of rows that are predicted right; a missing prediction is not."""
+    right = F.coalesce(F.col(truth) == F.col(predicted), F.lit(False))
+    return df.agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
 def false_positive_rate(df: DataFrame, truth: str, predicted: str, normal=0) -> DataFrame:
+    """Normal messages, those taken for scam, those without a prediction, and the rate over the predicted ones."""
     is_normal = F.col(truth) == F.lit(normal)
     counts = df.agg(
         F.count_if(is_normal).alias("normals"),
         F.count_if(is_normal & (F.col(predicted) != F.lit(normal))).alias("false_positives"),
+        F.count_if(is_normal & F.col(predicted).isNull()).alias("missing"),
     )
-    return counts.withColumn("rate", F.try_divide(F.col("false_positives"), F.col("normals")))
+    return counts.withColumn("rate", F.try_divide(F.col("false_positives"), F.col("normals") - F.col("missing")))
 
 
 def fp_samples(

@@ -5,9 +5,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fraudwatch.functions.text import strip
-from fraudwatch.session import small_side
-
-MAX_NEW = 100_000
 
 
 def concat(*frames: DataFrame) -> DataFrame:
@@ -33,8 +30,9 @@ def add_mailboxes(
     per address, and joined back by the unique row key, so no join sees a hot key.
     """
     blank = strip(F.coalesce(F.col("email"), F.lit(""))) == ""
-    firsts = batch.filter(~blank).groupBy("email").agg(F.min(row_key).alias(row_key))
-    accepted = small_side(firsts.join(registry.select("email"), "email", "left_anti"), MAX_NEW)
+    usable = ~blank & F.col(row_key).isNotNull()
+    firsts = batch.filter(usable).groupBy("email").agg(F.min(row_key).alias(row_key))
+    accepted = firsts.join(registry.select("email"), "email", "left_anti")
     added = accepted.select(
         "email",
         at.alias("added_at"),
@@ -42,8 +40,8 @@ def add_mailboxes(
         F.lit("active").alias("status"),
         F.lit(0).cast("bigint").alias("intercept_count"),
     )
-    reason = F.when(blank, "blank").otherwise("exists")
-    rejected = batch.join(accepted.select(row_key), row_key, "left_anti").withColumn("reason", reason)
+    reason = F.when(blank, "blank").when(F.col(row_key).isNull(), "no key").otherwise("exists")
+    rejected = batch.join(accepted.select("email", row_key), ["email", row_key], "left_anti").withColumn("reason", reason)
     return added, rejected
 
 

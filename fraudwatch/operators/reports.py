@@ -7,16 +7,26 @@ from fraudwatch.functions import labels
 
 
 def report_id(mailbox: Column, key: Column) -> Column:
-    """Depends only on the message, so building a report twice changes nothing."""
-    return F.sha2(F.concat_ws("|", mailbox, key.cast("string")), 256)
+    """Depends only on the message, so building a report twice changes nothing.
+
+    Each part is told with its length, a missing one as a dash, so no two messages share an id.
+    """
+    told = lambda part: F.coalesce(F.concat(F.length(part).cast("string"), F.lit(":"), part), F.lit("-"))
+    return F.sha2(F.concat(told(mailbox.cast("string")), told(key.cast("string"))), 256)
 
 
 def no_archive() -> Column:
     return F.lit(None).cast(schemas.ARCHIVE)
 
 
-def build_reports(detected: DataFrame, key: str, at: Column, data: Column | None = None) -> DataFrame:
-    """One report per message whose ``detection`` says fraud."""
+def build_reports(
+    detected: DataFrame, key: str, at: Column, data: Column | None = None, claimed: Column | None = None
+) -> DataFrame:
+    """One report per message whose ``detection`` says fraud.
+
+    ``at`` is when it was intercepted; the date the message claims, if given, is kept beside it.
+    """
+    more = [] if claimed is None else [claimed.cast("timestamp").alias("claimed_at")]
     return detected.filter("detection.is_fraud").select(
         report_id(F.col("mailbox"), F.col(key)).alias("id"),
         "mailbox",
@@ -24,6 +34,7 @@ def build_reports(detected: DataFrame, key: str, at: Column, data: Column | None
         at.cast("timestamp").alias("timestamp"),
         "detection",
         (no_archive() if data is None else data).alias("data"),
+        *more,
     )
 
 

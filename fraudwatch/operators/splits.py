@@ -1,115 +1,74 @@
-"""Exact train/test splits without moving or ranking the corpus.
-
-A positional split needs one number per class: the key at a given rank.  That
-key is found by counting rows in key intervals and zooming into the interval
-that holds the rank, until few enough rows are left to rank them directly.  Only
-(class, interval, count) rows are shuffled, so a class that owns a third of the
-corpus costs no more than any other.  The corpus is then labelled by comparing
-its key with the broadcast cut.
-"""
-
-import math
+"""Exact train/test splits without ranking the corpus in one place.
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+Only slim rows (group, key, tie-break) are sorted: range partitions and their
+counts give every row its exact rank, whatever the keys are, so a class that owns
+a third of the corpus is cut over many tasks.  Of the ranks only one row per group
+is kept, the last one of the head, and the corpus is labelled by comparing
+its own (key, tie-break) with that cut.  Rows that are equal in all columns and
+lie across a cut cannot be told apart by value: those alone are ranked as rows.
 
-from fraudwatch.session import small_side
+A group may be null; null keys come first.  Keys may be of any orderable type.
+"""
 
-MAX_GROUPS = 10_000
-INTERVALS = 4096
-RANK_ROWS = 1_000_000
+import math
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def seeded_order(key: str, seed: int) -> tuple[Column, list[Column]]:
-    """A repeatable shuffle: order by the md5 of key and seed, then by key.
+from fraudwatch.operators.ordering import global_rank
+from fraudwatch.session import settle
 
-    Returns a whole number that grows with the order, and the exact order.
-    """
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"), [digest, F.col(key)]
 
+def seeded_order(key: str, seed: int) -> list[Column]:
+    """A repeatable shuffle: order by the md5 of key and seed, then by key."""
+    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)]
 
-def key_order(key: str) -> tuple[Column, list[Column]]:
-    return F.col(key).cast("bigint"), [F.col(key)]
 
+def _order(df: DataFrame, columns: list[Column], tie: str | None) -> Column:
+    """The order as one comparable value; without a tie-break a hash of the whole row decides between equal keys."""
+    last = F.col(tie) if tie else F.xxhash64(*(F.to_json(F.struct(*df.columns)),))
+    return F.struct(*(c.alias(f"o{i}") for i, c in enumerate([*columns, last])))
 
-def _rows(df: DataFrame, group: str, order: tuple[Column, list[Column]]) -> DataFrame:
-    """Group, position and exact order of every row: all that a split has to read."""
-    position, exact = order
-    return df.select(F.col(group), position.alias("_at"), _exact(exact).alias("_o"))
 
+def sizes_of(df: DataFrame, group: str) -> DataFrame:
+    """Row count of each group, a null group included."""
+    return df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
-def _exact(columns: list[Column]) -> Column:
-    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)])
 
+def _ranked(df: DataFrame, group: str, order: Column) -> DataFrame:
+    """g, o and the exact rank of every row within its group, from slim rows."""
+    slim = df.select(F.col(group).alias("g"), order.alias("o"))
+    ranked = global_rank(slim, [F.col("g"), F.col("o")], "all")
+    first = ranked.groupBy("g").agg(F.min("all").alias("first"))
+    met = ranked.join(first.withColumnRenamed("g", "g1"), F.col("g").eqNullSafe(F.col("g1")))
+    return met.select("g", "o", (F.col("all") - F.col("first") + 1).alias("rank"))
 
-def extents(df: DataFrame, group: str, order: tuple[Column, list[Column]]) -> DataFrame:
-    """Row count and position range of each group: one small row per class or file."""
-    found = _rows(df, group, order).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_at").alias("lo"), F.max("_at").alias("hi")
-    )
-    return small_side(found, MAX_GROUPS)
 
+def _label(df: DataFrame, group: str, order: Column, sizes: DataFrame, heads: dict[str, Column]) -> DataFrame:
+    """Add a flag per entry of ``heads``: the row is among the first so many of its group (an expression over n)."""
+    ranked = settle(_ranked(df, group, order))
+    out = df.withColumn("_o", order)
+    for flag, head in heads.items():
+        wanted = sizes.select(F.col("g").alias("g1"), head.cast("bigint").alias("k"))
+        at = ranked.join(wanted, F.col("g").eqNullSafe(F.col("g1"))).where("rank = k").select("g", "o", "k")
+        # Rows equal to the cut: how many there are, and how many of them belong to the head.
+        equal = ranked.join(at.withColumnRenamed("g", "g1").withColumnRenamed("o", "cut"), F.col("g").eqNullSafe(F.col("g1")) & (F.col("o") == F.col("cut")))
+        cut = settle(equal.groupBy("g1", "cut", "k").agg(F.count(F.lit(1)).alias("equal"), (F.first("k") - F.min("rank") + 1).alias("inside")))
+        joined = out.join(cut.drop("k"), F.col(group).eqNullSafe(F.col("g1")), "left")
+        split_here = F.coalesce((F.col("_o") == F.col("cut")) & (F.col("inside") < F.col("equal")), F.lit(False))
+        told = joined.withColumn(flag, F.coalesce(F.col("_o") <= F.col("cut"), F.lit(False)))
+        if cut.where("inside < equal").isEmpty():
+            out = told.drop("g1", "cut", "equal", "inside")
+            continue
+        across = global_rank(joined.where(split_here).withColumn("_turn", F.monotonically_increasing_id()), [F.col("_o"), F.col(group), F.col("_turn")], "_all")
+        start = across.groupBy(F.col(group).alias("g2")).agg(F.min("_all").alias("_start"))
+        across = across.join(start, F.col(group).eqNullSafe(F.col("g2")))
+        across = across.withColumn(flag, F.col("_all") - F.col("_start") < F.col("inside")).drop("_turn", "_all", "_start", "g2")
+        out = told.where(~split_here).unionByName(across).drop("g1", "cut", "equal", "inside")
+    return out.drop("_o")
 
-def rank_cut(
-    df: DataFrame,
-    group: str,
-    order: tuple[Column, list[Column]],
-    ranks: DataFrame,
-    intervals: int = INTERVALS,
-    rank_rows: int = RANK_ROWS,
-) -> DataFrame:
-    """``(group, cut)``: the order struct of the row at rank ``k`` of each group.
 
-    ``ranks`` holds the group extents and ``k``; groups with ``k`` = 0 have no cut.
-    """
-    rows = _rows(df, group, order)
-    zoom = ranks.filter("k > 0").select(group, F.col("k").cast("bigint").alias("k"), "lo", "hi", F.col("n").alias("band"))
-    zoom = small_side(zoom, MAX_GROUPS)
-    while zoom.filter((F.col("band") > rank_rows) & (F.col("hi") > F.col("lo"))).limit(1).count():
-        zoom = small_side(_zoom_in(rows, group, zoom, intervals), MAX_GROUPS)
-
-    inside = rows.join(zoom, group).filter("_at >= lo AND _at <= hi")
-    by_order = Window.partitionBy(group).orderBy("_o")
-    cut = (
-        inside.withColumn("rn", F.row_number().over(by_order))
-        .filter("rn = k")
-        .select(group, F.col("_o").alias("cut"))
-    )
-    return small_side(cut, MAX_GROUPS)
-
-
-def _zoom_in(rows: DataFrame, group: str, zoom: DataFrame, intervals: int) -> DataFrame:
-    """Replace each group's key range by the interval that contains rank ``k``."""
-    width = F.expr(f"(hi - lo) div {intervals} + 1")
-    counted = (
-        rows.join(zoom.withColumn("width", width), group)
-        .filter("_at >= lo AND _at <= hi")
-        .groupBy(group, "k", "lo", "hi", "width", F.expr("(_at - lo) div width").alias("slot"))
-        .agg(F.count(F.lit(1)).alias("band"))
-    )
-    upto = F.sum("band").over(Window.partitionBy(group).orderBy("slot"))
-    return (
-        counted.withColumn("upto", upto)
-        .filter("upto >= k AND upto - band < k")
-        .selectExpr(
-            f"`{group}`",
-            "k - (upto - band) AS k",
-            "lo + slot * width AS lo",
-            "least(hi, lo + (slot + 1) * width - 1) AS hi",
-            "band",
-        )
-    )
-
-
-def _upto(df, group, order, sizes, rank, flag, **sizing):
-    """Add ``flag``: the row's rank is at most ``rank`` (an expression over the extents)."""
-    cuts = rank_cut(df, group, order, sizes.withColumn("k", rank), **sizing)
-    joined = df.withColumn("_here", _exact(order[1])).join(cuts, group, "left")
-    return joined.withColumn(flag, F.coalesce(F.col("_here") <= F.col("cut"), F.lit(False))).drop("_here", "cut")
-
-
-def _two_parts(df, group, order, sizes, rank, **sizing):
-    marked = _upto(df, group, order, sizes, rank, "_head", **sizing)
+def _two_parts(df, group, columns, sizes, head, tie):
+    marked = _label(df, group, _order(df, columns, tie), sizes, {"_head": head})
     return marked.withColumn("split", F.when(F.col("_head"), "train").otherwise("test")).drop("_head")
 
 
@@ -117,61 +76,53 @@ def _share(ratio: float) -> Column:
     return F.floor(F.col("n") * F.lit(float(ratio)))
 
 
-def split_head(df: DataFrame, group: str, key: str, ratio: float = 0.9, **sizing) -> DataFrame:
+def split_head(df: DataFrame, group: str, key: str, ratio: float = 0.9, tie: str | None = None) -> DataFrame:
     """Train is the first ⌊ratio·n⌋ rows of each group in key order, test the rest."""
-    order = key_order(key)
-    return _two_parts(df, group, order, extents(df, group, order), _share(ratio), **sizing)
+    return _two_parts(df, group, [F.col(key)], sizes_of(df, group), _share(ratio), tie)
 
 
-def split_tail(df: DataFrame, group: str, key: str, ratio: float = 0.1, **sizing) -> DataFrame:
+def split_tail(df: DataFrame, group: str, key: str, ratio: float = 0.1, tie: str | None = None) -> DataFrame:
     """Test is the last ⌊ratio·n⌋ rows of each group, train the rest.
 
     A group too small for one test row is train in full.
     """
-    order = key_order(key)
-    return _two_parts(df, group, order, extents(df, group, order), F.col("n") - _share(ratio), **sizing)
+    return _two_parts(df, group, [F.col(key)], sizes_of(df, group), F.col("n") - _share(ratio), tie)
 
 
 def split_gap(
-    df: DataFrame, group: str, key: str, head: float = 0.9, tail: float = 0.1, **sizing
+    df: DataFrame, group: str, key: str, head: float = 0.9, tail: float = 0.1, tie: str | None = None
 ) -> DataFrame:
     """First ⌊head·n⌋ rows train, last ⌊tail·n⌋ rows test, a row between is ``none``."""
-    order = key_order(key)
-    sizes = extents(df, group, order)
-    df = _upto(df, group, order, sizes, _share(head), "_head", **sizing)
-    df = _upto(df, group, order, sizes, F.col("n") - _share(tail), "_not_tail", **sizing)
+    heads = {"_head": _share(head), "_not_tail": F.col("n") - _share(tail)}
+    marked = _label(df, group, _order(df, [F.col(key)], tie), sizes_of(df, group), heads)
     label = F.when(F.col("_head"), "train").when(~F.col("_not_tail"), "test").otherwise("none")
-    return df.withColumn("split", label).drop("_head", "_not_tail")
+    return marked.withColumn("split", label).drop("_head", "_not_tail")
 
 
 def split_stratified(
-    df: DataFrame, group: str, key: str, test_ratio: float = 0.2, seed: int = 42, **sizing
+    df: DataFrame, group: str, key: str, test_ratio: float = 0.2, seed: int = 42, tie: str | None = None
 ) -> DataFrame:
     """Seeded split that keeps class shares: ⌈ratio·n⌉ test rows in all.
 
     Each class gets the whole part of its share of the train rows; rows left over
     go to the classes with the largest remainders, then by class.
     """
-    order = seeded_order(key, seed)
-    sizes = extents(df, group, order)
+    sizes = settle(sizes_of(df, group))
     overall = sizes.agg(F.sum("n")).first()[0] or 0
     train_total = overall - math.ceil(overall * test_ratio)
     share = F.col("n") * F.lit(float(train_total)) / F.lit(float(max(overall, 1)))
-    shares = sizes.withColumn("whole", F.floor(share)).withColumn("part", share - F.floor(share))
+    shares = sizes.withColumn("whole", F.floor(share)).withColumn("part", F.round(share - F.floor(share), 9))
     left = train_total - (shares.agg(F.sum("whole")).first()[0] or 0)
-    # One row per class, as counted above.
-    by_part = Window.orderBy(F.desc(F.round("part", 9)), group)
-    extra = (F.row_number().over(by_part) <= F.lit(left)).cast("int")
-    sizes = small_side(shares.withColumn("train", F.col("whole") + extra), MAX_GROUPS)
-    return _two_parts(df, group, order, sizes, F.col("train"), **sizing)
+    turns = global_rank(shares, [F.desc("part"), F.col("g")], "turn")
+    train = turns.select("g", "n", (F.col("whole") + (F.col("turn") <= left).cast("int")).alias("train"))
+    return _two_parts(df, group, seeded_order(key, seed), train, F.col("train"), tie)
 
 
 def split_shuffled(
-    df: DataFrame, group: str, key: str, test_ratio: float = 0.1, seed: int = 42, **sizing
+    df: DataFrame, group: str, key: str, test_ratio: float = 0.1, seed: int = 42, tie: str | None = None
 ) -> DataFrame:
     """Shuffle each file with a seed; train is the first ⌊(1 - ratio)·n⌋ rows."""
-    order = seeded_order(key, seed)
-    return _two_parts(df, group, order, extents(df, group, order), _share(1.0 - test_ratio), **sizing)
+    return _two_parts(df, group, seeded_order(key, seed), sizes_of(df, group), _share(1.0 - test_ratio), tie)
 
 
 def split_summary(df: DataFrame, group: str) -> DataFrame:

@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fraudwatch import fixed
 from fraudwatch.functions import text
 from fraudwatch.operators.ordering import global_rank
-from fraudwatch.session import small_side
 
 CODE_POINTS = 0x110000
-MAX_LABELS = 10_000
 
 
 def gram_rows(df: DataFrame, key: str, column: str, shortest: int = 1, longest: int = 3) -> DataFrame:
@@ -186,11 +184,11 @@ def index_labels(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def apply_labels(df: DataFrame, dictionary: DataFrame, label: str) -> DataFrame:
     """Add ``label_id``; labels are few, so no row moves for the lookup."""
-    return df.join(small_side(dictionary, MAX_LABELS), label, "left")
+    return df.join(dictionary, label, "left")
 
 
 def name_labels(df: DataFrame, dictionary: DataFrame, label: str, id_column: str) -> DataFrame:
     """Inverse of ``index_labels``; an unknown id gets the unknown-type name."""
     names = dictionary.select(F.col("label_id").alias(id_column), F.col(label).alias("label_name"))
-    named = df.join(small_side(names, MAX_LABELS), id_column, "left")
+    named = df.join(names, id_column, "left")
     return named.withColumn("label_name", F.coalesce("label_name", F.lit(fixed.UNKNOWN_TYPE)))

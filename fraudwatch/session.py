@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -15,6 +15,7 @@ def local_session(cpus: int | str = "*", memory: str = "20g") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("fraudwatch")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -51,25 +52,3 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so later jobs see one version."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when a scan has too few partitions.
-
-    A large input already has more partitions than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
-
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a per-class or per-file table once its size is known.
-
-    The table is computed once.  Up to ``max_rows`` rows it is broadcast; beyond,
-    the join stays an ordinary one that Spark plans from the settled data.
-    """
-    spark = df.sparkSession
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    return settle(df)

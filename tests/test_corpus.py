@@ -52,36 +52,50 @@ def counts(df):
     return {(r["g"], r["split"]): r["n"] for r in splits.split_summary(df, "g").collect()}
 
 
-ZOOM = {"intervals": 3, "rank_rows": 2}
-
-
-@pytest.mark.parametrize("sizing", [{}, ZOOM])
-def test_split_sizes(spark, sizing):
+def test_split_sizes(spark):
     frame = ordered(spark, [10, 15, 9])
-    assert counts(splits.split_head(frame, "g", "key", **sizing)) == {
+    assert counts(splits.split_head(frame, "g", "key")) == {
         (0, "train"): 9, (0, "test"): 1, (1, "train"): 13, (1, "test"): 2, (2, "train"): 8, (2, "test"): 1}
-    assert counts(splits.split_tail(frame, "g", "key", **sizing)) == {
+    assert counts(splits.split_tail(frame, "g", "key")) == {
         (0, "train"): 9, (0, "test"): 1, (1, "train"): 14, (1, "test"): 1, (2, "train"): 9}
-    assert counts(splits.split_gap(frame, "g", "key", **sizing)) == {
+    assert counts(splits.split_gap(frame, "g", "key")) == {
         (0, "train"): 9, (0, "test"): 1, (1, "train"): 13, (1, "none"): 1, (1, "test"): 1, (2, "train"): 8, (2, "none"): 1}
 
 
-@settings(max_examples=6, deadline=None)
+KEYS = [
+    ("long", st.integers(-(2**40), 2**60)), ("double", st.floats(0, 1)), ("string", st.text("abé", max_size=2)), ("long", st.sampled_from([None, 1, 2])),
+]
+
+
+@settings(max_examples=8, deadline=None)
 @given(data=st.data())
-def test_zoomed_cut_equals_a_full_sort(spark, data):
-    """Any intervals and any clustering of keys find the same rows as sorting."""
-    keys = data.draw(st.lists(st.integers(-(2**40), 2**60), min_size=1, max_size=60, unique=True))
-    intervals = data.draw(st.integers(2, 9))
-    frame = spark.createDataFrame([(0, k) for k in keys], "g int, key long")
-    out = splits.split_head(frame, "g", "key", intervals=intervals, rank_rows=1)
-    train = {r["key"] for r in out.filter("split = 'train'").collect()}
-    assert train == set(sorted(keys)[: int(len(keys) * 0.9)])
+def test_cut_equals_a_full_sort(spark, data):
+    """Keys of any type, repeated and missing ones, and a null group are split as sorting splits them."""
+    kind, values = data.draw(st.sampled_from(KEYS))
+    keys = data.draw(st.lists(values, min_size=1, max_size=40))
+    groups = data.draw(st.lists(st.sampled_from([None, 0, 1]), min_size=len(keys), max_size=len(keys)))
+    rows = [(g, k, i) for i, (g, k) in enumerate(zip(groups, keys))]
+    frame = spark.createDataFrame(rows, f"g int, key {kind}, tie long").repartition(3)
+    train = {r["tie"] for r in splits.split_head(frame, "g", "key", tie="tie").filter("split = 'train'").collect()}
+    want = set()
+    for g in set(groups):
+        place = lambda k: (k is not None, (k.encode() if isinstance(k, str) else k) if k is not None else 0)
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (place(r[1]), r[2]))
+        want |= {r[2] for r in own[: int(len(own) * 0.9)]}
+    assert train == want
+
+
+def test_equal_rows_across_the_cut(spark):
+    """Rows that nothing tells apart are still divided in the right numbers."""
+    same = spark.createDataFrame([(0, 5)] * 20 + [(None, None)] * 20, "g int, key int").repartition(4)
+    got = counts(splits.split_tail(same, "g", "key"))
+    assert got == {(0, "train"): 18, (0, "test"): 2, (None, "train"): 18, (None, "test"): 2}
 
 
 def test_seeded_splits(spark):
     frame = ordered(spark, [50, 31, 19])
     by_hash = splits.split_shuffled(frame, "g", "key")
-    again = splits.split_shuffled(frame.repartition(3), "g", "key", **ZOOM)
+    again = splits.split_shuffled(frame.repartition(3), "g", "key")
     assert tuples(by_hash.select("key", "split")) == tuples(again.select("key", "split"))
     other = splits.split_shuffled(frame, "g", "key", seed=7)
     assert tuples(by_hash.select("key", "split")) != tuples(other.select("key", "split"))
@@ -101,7 +115,7 @@ def test_hot_group(spark):
     hot = spark.range(40_000).selectExpr("0 AS g", "id AS key")
     cold = spark.range(80_000).selectExpr("1 + id % 50 AS g", "(id << 33) AS key")
     frame = hot.unionByName(cold.withColumn("g", F.col("g").cast("int")))
-    out = splits.split_head(frame, "g", "key", intervals=16, rank_rows=100)
+    out = splits.split_head(frame, "g", "key")
     bad = out.groupBy("g").agg(
         F.count_if(F.col("split") == "train").alias("train"), F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("split") == "train", F.col("key"))).alias("last"),

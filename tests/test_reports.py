@@ -117,13 +117,20 @@ def test_report_ids_do_not_change(spark):
     assert len(first) == 1 and first == build().collect() and first[0]["status"] == "intercepted"
 
 
+def test_report_ids_differ(spark):
+    boxes = [("a", "b|c"), ("a|b", "c"), ("a", None), (None, "a"), (None, None), ("", ""), ("1:a", "b"), ("a", "1:b")]
+    frame = spark.createDataFrame(boxes, "mailbox string, key string")
+    ids = [r[0] for r in frame.select(R.report_id(F.col("mailbox"), F.col("key"))).collect()]
+    assert len(set(ids)) == len(boxes)
+
+
 def test_insert_if_absent(spark):
     known = registry(spark, "old")
-    batch = spark.createDataFrame([(1, "new"), (2, "old"), (3, "  "), (4, "new"), (5, None)], "row long, email string")
+    batch = spark.createDataFrame([(1, "new"), (2, "old"), (3, "  "), (4, "new"), (5, None), (None, "other")], "row long, email string")
     added, rejected = keyed.add_mailboxes(known, batch, "row", F.to_timestamp(F.lit("2024-01-01")))
     assert added.columns == schemas.MAILBOX.names
     assert [(r["email"], r["intercept_count"]) for r in added.collect()] == [("new", 0)]
-    assert tuples(rejected.select("row", "reason")) == [(2, "exists"), (3, "blank"), (4, "exists"), (5, "blank")]
+    assert tuples(rejected.select("row", "reason")) == [(2, "exists"), (3, "blank"), (4, "exists"), (5, "blank"), (None, "no key")]
 
 
 def test_insert_of_one_hot_address(spark):
@@ -157,6 +164,9 @@ def test_replies(spark):
         assert alert == fixed.REPLY_UNAVAILABLE and data["error"] == fixed.BAD_JSON and data["fraud_type"] is None
     assert out[4][0] == "" and out[4][1]["content"] == "没有代码块"
     assert out[6][0] == "" and out[6][1]["fraud_type"] == "x"
+    broken = ['{"fraud_type":"a"} x }', '{"a":1}{}', '{"a":1},"end":1}', '{"a":1}} {}', "[1]", ""]
+    frame = spark.createDataFrame([(FENCED % x,) for x in broken], "reply string")
+    assert {r["data"]["error"] for r in replies.parse_responses(frame, "reply").collect()} == {fixed.BAD_JSON}
 
 
 def test_prompt_and_template(spark):

@@ -166,11 +166,23 @@ def test_evaluation_by_hand(spark):
     assert summary["macro avg"] == (0.4444, 0.5, 0.3889, 4)
     assert summary["weighted avg"] == (0.5833, 0.5, 0.4583, 4)
     assert evaluate.accuracy(frame, "t", "p").first()[0] == 0.5
-    assert tuple(evaluate.false_positive_rate(frame, "t", "p").first()) == (2, 1, 0.5)
+    assert tuple(evaluate.false_positive_rate(frame, "t", "p").first()) == (2, 1, 0, 0.5)
     assert evaluate.false_positive_rate(frame.filter("t > 0"), "t", "p").first()["rate"] is None
     assert [tuple(r) for r in evaluate.fp_samples(frame, "t", "p", "key").collect()] == [(1, "m2...")]
 
 
+def test_no_row_is_lost(spark):
+    """A class outside the list and a missing prediction are errors, not absences."""
+    frame = spark.createDataFrame([(0, 0), (0, 7), (1, None), (2, 2)], "t int, p int")
+    cells = {(r["truth"], r["predicted"]): r["n"] for r in evaluate.confusion(frame, "t", "p", [0, 1, 2]).collect()}
+    assert len(cells) == 11 and sum(cells.values()) == 4 and cells[0, 7] == 1 and cells[1, None] == 1
+    summary = {r["row"]: tuple(r)[1:] for r in evaluate.report_summary(frame, "t", "p", [0, 1, 2]).collect()}
+    assert summary["accuracy"] == (0.5, 0.5, 0.5, 4)
+    assert evaluate.accuracy(frame, "t", "p").first()[0] == 0.5
+    missing = spark.createDataFrame([(0, 0), (0, 1), (0, None)], "t int, p int")
+    assert tuple(evaluate.false_positive_rate(missing, "t", "p").first()) == (3, 1, 1, 0.5)
+
+
 def test_binary_confusion_at_the_threshold(spark):
     frame = spark.createDataFrame([(1, 0.85), (1, 0.2), (0, math.nan), (0, 0.9)], "t int, p double")
     cells = {(r["truth"], r["predicted"]): r["n"] for r in evaluate.binary_confusion(frame, "t", "p").collect()}
