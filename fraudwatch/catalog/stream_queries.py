@@ -6,7 +6,9 @@ from fraudwatch import fixed
 from fraudwatch.catalog.inputs import DOC, FAILURE, MSG, REP, as_corpus, as_messages, as_reports, members, table
 from fraudwatch.catalog.registry import query
 from fraudwatch.catalog.source_queries import as_raw_mails
+from fraudwatch.functions import scores as S
 from fraudwatch.operators import ensemble, reports as R
+from fraudwatch.plans import replies
 from fraudwatch.session import new_path
 from fraudwatch.streaming import detect
 
@@ -57,15 +59,33 @@ def w3_detect_stream(spark, folder):
     return spark.read.parquet(out).select("id", "mailbox", F.coalesce("data.fraud_type", F.lit("")).alias("fraud_type"))
 
 
+def _halves(spark, folder):
+    """Two streams that share no message and together deliver all of them."""
+    first = F.col("event_type").isin("view", "error")
+    return message_stream(spark, folder).filter(first), message_stream(spark, folder).filter(~first)
+
+
+@query("w3_two_streams", f"WITH {REP} SELECT id, mailbox FROM rep")
+def w3_two_streams(spark, folder):
+    """Two streams with checkpoints of their own fill one archive; both count batches from 0."""
+    out = new_path(spark, "archive")
+    for half in _halves(spark, folder):
+        _finish(detect.detect_stream(half, build, out, new_path(spark, "state"), **DRAIN))
+    return spark.read.parquet(out).select("id", "mailbox")
+
+
 @query(
     "w3_intercept",
     f"""WITH {DOC}, body AS (SELECT lang, source, CASE WHEN class_id = 3 THEN '' ELSE content END AS body FROM doc)
-        SELECT 'box@example.com' AS mailbox, '2024-01-30 08:00:00' AS stamp,
-          round(length(body) / (length(body) + 100.0::DOUBLE), 6) AS prob, count(*) AS n
+        SELECT 'box@example.com' AS mailbox, '2024-01-30 08:00:00' AS claimed, TRUE AS dated_on_arrival,
+          '其它诈骗' AS fraud_type, round(length(body) / (length(body) + 100.0::DOUBLE), 6) AS prob, count(*) AS n
         FROM body WHERE length(body) / (length(body) + 100.0::DOUBLE) >= 0.85 GROUP BY ALL""",
 )
 def w3_intercept(spark, folder):
-    """Raw mails from end to end, each delivered twice; the score stands in for a member."""
+    """Raw mails from end to end, each delivered twice; the score stands in for a member.
+
+    Every report gets its archive record and is dated by its arrival, whatever date the mail claims.
+    """
     out, bad, state = (new_path(spark, name) for name in ("archive", "bad", "state"))
     path = f"{folder.rstrip('/')}/documents.parquet*"
     stored = table(spark, folder, "documents").schema
@@ -75,20 +95,23 @@ def w3_intercept(spark, folder):
 
     def judge(messages):
         detected = ensemble.detect(ensemble.score_all(messages, only), 1)
-        return R.build_reports(detected, "uid", F.col("sent_at"))
+        told = replies.template_report(detected, F.col("arrived_at"), S.mean_confidence(S.slots(F.col("scores"), 1)))
+        return R.build_reports(told, "uid", F.col("arrived_at"), F.col("data"), F.col("sent_at"))
 
+    began = spark.range(1).select(F.current_timestamp()).first()[0]
     _finish(detect.intercept(mails().union(mails()), judge, out, bad, state, **DRAIN))
     reports = spark.read.parquet(out)
     prob = F.round(F.col("detection.details")["length"]["prob"], 6)
     return reports.groupBy(
-        "mailbox", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), prob.alias("prob")
+        "mailbox", F.date_format("claimed_at", "yyyy-MM-dd HH:mm:ss").alias("claimed"),
+        (F.col("timestamp") >= F.lit(began)).alias("dated_on_arrival"), F.col("data.fraud_type").alias("fraud_type"), prob.alias("prob"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "w4_counters",
-    f"WITH {REP} SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(ftype, '未知诈骗') AS type, count(*) AS n FROM rep GROUP BY 1, 2",
-)
+COUNTED = f"WITH {REP} SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(ftype, '未知诈骗') AS type, count(*) AS n FROM rep GROUP BY 1, 2"
+
+
+@query("w4_counters", COUNTED)
 def w4_counters(spark, folder):
     out, state = new_path(spark, "counters"), new_path(spark, "state")
     counts = detect.running_counts(build(message_stream(spark, folder)))
@@ -96,6 +119,30 @@ def w4_counters(spark, folder):
     return detect.latest_counts(spark, out).withColumn("day", F.col("day").cast("string"))
 
 
+@query("w4_two_streams", COUNTED)
+def w4_two_streams(spark, folder):
+    """Counters of two streams add up."""
+    out = new_path(spark, "counters")
+    for half in _halves(spark, folder):
+        _finish(detect.counter_stream(detect.running_counts(build(half)), out, new_path(spark, "state"), **DRAIN))
+    return detect.latest_counts(spark, out).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "w4_any_date",
+    f"""WITH {REP} SELECT CASE event_type WHEN 'view' THEN '1970-01-02' WHEN 'click' THEN '2099-12-31'
+          ELSE strftime(ts, '%Y-%m-%d') END AS day, count(*) AS n FROM rep GROUP BY 1""",
+)
+def w4_any_date(spark, folder):
+    """Reports dated far back and far ahead: every one is counted."""
+    out = new_path(spark, "counters")
+    dated = F.when(F.col("event_type") == "view", F.lit("1970-01-02 00:00:00").cast("timestamp")).when(
+        F.col("event_type") == "click", F.lit("2099-12-31 00:00:00").cast("timestamp")).otherwise(F.col("sent_at"))
+    counts = detect.running_counts(build(message_stream(spark, folder).withColumn("sent_at", dated)))
+    _finish(detect.counter_stream(counts, out, new_path(spark, "state"), **DRAIN))
+    return detect.latest_counts(spark, out).groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n").alias("n"))
+
+
 @query(
     "w5_quarantine",
     f"""WITH {MSG} SELECT msg_key, CASE WHEN event_type = 'error' THEN '{FAILURE}' END AS error,

@@ -1,9 +1,18 @@
-"""Raw mails to message rows."""
+"""Raw mails to message rows.
 
+Spark hands mails to the workers in Arrow batches of bounded bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``), so large mails do not pile up.
+"""
+
+import base64
+import binascii
+import codecs
+import re
 import sys
 from collections.abc import Iterator
 from email import message_from_bytes
-from email.header import decode_header
+from email.message import Message
+from quopri import decodestring
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -17,75 +26,79 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PARSED = T.StructType(schemas.MESSAGE.fields + [T.StructField("error", T.StringType())])
 
-
-def header_text(value) -> str:
-    """An RFC 2047 header as text; bytes that do not decode are dropped."""
-    if value is None:
-        return ""
-    try:
-        pieces = decode_header(value)
-        return "".join(
-            piece.decode(charset or "utf-8", "ignore") if isinstance(piece, bytes) else piece
-            for piece, charset in pieces
-        )
-    except Exception:
-        return str(value)
+#: =?charset?B or Q?text?=, and the white space that only parts two of them.
+WORD = re.compile(r"=\?([^?\s]+)\?([bqBQ])\?([^?]*)\?=")
+BETWEEN = re.compile(r"(\?=)\s+(?==\?[^?\s]+\?[bqBQ]\?)")
 
 
-def part_text(part) -> str | None:
-    """Decoded text of one part; none without a payload or with an unknown charset."""
+def known_charset(name: str | None) -> str | None:
     try:
-        raw = part.get_payload(decode=True)
-        return raw.decode(part.get_content_charset() or "utf-8", "ignore") if raw else None
-    except Exception:
+        return codecs.lookup((name or "utf-8").partition("*")[0]).name
+    except LookupError:
         return None
 
 
-def body_text(mail) -> str:
-    """First plain part that is not an attachment, else the last HTML part before it.
+def unfolded(header: object) -> str:
+    """A header's words as text (RFC 2047); a word that cannot be decoded stays as it is, bad bytes go."""
 
-    The search ends at the first plain part with any payload, even a blank one.  A
-    mail of a single part is returned as it is, HTML included.
-    """
-    if not mail.is_multipart():
-        return part_text(mail) or ""
-    html = ""
-    for part in mail.walk():
-        if "attachment" in str(part.get("Content-Disposition")):
-            continue
-        text = part_text(part)
-        if text is None:
+    def word(found: re.Match) -> str:
+        charset = known_charset(found[1])
+        try:
+            if found[2] in "bB":
+                raw = base64.b64decode(found[3] + "=" * (-len(found[3]) % 4))
+            else:
+                raw = decodestring(found[3].replace("_", " ").encode("latin-1"), header=True)
+        except (binascii.Error, UnicodeEncodeError):
+            charset = None
+        return raw.decode(charset, "ignore") if charset else found[0]
+
+    plain = str(header or "").encode("utf-8", "ignore").decode()
+    return WORD.sub(word, BETWEEN.sub(r"\1", plain))
+
+
+def readable(message: Message) -> Iterator[tuple[str, str]]:
+    """(type, text) of each part, in order, that is shown in place and has bytes in a known charset."""
+    for part in message.walk():
+        if part.is_multipart() or part.get_content_disposition() == "attachment":
             continue
-        kind = part.get_content_type()
-        if kind == "text/plain":
-            return text if text.strip() else html
-        if kind == "text/html":
-            html = text
-    return html
-
-
-def _parse_one(raw: bytes) -> tuple:
-    mail = message_from_bytes(raw)
-    date = mail.get("Date")
-    return (
-        header_text(mail.get("From")),
-        header_text(mail.get("Subject")),
-        body_text(mail),
-        None if date is None else str(date),
-        None,
-    )
+        raw, charset = part.get_payload(decode=True), known_charset(part.get_content_charset())
+        if raw and charset:
+            yield part.get_content_type(), raw.decode(charset, "ignore")
+
+
+def body_of(message: Message) -> str:
+    """The first plain part, or if it is blank or missing the last HTML part before it.
+
+    A mail of a single part is its text, whatever its type, also as an attachment.
+    """
+    if not message.is_multipart():
+        del message["Content-Disposition"]
+        return next((text for _, text in readable(message)), "")
+    shown = list(readable(message))
+    kinds = [kind for kind, _ in shown]
+    end = kinds.index("text/plain") if "text/plain" in kinds else len(shown)
+    plain = [text for _, text in shown[end : end + 1] if text.strip()]
+    return (plain or [text for kind, text in shown[:end] if kind == "text/html"] or [""])[-1]
+
+
+def message_row(raw: bytes | None) -> dict:
+    """The message columns of one mail, or the error that kept it from being read."""
+    try:
+        message = message_from_bytes(bytes(raw))
+        date = message["Date"]
+        return {
+            "from": unfolded(message["From"]), "subject": unfolded(message["Subject"]), "body": body_of(message),
+            "date": None if date is None else str(date), "error": None,
+        }
+    except Exception as error:  # whatever is wrong with one mail, the others are read
+        return dict.fromkeys(("from", "subject", "body", "date")) | {"error": f"{type(error).__name__}: {error}"}
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["from", "subject", "body", "date", "error"]
     for batch in batches:
-        parsed = []
-        for raw in batch["raw"]:
-            try:
-                parsed.append(_parse_one(bytes(raw)))
-            except Exception as error:
-                parsed.append((None, None, None, None, f"{type(error).__name__}: {error}"))
-        out = pd.DataFrame(parsed, columns=["from", "subject", "body", "date", "error"], index=batch.index)
-        yield pd.concat([batch[["uid", "mailbox"]], out], axis=1)[PARSED.names]
+        rows = pd.DataFrame([message_row(raw) for raw in batch["raw"]], columns=columns, index=batch.index)
+        yield batch[["uid", "mailbox"]].join(rows)[PARSED.names]
 
 
 def content_keyed(raw_mails: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Interception as a stream.
 
-Sinks write one folder per micro-batch and replace it on a retry, so a batch that
-runs twice leaves one copy.  No sink keeps rows on the driver.
+Sinks write one folder per day, stream and micro-batch and replace it on a retry,
+so a batch that runs twice leaves one copy.  A stream is known by its checkpoint:
+batch numbers of another stream, or of one started anew, never meet its folders.
+No sink keeps rows on the driver.
 """
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -40,47 +43,53 @@ def run_stream(
     return writer.trigger(**trigger).start()
 
 
-def write_batch(df: DataFrame, path: str, batch: int, by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(f"{path}/batch_id={batch}")
+def run_name(checkpoint: str) -> str:
+    """A short name of the stream that keeps its progress in this folder."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def _stored(spark, path, schema):
-    """What earlier batches wrote, or nothing on the first batch."""
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+def write_batch(df: DataFrame, path: str, batch: int, run: str = "0", by: str | None = None) -> None:
+    """Write a batch's rows, replacing what the same batch of the same stream wrote before."""
+    named = df.withColumn("run_id", F.lit(run)).withColumn("batch_id", F.lit(batch))
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*([by] if by else []), "run_id", "batch_id").parquet(path)
 
 
-def archive_sink(build: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+def _known_ids(spark: SparkSession, path: str, days: list, run: str, batch: int) -> DataFrame:
+    """report_date and id of what other batches have stored for these days; other days are not listed."""
+    schema = T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("report_date", T.DateType()),
+        T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()),
+    ])
+    found = spark.createDataFrame([], schema)
+    for day in days:
+        try:
+            found = found.unionByName(spark.read.schema(schema).option("basePath", path).parquet(f"{path}/report_date={day}"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    own = (F.col("run_id") == run) & (F.col("batch_id") == batch)
+    return found.filter(~own).select("report_date", "id")
+
+
+def archive_sink(
+    build: Callable[[DataFrame], DataFrame], path: str, run: str = "0"
+) -> Callable[[DataFrame, int], None]:
     """Batch function: build reports and store those whose id is not archived yet.
 
-    Only the id column of the days present in the batch is read back.
+    Reports are dated by their interception, so a batch holds one day, or two
+    around midnight, and only the ids of those days are read back.
     """
 
     def store(messages: DataFrame, batch: int) -> None:
         reports = build(messages).withColumn("report_date", F.to_date("timestamp")).persist()
         try:
-            days = reports.agg(F.min("report_date").alias("first"), F.max("report_date").alias("last")).first()
-            if days["first"] is None:
+            days = [r["report_date"] for r in reports.select("report_date").distinct().collect()]
+            if not days:
                 return
-            schema = T.StructType(
-                [
-                    T.StructField("id", T.StringType()),
-                    T.StructField("batch_id", T.LongType()),
-                    T.StructField("report_date", T.DateType()),
-                ]
-            )
-            known = _stored(reports.sparkSession, path, schema).filter(
-                (F.col("batch_id") != batch) & F.col("report_date").between(days["first"], days["last"])
-            )
-            fresh = reports.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
-            write_batch(fresh.hint("rebalance", F.col("report_date")), path, batch, by="report_date")
+            known = _known_ids(reports.sparkSession, path, days, run, batch)
+            fresh = reports.dropDuplicates(["report_date", "id"]).join(known, ["report_date", "id"], "left_anti")
+            write_batch(fresh.hint("rebalance", F.col("report_date")), path, batch, run, by="report_date")
         finally:
             reports.unpersist()
 
@@ -91,7 +100,7 @@ def detect_stream(
     stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Score messages in flight and archive the hits."""
-    return run_stream(stream, archive_sink(build, path), checkpoint, **trigger)
+    return run_stream(stream, archive_sink(build, path, run_name(checkpoint)), checkpoint, **trigger)
 
 
 def intercept(
@@ -103,14 +112,14 @@ def intercept(
     Repeats are recognised within ``delay`` of their arrival, whatever date a mail
     claims, so an old mail that arrives late is still scored.  A mail that cannot be
     read is held in ``bad_path`` and does not stop the others.  ``build`` gets message
-    columns with ``sent_at``, the claimed date or else the arrival.
+    columns with ``arrived_at``, which dates the report, and ``sent_at``, the date the
+    sender claims, or null.
     """
     messages = mail.timed(mail.parse_mail(mail.content_keyed(raw_mails)))
     arrived = messages.withColumn("arrived_at", F.current_timestamp())
-    fresh = unseen(arrived, ["mailbox", "uid"], "arrived_at", delay).withColumn(
-        "sent_at", F.coalesce("sent_at", "arrived_at")
-    )
-    archive = archive_sink(build, path)
+    fresh = unseen(arrived, ["mailbox", "uid"], "arrived_at", delay)
+    run = run_name(checkpoint)
+    archive = archive_sink(build, path, run)
 
     def store(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
@@ -118,7 +127,7 @@ def intercept(
             # The closing batch of a drained stream is empty, and most batches hold nothing back.
             found = rows.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad")).first()
             if found["bad"]:
-                write_batch(rows.filter(F.col("error").isNotNull()), bad_path, batch)
+                write_batch(rows.filter(F.col("error").isNotNull()), bad_path, batch, run)
             if found["good"]:
                 archive(rows.filter(F.col("error").isNull()).drop("error"), batch)
         finally:
@@ -127,25 +136,29 @@ def intercept(
     return run_stream(fresh, store, checkpoint, **trigger)
 
 
-def running_counts(reports: DataFrame, time: str = "timestamp", scam_type: Column | None = None, delay: str = "1 day"):
-    """Streaming count per day and type."""
+def running_counts(reports: DataFrame, time: str = "timestamp", scam_type: Column | None = None):
+    """Streaming count per day and type.
+
+    The state is one number per day and type, a few thousand a year, so it is kept
+    without a watermark and a report is counted however late it comes.
+    """
     scam_type = fraud_type() if scam_type is None else scam_type
-    return (
-        reports.withWatermark(time, delay)
-        .groupBy(F.window(time, "1 day").alias("day"), labels.counted_type(scam_type).alias("type"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("day.start").cast("date").alias("day"), "type", "n")
+    return reports.groupBy(F.to_date(time).alias("day"), labels.counted_type(scam_type).alias("type")).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
 def counter_stream(counts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Store each batch's changed counters; ``latest_counts`` reads the newest."""
-    return run_stream(counts, lambda df, batch: write_batch(df, path, batch), checkpoint, mode="update", **trigger)
+    run = run_name(checkpoint)
+    return run_stream(counts, lambda df, batch: write_batch(df, path, batch, run), checkpoint, mode="update", **trigger)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest counters of each stream, added up over the streams."""
     stored = spark.read.parquet(path)
-    return stored.groupBy("day", "type").agg(F.max_by("n", "batch_id").alias("n"))
+    newest = stored.groupBy("run_id", "day", "type").agg(F.max_by("n", "batch_id").alias("n"))
+    return newest.groupBy("day", "type").agg(F.sum("n").alias("n"))
 
 
 def quarantine(
@@ -153,11 +166,13 @@ def quarantine(
 ) -> StreamingQuery:
     """Rows with an error go to their own table; all others go on."""
 
+    run = run_name(checkpoint)
+
     def separate(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         try:
-            write_batch(rows.filter(F.col(error).isNull()), valid_path, batch)
-            write_batch(rows.filter(F.col(error).isNotNull()), bad_path, batch)
+            write_batch(rows.filter(F.col(error).isNull()), valid_path, batch, run)
+            write_batch(rows.filter(F.col(error).isNotNull()), bad_path, batch, run)
         finally:
             rows.unpersist()
 

@@ -54,6 +54,27 @@ def test_a_retried_batch_leaves_one_copy(spark):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_two_streams_keep_each_others_reports(spark):
+    """Batch numbers start anew with a second checkpoint; what is archived stays."""
+    out = new_path(spark, "out")
+    for keys in ([1, 2, 3], [4]):
+        inbox, state = new_path(spark, "inbox"), new_path(spark, "state")
+        deliver(spark, inbox, [message(k) for k in keys])
+        detect.detect_stream(stream(spark, inbox), build, out, state, drain=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_two_streams_add_up_and_no_date_is_dropped(spark):
+    out, kind = new_path(spark, "out"), F.lit("x")
+    for rows in ([message(k) for k in range(5)], [message(9)]):
+        inbox, state = new_path(spark, "inbox"), new_path(spark, "state")
+        far = [(key, box, at.replace(year=year), prob, error) for (key, box, at, prob, error), year in zip(rows, [2099, 1970, 2024, 2024, 2024])]
+        for row in far:
+            deliver(spark, inbox, [row])
+        detect.counter_stream(detect.running_counts(build(stream(spark, inbox)), scam_type=kind), out, state, drain=True).awaitTermination()
+    assert sum(r["n"] for r in detect.latest_counts(spark, out).collect()) == 6
+
+
 def test_counters_equal_a_batch_count(spark):
     inbox, out, state = (new_path(spark, n) for n in ("inbox", "out", "state"))
     first = [message(k, day=1 + k % 2) for k in range(6)]
@@ -96,9 +117,12 @@ def test_mails_from_end_to_end(spark):
     for rows in ([("1", "x", new), ("2", "x", old)], [("7", "x", old), ("8", "y", old), ("9", "x", None)]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(inbox)
     score = [("only", lambda: (F.lit(0.9), F.lit("贷款诈骗"), None))]
-    judge = lambda m: R.build_reports(ensemble.detect(ensemble.score_all(m, score), 1), "uid", F.col("sent_at"))
+    judge = lambda m: R.build_reports(
+        ensemble.detect(ensemble.score_all(m, score), 1), "uid", F.col("arrived_at"), claimed=F.col("sent_at"))
+    began = spark.range(1).select(F.current_timestamp()).first()[0]
     detect.intercept(stream(spark, inbox), judge, out, bad, state, drain=True).awaitTermination()
     stored = spark.read.parquet(out)
     assert sorted(r["mailbox"] for r in stored.collect()) == ["x", "x", "y"]
-    assert stored.filter("timestamp = TIMESTAMP '2001-01-02 00:00:00'").count() == 2
+    assert stored.filter("claimed_at = TIMESTAMP '2001-01-02 00:00:00'").count() == 2
+    assert stored.filter(F.col("timestamp") >= F.lit(began)).count() == 3
     assert spark.read.parquet(bad).count() == 1
