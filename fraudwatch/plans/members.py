@@ -181,7 +181,11 @@ def fit_semantic(
         params, features = {"kind": "vector", "column": column}, PipelineModel([])
     else:
         params = {"kind": "characters", "column": column}
-        learner = Word2Vec(vectorSize=size, minCount=1, inputCol="tokens", outputCol="features", seed=SEED)
+        # One task per core trains a copy of the vectors; as many iterations bring the copies together.
+        parts = max(2, train.sparkSession.sparkContext.defaultParallelism)
+        learner = Word2Vec(
+            vectorSize=size, minCount=1, numPartitions=parts, maxIter=parts, inputCol="tokens", outputCol="features", seed=SEED
+        )
         features = PipelineModel([learner.fit(_prepare(train.select(column), params))])
     return _fit(
         "semantic", train, features, params,
