@@ -72,7 +72,12 @@ def _model(grams: DataFrame) -> DataFrame:
         F.sum("blocked").alias("n_b"), F.count_if(F.col("blocked") > 0).alias("t_b"),
     )
     orders = grams.select("gram", shorter.alias("s")).select("gram", "s.k", "s.tail").withColumn("context", context)
-    met = orders.join(contexts, ["k", "context"], "left").join(counts, ["k", "tail"], "left")
+    # Every gram shares the empty context, whose one row is told as numbers instead of joined.
+    told = ("n_a", "t_a", "n_b", "t_b")
+    empty = contexts.where("k = 1").first()
+    no_context = orders.where("k = 1").withColumns({c: F.lit(empty[c] if empty else None).cast("bigint") for c in told})
+    met = orders.where("k > 1").join(contexts, ["k", "context"], "left").select(*no_context.columns).unionByName(no_context)
+    met = met.join(counts, ["k", "tail"], "left")
     step = F.struct("k", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("allowed", "n_a", "t_a", "blocked", "n_b", "t_b")))
 
     def smoothed(p: Column, c: Column, n: Column, t: Column) -> Column:
