@@ -51,21 +51,17 @@ def s2_route_encodings(spark, folder):
 
 @query(
     "s3_load_dir",
-    f"""WITH {DOC} SELECT source || '/' || msg_key AS content, CASE class_id WHEN 1 THEN '' ELSE lang END AS label
-        FROM doc WHERE class_id <> 2""",
+    f"""WITH {DOC} SELECT md5(content) AS content_md5, CASE class_id WHEN 1 THEN '' ELSE lang END AS label FROM doc WHERE class_id <> 2""",
 )
 def s3_load_dir(spark, folder):
-    """Lines of one, two or three fields; the last kind is skipped."""
+    """Whole texts, with their line breaks, commas and quotes, in files of one, two or three fields; the last kind is skipped."""
     root = new_path(spark, "folder")
-    first = F.concat_ws("/", "source", F.col("msg_key").cast("string"))
-    line = (
-        F.when(F.col("class_id") == 1, first)
-        .when(F.col("class_id") == 2, F.concat_ws(",", first, "lang", F.lit("more")))
-        .otherwise(F.concat_ws(",", first, "lang"))
-    )
-    lines = corpus(spark, folder).select(line.alias("content,label"))
-    lines.write.options(header=True, sep="\u0001", quote="\u0002").csv(root)
-    return C.load_dir(spark, root)
+    rows = corpus(spark, folder).select("class_id", "content", "lang", F.lit("more").alias("more"))
+    fields = {1: ["content"], 2: ["content", "lang", "more"]}
+    for kind in (0, 1, 2):
+        some = rows.filter(F.col("class_id") == kind) if kind in fields else rows.filter(~F.col("class_id").isin(*fields))
+        some.select(*fields.get(kind, ["content", "lang"])).write.mode("append").options(**KEEP).csv(root)
+    return C.load_dir(spark, root).select(F.md5("content").alias("content_md5"), "label")
 
 
 def raw_mails(spark, folder):
