@@ -23,9 +23,12 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         settled = settle(small)
-        # Done when no node is both under and over another: every link then ends at a root.
-        if settled.select(F.col("v").alias("u")).join(settled.select("u"), "u", "left_semi").isEmpty() and \
-                settled.groupBy("u").count().where("count > 1").isEmpty():
+        # Done when no node hangs on two others, and none that hangs on one carries another: every link ends at a root.
+        ends = settled.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("carries")).unionByName(
+            settled.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("carries"))
+        )
+        roles = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries"))
+        if roles.where("hangs > 1 OR hangs = 1 AND carries = 1").isEmpty():
             break
         edges = settled
     roots = settled.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
