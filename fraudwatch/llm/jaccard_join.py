@@ -10,9 +10,10 @@ The stages, each a Spark job whose unit is a row or a bounded block:
    (the prefix that any partner must meet) in an index.  Lists are laid out in
    blocks of similar set size; blocks out of reach are never joined.
 4. Answers come in rounds.  A list first compares all its sets with one leader.
-   Sets that join the leader, and so each other, have their answer already; what
-   lies too far from a leader to reach the sets around it is refuted by the
-   triangle inequality.  Only pairs that are left open are compared, exactly.
+   Sets that join the leader join its component and so have their answer from it.
+   Sets around a leader form chunks; a set asks a chunk only if they share a list
+   and are in different components, and the smaller component asks the larger.
+   A chunk's lists answer for all its sets at once, exactly.
 """
 
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ shipped(__name__)
 WIDTH = 5
 #: Two sets join when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Rounds of comparisons with leaders before the open pairs.
+#: Rounds of comparisons with leaders before what is left open.
 ROUNDS = 2
+#: Sets of a chunk, and sets that a task compares with a chunk.
+CHUNK, ASKING = 256, 1024
 
 
 def shingle_set(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
@@ -108,7 +111,10 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Per set and bucket, the hashes that other sets have too, with the number of sets that have them."""
+    """The hashes that other sets have too, with the number of sets that have them, dealt back by set.
+
+    Rows are laid out as in ``_dealt``, with the bucket of the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, parts = [], []
@@ -145,55 +151,55 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
         count = np.repeat(count, count)
         shared = count > 1
         hashes, owner, count = hashes[shared], owner[shared], count[shared]
-        order = np.argsort(owner, kind="stable")
-        hashes, owner, count = hashes[order], owner[order], np.minimum(count[order], 0xFFFFFFFF).astype(np.uint32)
-        ends = np.flatnonzero(np.diff(owner)) + 1 if len(owner) else np.zeros(0, np.int64)
-        bounds = np.concatenate([[0], ends, [len(owner)]]) if len(owner) else np.zeros(1, np.int64)
-        for at in range(0, len(bounds) - 1, 20_000):
-            some = bounds[at : at + 20_001]
-            first = owner[some[:-1]]
-            pairs = list(zip(some[:-1].tolist(), some[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sids[first]), pa.array(size[first]),
-                 pa.array([hashes[a:b].tobytes() for a, b in pairs], pa.binary()),
-                 pa.array([count[a:b].tobytes() for a, b in pairs], pa.binary())],
-                names=["sid", "n", "hashes", "counts"],
-            )
-
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "sid bigint, n bigint, hashes binary, counts binary")
-
+        dest = (mix(sids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[owner]
+        order = np.lexsort((owner, dest))
+        dest, hashes, owner, count = dest[order], hashes[order], owner[order], count[order]
+        ends = np.flatnonzero(np.diff(dest)) + 1
+        out: tuple[list, ...] = ([], [], [], [])
+        for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(dest)]):
+            if lo == hi:
+                continue
+            here, runs = np.unique(owner[lo:hi], return_counts=True)
+            head = np.stack([sids[here], size[here], runs])
+            values = (int(dest[lo]), head.tobytes(), hashes[lo:hi].tobytes(), np.minimum(count[lo:hi], 0xFFFFFFFF).astype(np.uint32).tobytes())
+            for column, value in zip(out, values):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "head", "hashes", "counts"]
+        )
 
-def _need(n: int, percent: int) -> int:
-    """Least intersection of a set of n with any partner: ceil(percent * n / 100)."""
-    return -(-percent * n // 100)
+    return dealt.repartition(buckets, "bucket").mapInArrow(run, "bucket int, head binary, hashes binary, counts binary")
 
 
-def _ordered(counted: DataFrame, percent: int) -> DataFrame:
+def _ordered(counted: DataFrame, percent: int, buckets: int) -> DataFrame:
     """sid, n and the shared hashes, rarest first, of sets that can have a partner; prefix is how many to index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, parts, often = [], [], []
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for sid, n, parts in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "parts"))):
-                hashes = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
-                if len(hashes) < _need(n, percent):
-                    continue
-                counts = np.concatenate([np.frombuffer(p["counts"], np.uint32) for p in parts])
-                hashes = hashes[np.lexsort((hashes, counts))]
-                alone = n - len(hashes)
-                for column, value in zip(out, (sid, n, hashes.tobytes(), n - _need(n, percent) + 1 - alone)):
-                    column.append(value)
+            heads += [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column("head").to_pylist()]
+            parts += [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            often += [np.frombuffer(x, np.uint32) for x in batch.column("counts").to_pylist()]
+        if not parts:
+            return
+        head, hashes, often = np.concatenate(heads, axis=1), np.concatenate(parts), np.concatenate(often)
+        sids, of = np.unique(head[0], return_inverse=True)
+        size = np.zeros(len(sids), np.int64)
+        size[of] = head[1]
+        owner = np.repeat(of, head[2])
+        order = np.lexsort((hashes, often, owner))
+        hashes, bounds = hashes[order], np.searchsorted(owner[order], np.arange(len(sids) + 1))
+        shared = np.diff(bounds)
+        need = -(-percent * size // 100)
+        for at in range(0, len(sids), 1000):
+            kept = [i for i in range(at, min(at + 1000, len(sids))) if shared[i] >= need[i]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())],
+                [pa.array(sids[kept]), pa.array(size[kept]), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in kept], pa.binary()),
+                 pa.array((shared - need + 1)[kept])],
                 names=["sid", "n", "hashes", "prefix"],
             )
 
-    # The parts of a set are at most its own hashes, so one row stays as large as one text.
-    grouped = counted.groupBy("sid").agg(
-        F.max("n").alias("n"), F.sum(F.length("hashes")).alias("bytes"), F.collect_list(F.struct("hashes", "counts")).alias("parts")
-    )
-    reach = F.col("bytes") * 100 >= F.col("n") * 8 * percent
-    return grouped.where(reach).select("sid", "n", "parts").mapInArrow(run, "sid bigint, n bigint, hashes binary, prefix bigint")
+    return counted.repartition(buckets, "bucket").mapInArrow(run, "sid bigint, n bigint, hashes binary, prefix bigint")
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
@@ -243,27 +249,75 @@ def _to_leaders(index: DataFrame, percent: int, seed: int) -> DataFrame:
     return met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
 
-def _open_pairs(index: DataFrame, answers: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a list, whose sets are not in one component yet, and that no known distance refutes.
+def _members(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """sid, its component so far with its size, and its chunk: at most about CHUNK sets around one leader."""
+    comps = connected(known.where(_joins(percent)).select("a", "b"))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    comps = comps.join(sizes, "comp").withColumnRenamed("node", "sid")
+    rows = sets.select("sid").join(comps, "sid", "left").join(_pivots(known), "sid", "left")
+    rows = rows.select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("pivot", "sid").alias("pivot"))
+    crowd = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    part = F.pmod(F.xxhash64(F.lit("chunk"), "sid"), "chunks")
+    return rows.join(crowd, "pivot").select("sid", "comp", "size", F.xxhash64("pivot", part).alias("chunk"))
+
+
+def _open_chunks(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """sid and chunk: sets that share a list with a chunk which holds members of a larger component there.
 
-    ``answers``: sid, comp, and the leader (pivot) to which the set's distance is known.
-    ``known``: pairs that have been compared.
+    Of two components the smaller asks (of equal ones that with the smaller id), so
+    the many sets of one large component ask nothing about the few around it.
     """
-    told = index.join(answers, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = told.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("hash")
-    told = told.join(mixed, "hash", "left_semi")
-    left = told.withColumn("oblock", F.explode(F.array(F.col("block"), F.col("block") - 1)))
-    right = told.select(
-        "hash", F.col("block").alias("oblock"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("place").alias("mplace"),
-        F.col("comp").alias("ocomp"), F.col("pivot").alias("opivot"), F.col("distance").alias("odistance"),
+    told = index.join(members, "sid").withColumn("own", F.struct("size", "comp"))
+    lists = told.groupBy("hash", F.col("block").alias("oblock"), "chunk").agg(
+        F.max("own").alias("top"), F.min("n").alias("m"), F.max("n").alias("m_most"), F.min("place").alias("mplace")
     )
-    # In one block each pair is met twice, across two blocks once.
-    once = (F.col("block") != F.col("oblock")) | (F.col("sid") < F.col("other"))
-    apart = F.abs(F.col("distance") - F.col("odistance")) > 1 - percent / 100 + 1e-9
-    refuted = F.coalesce((F.col("pivot") == F.col("opivot")) & apart, F.lit(False))
-    met = left.join(right, ["hash", "oblock"]).where(once & (F.col("comp") != F.col("ocomp")) & _possible(percent) & ~refuted)
-    pairs = met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    near = (F.col("block") - F.col("oblock")).between(-1, 1) & (F.col("own") < F.col("top"))
+    n = F.col("n")
+    sizes = (n * 100 >= F.col("m") * percent) & (F.col("m_most") * 100 >= n * percent)
+    most = F.least(n - F.col("place"), F.col("m_most") - F.col("mplace"))
+    possible = sizes & (most * (100 + percent) >= (n + F.col("m")) * percent)
+    asking = told.select("hash", "block", "sid", "n", "place", "own")
+    return asking.join(lists, "hash").where(near & possible).select("sid", "chunk").distinct()
+
+
+def _answered(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of asking sets with members of their chunks, one at least for each other component that has any.
+
+    A chunk's sets go to a task together with at most about ASKING of the sets that
+    ask; a chunk that more sets ask about goes to several tasks.
+    """
+    crowd = asking.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("pieces"))
+    told = members.join(sets.select("sid", "n", "hashes"), "sid")
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "sid"), "pieces").cast("int").alias("piece")
+    columns = ["sid", "n", "comp", "size", "hashes"]
+    left = asking.join(crowd, "chunk").select("sid", F.col("chunk").alias("of"), piece).join(told, "sid")
+    left = left.select(F.col("of").alias("asked"), F.col("piece").alias("part"), *(F.col(c).alias(f"my_{c}") for c in columns))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1)).alias("piece")
+    right = told.join(crowd, "chunk").select(F.col("chunk").alias("of"), every, *columns)
+
+    def answer(asked: pa.Table, chunk: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        if asked.num_rows and chunk.num_rows:
+            sids, n, comp, size = (chunk.column(c).to_numpy() for c in ("sid", "n", "comp", "size"))
+            sets_here = [np.frombuffer(x, np.uint64) for x in chunk.column("hashes").to_pylist()]
+            hashes, owner = np.concatenate(sets_here), np.repeat(np.arange(len(sids)), [len(x) for x in sets_here])
+            order = np.argsort(hashes)
+            hashes, owner = hashes[order], owner[order]
+            rows = zip(*(asked.column(f"my_{c}").to_pylist() for c in columns))
+            for sid, own_n, own_comp, own_size, blob in rows:
+                mine = np.frombuffer(blob, np.uint64)
+                low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+                runs = high - low
+                at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                common = np.bincount(owner[at], minlength=len(sids))
+                larger = (size > own_size) | ((size == own_size) & (comp > own_comp))
+                links = np.flatnonzero(larger & (common * (100 + percent) >= percent * (own_n + n)))
+                for i in links[np.unique(comp[links], return_index=True)[1]]:
+                    found[0].append(sid)
+                    found[1].append(int(sids[i]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return left.groupBy("asked", "part").cogroup(right.groupBy("of", "piece")).applyInArrow(answer, "a bigint, b bigint")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -307,9 +361,9 @@ def set_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     spark = docs.sparkSession
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     with small_batches(spark):
-        sets = settle(_ordered(_counted(_dealt(docs, width, buckets), buckets), percent))
+        sets = settle(_ordered(_counted(_dealt(docs, width, buckets), buckets), percent, buckets))
         index = settle(_index(sets, percent))
-    known = links = comps = None
+    known = None
     for seed in range(ROUNDS):
         pairs = _to_leaders(index, percent, seed)
         if known is not None:
@@ -317,12 +371,11 @@ def set_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
         with small_batches(spark):
             found = settle(_compared(pairs, sets))
         known = found if known is None else known.unionByName(found)
-    comps = connected(known.where(_joins(percent)).select("a", "b"))
-    answers = _pivots(known).join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "full_outer")
+    members = settle(_members(sets, known, percent))
+    asking = settle(_open_chunks(index, members, percent))
     with small_batches(spark):
-        found = settle(_compared(_open_pairs(index, answers, known, percent), sets))
-    links = known.unionByName(found).where(_joins(percent))
-    return links.select("a", "b")
+        found = settle(_answered(asking, members, sets, percent))
+    return known.where(_joins(percent)).select("a", "b").unionByName(found)
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

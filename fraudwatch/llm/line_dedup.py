@@ -58,7 +58,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     # A line in fewer documents than sites are asked for needs no estimate.
     estimate = F.hll_sketch_estimate("sketch")
     guessed = settle(sketched.where(F.col("n") >= min_sites).select("line", estimate.alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR)))
-    near = guessed.where(F.col("sites") < min_sites * (1 + NEAR)).select("line")
+    near = broadcast_if_small(guessed.where(F.col("sites") < min_sites * (1 + NEAR)).select("line"))
     exact = told.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return guessed.where(F.col("sites") >= min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line"))
 
