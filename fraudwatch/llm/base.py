@@ -1,8 +1,9 @@
 """Pieces that several operators share."""
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,15 @@ def small_batches(spark: SparkSession, size: str = "8m"):
         spark.conf.set(key, before)
 
 
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for its later tasks: functions travel anew with each task."""
+    store = sys.modules.setdefault("fraudwatch_kept", ModuleType("fraudwatch_kept")).__dict__
+    name = repr(key)
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

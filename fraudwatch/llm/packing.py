@@ -2,13 +2,14 @@
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import blocks, shipped, small_batches
+from fraudwatch.llm.base import blocks, kept, shipped, small_batches
 from fraudwatch.operators.ordering import global_rank
 from fraudwatch.session import settle
 
@@ -43,7 +44,7 @@ def cuts(tokens: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit integers, word by word.
+    """Ids of texts as 32-bit integers in the machine's order (little-endian on all that Spark runs on), run by run.
 
     The vocabulary's own rules drop white space and never join what it parts, so
     each run between white space is encoded once and remembered.  A-Z are lowered
@@ -56,28 +57,36 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def __call__(self, text: str) -> bytes:
-        raw = text.encode()
-        words = (raw if b"<|" in raw else raw.lower()).split()
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        runs = [(raw if b"<|" in raw else raw.lower()).split() for raw in map(str.encode, texts)]
+        found = [list(map(self.known.get, words)) for words in runs]
+        new = {w for words, ids in zip(runs, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if len(self.known) + 2 * len(new) > KNOWN_RUNS:
+            self.known.clear()  # what was found stays in the lists
+        self._learn(new)
         known = self.known
-        new = {w for w in words if w not in known}
-        if len(known) + 2 * len(new) > KNOWN_RUNS:
-            known.clear()
-            new = set(words)
-        if new:
-            self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return [
+            b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(words, ids)])
+            for words, ids in zip(runs, found)
+        ]
 
     def _learn(self, new: set[bytes]) -> None:
         """Encode letters and the marks behind them apart: both are met in many runs."""
-        parted = {w: core for w in new if b"<|" not in w and (core := w.rstrip(MARKS)) and core != w and core.decode().isalpha()}
-        parts = {p for w in new for p in ((parted[w], w[len(parted[w]) :]) if w in parted else (w,))}
-        todo = [p for p in parts if p not in self.known]
+        known, parted, parts = self.known, {}, set()
+        for run in new:
+            core = run.rstrip(MARKS)
+            if len(core) < len(run) and core and b"<|" not in run and core.decode().lower().isalpha():
+                parted[run] = core
+                parts.add(core)
+                parts.add(run[len(core) :])
+            else:
+                parts.add(run)
+        todo = list(parts.difference(known))
         for start in range(0, len(todo), 10_000):
             part = todo[start : start + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        self.known.update((w, self.known[core] + self.known[w[len(core) :]]) for w, core in parted.items())
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+        known.update((w, known[core] + known[w[len(core) :]]) for w, core in parted.items())
 
 
 def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID, digests: bool = False) -> DataFrame:
@@ -92,11 +101,12 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = kept(("encoder", vocabulary), lambda: Encoder(vocabulary))
         for batch in blocks(batches, "text"):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+                ids += end
                 tokens = len(ids) // 4
                 for start, length in cuts(tokens, most):
                     piece = ids[4 * start : 4 * (start + length)]

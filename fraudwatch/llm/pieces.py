@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import CACHE_WORDS, blocks, shipped
+from fraudwatch.llm.base import CACHE_WORDS, blocks, kept, shipped
 
 shipped(__name__)
 
@@ -190,7 +190,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = kept(("pieces", model), lambda: Pieces(model))
         for batch in blocks(batches, "text"):
             ids = [encode(pieces, text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -203,7 +203,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = kept(("pieces", model), lambda: Pieces(model))
         for batch in batches:
             texts = [decode(pieces, np.frombuffer(ids or b"", "<u4").tolist()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -219,7 +219,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = kept(("pieces", model), lambda: Pieces(model))
         for batch in blocks(batches, "text"):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             ids = [encode(pieces, text) for text in texts]
