@@ -121,12 +121,17 @@ def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     n = F.length("text")
     half = F.shiftright(n, 1)
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited).drop("next_text")
-    both = rows.select("bucket", "turn", F.posexplode(F.array("text", F.coalesce("edited", F.lit("")))).alias("side", "text"))
-    found = signatures(term_rows(both, ["bucket", "turn", "side"]), ["bucket", "turn", "side"], samples)
-    told = rows.select("bucket", "turn", "guard", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    met = told.join(found.where("side = 0").select("bucket", "turn", "sig"), ["bucket", "turn"]).join(
-        found.where("side = 1").select("bucket", "turn", F.col("sig").alias("edited_sig")), ["bucket", "turn"]
+    rows = rows.select("bucket", "turn", "guard", "doc_id", n.cast("bigint").alias("n_chars"), "text", F.coalesce(edited, F.lit("")).alias("edited"))
+    plain = F.struct("text", F.lit(None).cast("binary").alias("sha"))
+    sides = F.array(plain, F.struct(F.col("edited").alias("text"), F.unhex(F.sha2("edited", 256)).alias("sha")))
+    both = rows.select("bucket", "turn", "guard", "doc_id", "n_chars", F.posexplode(sides).alias("side", "s"))
+    # All grouping below is within a bucket, so the texts are shuffled once, by bucket.
+    keys = ["bucket", "turn", "guard", "doc_id", "n_chars", "side", "sha"]
+    found = signatures(term_rows(both.select(*keys[:-1], "s.sha", "s.text"), keys), keys, samples)
+    one = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    met = found.groupBy("bucket", "turn", "guard").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.lower(F.hex(one("sha", 1))).alias("edited_sha256"),
+        one("sig", 0).alias("sig"), one("sig", 1).alias("edited_sig"),
     )
     after = F.lead("sig").over(Window.partitionBy("bucket").orderBy("turn"))
     met = met.withColumn("next_sig", after).where("guard = 0")
