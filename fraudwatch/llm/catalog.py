@@ -25,10 +25,52 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op1_url_filter")
+def _url_sql() -> str:
+    """Rules, both models order by order, the held-out cut, and the verdicts."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda i: " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[i]}'" for h, p, v in rules)
+    orders = range(1, url_filter.ORDER + 2)
+    joins = " ".join(
+        f"LEFT JOIN t t{k} ON t{k}.k = {k} AND t{k}.tail = right(g.gram, {k}) "
+        f"LEFT JOIN c c{k} ON c{k}.k = {k} AND c{k}.context = left(right(g.gram, {k}), {k - 1})" for k in orders
+    )
+    step = lambda m, k: (
+        f"CASE WHEN c{k}.n{m} > 0 THEN (coalesce(t{k}.{m}, 0) + c{k}.t{m} * {m}{k - 1}) / (c{k}.n{m} + c{k}.t{m}) ELSE {m}{k - 1} END AS {m}{k}"
+    )
+    steps = ", ".join(step(m, k) for k in orders for m in "ab")
+    host = "'^.*?://([^/?#]*)([^?#]*)'"
+    return f"""
+WITH h AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, {host}, 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, {host}, 2, 's'), '') AS path FROM pages),
+j AS (SELECT *, CASE {case(0)} END AS rule, CASE {case(1)} END AS says FROM h),
+u AS (SELECT DISTINCT url, says, says IS NOT NULL AND ('0x' || left(md5(url), 8))::BIGINT % {url_filter.HELD} = 0 AS held FROM j WHERE url <> ''),
+p AS (SELECT url, CASE WHEN NOT held THEN says END AS fitted, substr(repeat(chr(2), {url_filter.ORDER}) || url, i, {url_filter.ORDER + 1}) AS gram
+  FROM u, LATERAL unnest(range(1, length(url) + 1)) x(i)),
+g AS (SELECT gram, count(*) FILTER (fitted = 'allow') AS a, count(*) FILTER (fitted = 'block') AS b FROM p GROUP BY gram),
+t AS (SELECT k, right(gram, k::INT) AS tail, sum(a) AS a, sum(b) AS b FROM g, range(1, {url_filter.ORDER + 2}) r(k) WHERE a + b > 0 GROUP BY ALL),
+c AS (SELECT k, left(tail, k::INT - 1) AS context, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(b) AS nb, count(*) FILTER (b > 0) AS tb
+  FROM t GROUP BY ALL),
+m AS (SELECT g.gram, 1.0::DOUBLE / {url_filter.ALPHABET} AS a0, 1.0::DOUBLE / {url_filter.ALPHABET} AS b0, {steps},
+    ln(a{orders[-1]}) - ln(b{orders[-1]}) AS ratio FROM g {joins}),
+s AS (SELECT url, round(avg(ratio), 9) AS score FROM p JOIN m USING (gram) GROUP BY url),
+b AS (SELECT round(greatest(least(score, {url_filter.FAR}), -{url_filter.FAR}) * {url_filter.PER_UNIT})::INT AS bin,
+    count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM s JOIN u USING (url) WHERE held GROUP BY bin),
+e AS (SELECT bin, coalesce(sum(good) OVER w, 0)::DOUBLE / nullif(sum(good) OVER (), 0)
+    + (1 - coalesce(sum(bad) OVER w, 0)::DOUBLE / nullif(sum(bad) OVER (), 0)) AS errors
+  FROM b WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT (bin - 0.5) / {url_filter.PER_UNIT} FROM e WHERE errors IS NOT NULL ORDER BY errors, bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule,
+  coalesce(says, CASE WHEN coalesce(score, 0) >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(coalesce(score, 0), 6) AS score
+FROM j LEFT JOIN s ON s.url = j.url, cut
+"""
+
+
+@query("op1_url_filter", _url_sql())
 def op1(spark, folder):
     judged = url_filter.judge(table(spark, folder, "pages"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 @query("op2_jaccard_join", r"""
