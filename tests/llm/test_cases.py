@@ -309,6 +309,8 @@ def test_wand_finds_what_all_scores_give():
         want = sorted(((s, d) for d, s in enumerate(scores.tolist()) if s), key=lambda x: (-round(x[0], 9), x[1]))[:k]
         got = search.wand(index, [0, 7, 14, 21, 28, 35, 42, 49, 1], k)
         assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+        bar = float(rng.exponential(2))
+        assert search.wand(index, [0, 7, 14, 21, 28, 35, 42, 49, 1], k, bar) == [x for x in got if x[0] >= bar]
 
 
 def test_search_cases(spark, documents):
