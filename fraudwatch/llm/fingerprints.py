@@ -15,6 +15,8 @@ SAMPLES = 32
 #: Hex digits that a draw takes in the fingerprint.
 DIGITS = 4
 SEED = 20
+#: Ranges of documents per shuffle partition.
+SPREAD = 4
 
 
 def words(text: Column) -> Column:
@@ -77,9 +79,14 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return found.select("doc_id", as_text(F.col("sig")).alias("fingerprint"))
 
 
+def _parts(rows: DataFrame) -> int:
+    """Ranges of documents: more than shuffle partitions, as a text's terms take several times its bytes."""
+    return SPREAD * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows with a bucket: ranges of doc_id, nulls first, about as many as shuffle partitions."""
-    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows with a bucket: ranges of doc_id, nulls first."""
+    parts = _parts(rows)
     shares = [i / parts for i in range(1, parts)]
     bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []
     cuts = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<bigint>")
@@ -102,6 +109,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     wanted = spark.createDataFrame(onto, "place bigint, same bigint, onto int")
     guards = placed.join(F.broadcast(wanted), ["place", "same"]).dropDuplicates(["onto"])
     both = placed.withColumn("guard", F.lit(0)).unionByName(guards.withColumn("bucket", F.col("onto")).drop("onto").withColumn("guard", F.lit(1)))
+    # A stated number of partitions is kept as it is: merged ones would not hold their terms in memory.
+    both = both.repartition(_parts(docs), "bucket")
     order = Window.partitionBy("bucket").orderBy("guard", "place", "same")
     return both.select(
         "bucket", F.row_number().over(order).alias("turn"), "guard", "doc_id", "text", F.lead("text").over(order).alias("next_text")
