@@ -34,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two of tokens, with their documents' ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    """Sequences of a power of two of tokens: their token ids, with their documents' ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -98,7 +98,8 @@ def op2(spark, folder):
 @query("op3_packing")
 def op3(spark, folder):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(table(spark, folder, "documents"), vocabulary, digests=True)
+    packed = packing.pack(table(spark, folder, "documents"), vocabulary)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query("op4_sharding", f"""

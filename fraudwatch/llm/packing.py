@@ -1,7 +1,6 @@
 """Packing by power-of-two decomposition: no sequence holds tokens of two documents."""
 
 import os
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -21,11 +20,12 @@ MAX_TOKENS = 4096
 END_ID = 2
 #: Runs between white space whose ids a task remembers: about 200 bytes each.
 KNOWN_RUNS = 1_200_000
+#: Sequences whose ids are widened at a time: at most 16 KB each.
+WIDENED_ROWS = 500
 #: Marks that the vocabulary's rules always part from a letter before them.
 MARKS = b",.!?;:*$%&#+-=()[]{}|/\\\"<>@^_~`"
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
-DIGESTS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def cuts(tokens: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -89,14 +89,14 @@ class Encoder:
         known.update((w, known[core] + known[w[len(core) :]]) for w, core in parted.items())
 
 
-def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID, digests: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Cut the ids of every document into pieces whose lengths are powers of two up to ``most``.
 
-    ``ids`` holds a piece's ids as little-endian 32-bit integers, or with
-    ``digests`` their CRC-32 takes its place.  A null or empty text is its end id
-    alone; a null doc_id keeps its pieces.  Repeated rows give repeated pieces.
-    Columns other than doc_id and text are not looked at.  Rows stay in the task
-    that reads them: nothing is shuffled.
+    ``ids`` holds a piece's ids as little-endian integers: of 16 bits where all ids
+    of the document fit, of 32 bits elsewhere; ``widened`` makes all 32 bits.  A null
+    or empty text is its end id alone; a null doc_id keeps its pieces.  Repeated rows
+    give repeated pieces.  Columns other than doc_id and text are not looked at.
+    Rows stay in the task that reads them: nothing is shuffled.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -107,29 +107,48 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 ids += end
-                tokens = len(ids) // 4
+                tokens, width, wide = len(ids) // 4, 4, np.frombuffer(ids, "<u4")
+                if wide.max() < 1 << 16:
+                    ids, width = wide.astype("<u2").tobytes(), 2
                 for start, length in cuts(tokens, most):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    for column, value in zip(out, (doc_id, start, length, zlib.crc32(piece) if digests else piece, tokens)):
+                    piece = ids[width * start : width * (start + length)]
+                    for column, value in zip(out, (doc_id, start, length, piece, tokens)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digests else pa.binary(), pa.int64())
-            names = ["doc_id", "start", "length", "ids_crc32" if digests else "ids", "doc_tokens"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            names = ["doc_id", "start", "length", "ids", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(cut, DIGESTS if digests else PIECES)
+    return slim.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID, digests: bool = False) -> DataFrame:
+def widened(packed: DataFrame) -> DataFrame:
+    """The same rows with all ids as 32-bit integers."""
+    at = packed.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, WIDENED_ROWS):
+                batch = whole.slice(start, WIDENED_ROWS)
+                told = zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
+                ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in told]
+                yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
+
+    return packed.mapInArrow(run, packed.schema)
+
+
+def pack(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Sequences of equal lengths next to each other: each piece is one sequence without padding.
 
     ``sequence_id`` numbers the sequences from 0 by length, longest first, so a
     range of ids is a bucket of equal lengths from which batches are drawn;
-    ``offset`` is always 0.  An empty table gives an empty table.
+    ``offset`` is always 0.  ``ids`` holds little-endian 32-bit integers; while rows
+    are sorted they are held in 16 bits where they fit.  An empty table gives an
+    empty table.
     """
     with small_batches(docs.sparkSession):
-        cut = settle(pieces(docs, vocabulary, most, end_id, digests))  # sorting looks at its input twice
-    last = "ids_crc32" if digests else "ids"
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col(last)]
+        cut = settle(pieces(docs, vocabulary, most, end_id))  # sorting looks at its input twice
+    # The checksum stands for the ids as the last key: the sort's sample goes to the driver.
+    order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.crc32("ids")]
     ranked = global_rank(cut, order, "sequence_id")
-    return ranked.withColumn("sequence_id", F.col("sequence_id") - 1).withColumn("offset", F.lit(0).cast("bigint"))
+    return widened(ranked.withColumn("sequence_id", F.col("sequence_id") - 1).withColumn("offset", F.lit(0).cast("bigint")))

@@ -2,7 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_cases import plain_components
@@ -66,6 +69,14 @@ def test_packing(stages):
     assert covered == {r.doc_id: r.doc_tokens for r in pieces} and set(covered) == {r.doc_id for r in stages[3].collect()}
 
 
+def test_packed_ids(stages):
+    """The pipeline's end product holds the training sequences themselves."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in stages[3].collect()}
+    for r in stages[4].collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length]
+
+
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, stages[4].collect()))
