@@ -323,6 +323,28 @@ def test_search_cases(spark, documents):
     assert search.search(documents([]), documents([]), 3).collect() == []
 
 
+def test_search_asks_for_whole_texts(spark, documents, monkeypatch):
+    """All 40 terms of a query count, and queries in many blocks get the same answers."""
+    words = [f"w{i:02d}" for i in range(40)]
+    rows = [(0, " ".join(words)), (50, " ".join(words[::-1]))] + [(i, " ".join(words[: i % 41])) for i in range(1, 50)]
+    docs = documents(rows)
+
+    def ask():
+        return sorted(map(tuple, search.search(docs, docs.where("doc_id % 50 = 0"), 30).collect()))
+
+    got = ask()
+    assert {d for q, _, d, _ in got if q == 0} == {0, 50} | set(sorted(range(1, 50), key=lambda i: (-(i % 41), i))[:28])
+    bags = {i: t.split() for i, t in rows}
+    mean = sum(map(len, bags.values())) / len(bags)
+    df = Counter(w for b in bags.values() for w in b)
+    idf = {w: np.log1p((len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    for _, _, d, score in got:
+        low = search.K1 * (1 - search.B + search.B * len(bags[d]) / mean)
+        assert abs(score - sum(idf[w] * (search.K1 + 1) / (1 + low) for w in bags[d])) < 1e-8
+    monkeypatch.setattr(search, "BLOCK_TERMS", 10)
+    assert ask() == got
+
+
 # --- pages -------------------------------------------------------------------------------------------------
 
 
