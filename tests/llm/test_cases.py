@@ -371,6 +371,20 @@ def test_wrapper_without_semantic_elements(spark):
     assert html_text.extract(table.where("false")).collect() == []
 
 
+def test_template_inside_articles(spark):
+    """What all pages of a host say inside the article goes, learnt from all its pages, not from a sample."""
+    page = "<html><body><article><h1>Story {0}</h1><p>Text {0} is here.</p>{1}</article><p>Imprint</p></body></html>"
+    box = "<div class='x7'><p>Read more at Example Site</p></div>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, box if i % 20 else "")) for i in range(60)]
+    rows += [(100 + i, "http://a.org/copy", rows[0][2]) for i in range(200)]  # copies are one page
+    rows += [(400 + i, f"http://b.org/{i}", page.format(i, box if i % 2 else "")) for i in range(20)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    own = lambda i: f"Story {i}\nText {i} is here."
+    assert all(got[i] == own(i) for i in range(60)) and all(got[100 + i] == own(0) for i in range(200))
+    assert all(got[400 + i] == own(i) + ("\nRead more at Example Site" if i % 2 else "") for i in range(20))
+
+
 def test_tree_matching():
     blocks = lambda *paths: html_text.tree([(p, "x", False) for p in paths])
     a, b = blocks("/a/b", "/a/c", "/a/b/d", "/e"), blocks("/a/c", "/a/b/d", "/f")
