@@ -8,6 +8,7 @@ from fraudwatch.catalog.registry import query
 from fraudwatch.catalog.score_queries import predicted
 from fraudwatch.functions import labels
 from fraudwatch.operators import cleaning, keyed
+from fraudwatch.operators.ordering import global_rank
 from fraudwatch.session import new_path
 from fraudwatch.sources import corpus as C, mail, store
 
@@ -39,16 +40,38 @@ def s1_load_corpus(spark, folder):
 def s2_route_encodings(spark, folder):
     """One folder whose files are UTF-8 or GB18030."""
     root = new_path(spark, "encodings")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     rows = _labelled(spark, folder)
     write = lambda part, encoding: (
         part.select("content", "label").write.mode("append").options(**KEEP, encoding=encoding).csv(root)
     )
     write(rows.filter("class_id < 2"), C.UTF8)
-    write(rows.filter("class_id >= 2"), C.GB18030)
+    setting = "spark.sql.legacy.javaCharsets"  # only to write such files; reading needs none
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        write(rows.filter("class_id >= 2"), C.GB18030)
+    finally:
+        spark.conf.set(setting, before)
     return C.read_any_encoding(spark, root).select("label", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "s1_one_quoted_file",
+    f"""WITH {DOC}, o AS (SELECT row_number() OVER (ORDER BY msg_key) AS place, msg_key,
+          chr(10) || content || chr(13) || chr(10) || '"' || msg_key || '", ' || chr(10) AS content FROM doc)
+        SELECT place, md5(content) AS content_md5, CAST(msg_key AS VARCHAR) AS label FROM o""",
+)
+def s1_one_quoted_file(spark, folder):
+    """One CSV file, every text with line breaks, quotes and commas, read by many tasks in the order of the file."""
+    root = new_path(spark, "quoted")
+    rows = corpus(spark, folder).orderBy("msg_key")
+    text = F.concat(F.lit("\n"), "content", F.lit('\r\n"'), F.col("msg_key").cast("string"), F.lit('", \n'))
+    told = rows.select(text.alias("content"), F.col("msg_key").cast("string").alias("label"))
+    told.coalesce(1).write.options(**KEEP, quoteAll=True).csv(root)
+    loaded = C.load_corpus(spark, {root: 1})
+    return global_rank(loaded, [F.asc("msg_key")], "place").select("place", F.md5("content").alias("content_md5"), "label")
+
+
 @query(
     "s3_load_dir",
     f"""WITH {DOC} SELECT md5(content) AS content_md5, CASE class_id WHEN 1 THEN '' ELSE lang END AS label FROM doc WHERE class_id <> 2""",

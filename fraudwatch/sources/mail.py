@@ -28,6 +28,7 @@ PARSED = T.StructType(schemas.MESSAGE.fields + [T.StructField("error", T.StringT
 
 #: =?charset?B or Q?text?=, and the white space that only parts two of them.
 WORD = re.compile(r"=\?([^?\s]+)\?([bqBQ])\?([^?]*)\?=")
+RUN = re.compile(rf"(?:{WORD.pattern})+")
 BETWEEN = re.compile(r"(\?=)\s+(?==\?[^?\s]+\?[bqBQ]\?)")
 
 
@@ -38,22 +39,37 @@ def known_charset(name: str | None) -> str | None:
         return None
 
 
+def _word(found: re.Match) -> tuple[str | None, bytes]:
+    """Charset and bytes of an encoded word; no charset if it cannot be decoded."""
+    try:
+        if found[2] in "bB":
+            raw = base64.b64decode(found[3] + "=" * (-len(found[3]) % 4))
+        else:
+            raw = decodestring(found[3].replace("_", " ").encode("latin-1"), header=True)
+    except (binascii.Error, UnicodeEncodeError):
+        return None, b""
+    return known_charset(found[1]), raw
+
+
 def unfolded(header: object) -> str:
-    """A header's words as text (RFC 2047); a word that cannot be decoded stays as it is, bad bytes go."""
+    """A header's words as text (RFC 2047); a word that cannot be decoded stays as it is, bad bytes go.
+
+    Neighbouring words of one charset are decoded as one, since a character may be
+    split between them.
+    """
 
-    def word(found: re.Match) -> str:
-        charset = known_charset(found[1])
-        try:
-            if found[2] in "bB":
-                raw = base64.b64decode(found[3] + "=" * (-len(found[3]) % 4))
+    def run(found: re.Match) -> str:
+        out: list[tuple[str | None, bytes | str]] = []
+        for word in WORD.finditer(found[0]):
+            charset, raw = _word(word)
+            if charset and out and out[-1][0] == charset:
+                out[-1] = charset, out[-1][1] + raw
             else:
-                raw = decodestring(found[3].replace("_", " ").encode("latin-1"), header=True)
-        except (binascii.Error, UnicodeEncodeError):
-            charset = None
-        return raw.decode(charset, "ignore") if charset else found[0]
+                out.append((charset, raw if charset else word[0]))
+        return "".join(told.decode(charset, "ignore") if charset else told for charset, told in out)
 
     plain = str(header or "").encode("utf-8", "ignore").decode()
-    return WORD.sub(word, BETWEEN.sub(r"\1", plain))
+    return RUN.sub(run, BETWEEN.sub(r"\1", plain))
 
 
 def readable(message: Message) -> Iterator[tuple[str, str]]:

@@ -49,12 +49,69 @@ def test_encodings_give_equal_rows(spark, tmp_path):
     assert tuples(corpus.read_any_encoding(spark, f"{tmp_path}/b")) == sorted(ROWS + [("ascii", "2")], key=repr)
 
 
+@pytest.mark.parametrize("line", [
+    b'a,b', b'"a,b', b'"a"",b', b'"a"",""', b'"a""",b', b'a"b,c', b'"a"b",c', b'x,"y', b'x,"y"', b'"",""', b'"', b'""', b'"""', b',,"', b'',
+])
+@pytest.mark.parametrize("inside", [False, True])
+def test_quote_state_of_a_line(line, inside):
+    """Against a reader that goes character by character."""
+    state = "quoted" if inside else "start"
+    for c in line.decode():
+        if state == "quoted":
+            state = "closing" if c == '"' else "quoted"
+        elif state == "closing":
+            state = "quoted" if c == '"' else "start" if c == "," else "plain"
+        elif c == ",":
+            state = "start"
+        else:
+            state = "quoted" if state == "start" and c == '"' else "plain"
+    assert corpus.quotes_after(line, inside) == (state == "quoted")
+
+
+def test_a_quoted_file_in_many_splits(spark, tmp_path):
+    """Records that cross splits, also several, keep their text and order; keys ascend; a file may end inside quotes."""
+    import random
+
+    rng = random.Random(4)
+    bits = ["\n", "\r\n", '"', ",", "贷款", "x" * 50, "\n\n", "é", " "]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.choice([1, 5, 60, 900]))), str(i)) for i in range(300)]
+    rows[5] = ("lange\n" * 9000, "5")
+    for name, code in (("a", "utf-8"), ("b", "gb18030")):
+        write(tmp_path / name / "one.csv", rows, code)
+        write(tmp_path / name / "two.csv", rows[:3], code)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        loaded = corpus.load_corpus(spark, {f"{tmp_path}/a": 3, f"{tmp_path}/b": 1})
+        got = loaded.orderBy("msg_key").collect()
+        assert loaded.rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = rows + rows[:3]
+    assert [(r["content"], r["label"], r["class_id"]) for r in got] == [(*r, 1) for r in want] + [(*r, 3) for r in want]
+    assert len({r["msg_key"] for r in got}) == len(got)
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    (tmp_path / "c.csv").write_bytes(b'content,label\r\na,"b\r\n\r\n"\r\n\r\nc,d\r\n"open\nend')
+    assert [tuple(r) for r in corpus.read_any_encoding(spark, f"{tmp_path}/c.csv").orderBy("content").collect()] == [
+        ("a", "b\r\n\r\n"), ("c", "d"), ("open\nend", None)]
+    (tmp_path / "d.csv").write_bytes(b"content,label\n")
+    assert corpus.read_any_encoding(spark, f"{tmp_path}/d.csv").collect() == []
+
+
 def test_folder_skips_long_rows_and_keeps_short_ones(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes("﻿content,label\n一\n二,b\n三,c,d\n四,\n".encode())
     (tmp_path / "y.txt").write_text("content,label\nno,no\n")
     assert tuples(corpus.load_dir(spark, str(tmp_path))) == sorted([("一", ""), ("二", "b"), ("四", "")], key=repr)
 
 
+def test_a_character_split_over_two_header_words():
+    raw = "贷款诈骗".encode()
+    word = lambda b, charset="utf-8": f"=?{charset}?b?{b64encode(b).decode()}?="
+    assert mail.unfolded(f"{word(raw[:4])} {word(raw[4:])}") == "贷款诈骗"
+    assert mail.unfolded(f"{word(raw[:4])}\r\n {word(raw[4:7], 'UTF8')} {word(raw[7:])} x") == "贷款诈骗 x"
+    assert mail.unfolded(f"{word('贷'.encode('gbk'), 'gbk')} {word('款'.encode())} =?none?b?YQ==?=") == "贷款=?none?b?YQ==?="
+
+
 def parsed(spark, *raws):
     rows = [(str(i), "box@example.com", raw) for i, raw in enumerate(raws)]
     out = mail.parse_mail(spark.createDataFrame(rows, "uid string, mailbox string, raw binary"))
