@@ -52,73 +52,16 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), fixed.SPACE_CLASS + "{2,}", " ")
 
 
-def _windows(whole: Column, shortest: int, longest: int, starts: int | None = None) -> Column:
-    """Every run of n code points, for each n; optionally only the first ``starts`` per n.
+def char_ngrams(text: Column, shortest: int = 1, longest: int = 3) -> Column:
+    """All character n-grams of the squeezed text, by length.
 
     The pattern looks ahead for n code points and then moves on by one, so matches
     overlap.  It runs as one compiled call per length, linear in the text.
     """
-    found = [
+    windows = lambda whole: F.concat(*[
         F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in range(shortest, longest + 1)
-    ]
-    return F.concat(*[F.slice(f, 1, starts) if starts else f for f in found])
-
-
-def char_ngrams(text: Column, shortest: int = 1, longest: int = 3) -> Column:
-    """All character n-grams of the squeezed text, by length."""
-    return bind(squeeze(text), lambda whole: _windows(whole, shortest, longest))
-
-
-_COUNTED = "array<struct<gram:string,tf:int>>"
-
-
-def _runs(items: Column, gram, tf) -> Column:
-    """One entry per distinct gram of sorted items; ``tf`` gets the items and a run's bounds."""
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(items) - 1),
-        lambda i: (i == 0) | (gram(F.get(items, i)) != gram(F.get(items, i - 1))),
-    )
-    entry = lambda s, at, n: F.struct(
-        gram(F.get(items, at)).alias("gram"),
-        tf(items, at, F.coalesce(F.get(s, n + 1), F.size(items))).cast("int").alias("tf"),
-    )
-    counted = bind(starts, lambda s: F.transform(s, lambda at, n: entry(s, at, n)))
-    return F.when(F.size(items) > 0, counted).otherwise(F.array().cast(_COUNTED))
-
-
-def histogram(grams: Column) -> Column:
-    """``array<struct<gram, tf>>`` counted inside the row: no shuffle is needed.
-
-    Sort the grams, find where runs start, and take the distance between starts.
-    """
-    return bind(F.sort_array(grams), lambda s: _runs(s, lambda g: g, lambda _, start, end: end - start))
-
-
-def _add_histograms(left: Column, right: Column) -> Column:
-    """A gram occurs at most once on each side, so a run has one entry or two."""
-    total = lambda items, start, end: F.get(items, start)["tf"] + F.when(
-        end - start > 1, F.get(items, start + 1)["tf"]
-    ).otherwise(F.lit(0))
-    return bind(F.sort_array(F.concat(left, right)), lambda s: _runs(s, lambda e: e["gram"], total))
-
-
-def gram_histogram(text: Column, shortest: int = 1, longest: int = 3, piece: int = 1 << 18) -> Column:
-    """The histogram of a text's n-grams, with memory for the grams of one piece only.
-
-    A longer text is counted piece by piece and the counts are added up, so what
-    grows is the number of distinct grams.  Pieces overlap by what a gram that
-    starts in one piece may need from the next.
-    """
-
-    def pieces(whole):
-        firsts = F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / piece).cast("int"))
-        cut = lambda i: F.substring(whole, i * piece + 1, F.lit(piece + longest - 1))
-        start = F.array().cast(_COUNTED)
-        count = lambda i: histogram(_windows(cut(i), shortest, longest, piece))
-        return F.aggregate(firsts, start, lambda acc, i: _add_histograms(acc, count(i)))
-
-    at_once = histogram(char_ngrams(text, shortest, longest))
-    return F.when(F.length(text) <= piece, at_once).otherwise(bind(squeeze(text), pieces))
+    ])
+    return bind(squeeze(text), windows)
 
 
 def mail_time(date: Column) -> Column:

@@ -1,11 +1,13 @@
-"""Exact train/test splits without ranking the corpus in one place.
+"""Exact train/test splits without moving the corpus.
 
 Only slim rows (group, key, tie-break) are sorted: range partitions and their
 counts give every row its exact rank, whatever the keys are, so a class that owns
 a third of the corpus is cut over many tasks.  Of the ranks only one row per group
-is kept, the last one of the head, and the corpus is labelled by comparing
-its own (key, tie-break) with that cut.  Rows that are equal in all columns and
-lie across a cut cannot be told apart by value: those alone are ranked as rows.
+is kept, the last one of the head.  These cuts are a small table, measured and then
+carried to every task of the scan, which compares its rows with them: no text is
+shuffled, and only the columns of group and order are read to find the cuts.  Rows
+that are equal in group and order and lie across a cut are ranked by a hash of the
+whole row; those alone are read in full.
 
 A group may be null; null keys come first.  Keys may be of any orderable type.
 """
@@ -15,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fraudwatch.operators.ordering import global_rank
-from fraudwatch.session import settle
+from fraudwatch.session import broadcast_if_small, settle
 
 
 def seeded_order(key: str, seed: int) -> list[Column]:
@@ -23,10 +25,17 @@ def seeded_order(key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)]
 
 
-def _order(df: DataFrame, columns: list[Column], tie: str | None) -> Column:
-    """The order as one comparable value; without a tie-break a hash of the whole row decides between equal keys."""
-    last = F.col(tie) if tie else F.xxhash64(*(F.to_json(F.struct(*df.columns)),))
-    return F.struct(*(c.alias(f"o{i}") for i, c in enumerate([*columns, last])))
+def _order(columns: list[Column], tie: str | None) -> Column:
+    """The order as one comparable value."""
+    told = [*columns, F.col(tie)] if tie else columns
+    return F.struct(*(c.alias(f"o{i}") for i, c in enumerate(told)))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; types without a hash of their own are told as JSON."""
+    hashable = lambda kind: not any(x in kind.simpleString() for x in ("map<", "variant"))
+    told = [F.col(f"`{f.name}`") if hashable(f.dataType) else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema.fields]
+    return F.xxhash64(*told)
 
 
 def sizes_of(df: DataFrame, group: str) -> DataFrame:
@@ -34,41 +43,42 @@ def sizes_of(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranked(df: DataFrame, group: str, order: Column) -> DataFrame:
-    """g, o and the exact rank of every row within its group, from slim rows."""
-    slim = df.select(F.col(group).alias("g"), order.alias("o"))
-    ranked = global_rank(slim, [F.col("g"), F.col("o")], "all")
-    first = ranked.groupBy("g").agg(F.min("all").alias("first"))
-    met = ranked.join(first.withColumnRenamed("g", "g1"), F.col("g").eqNullSafe(F.col("g1")))
-    return met.select("g", "o", (F.col("all") - F.col("first") + 1).alias("rank"))
+def _cuts(ranked: DataFrame, first: DataFrame, sizes: DataFrame, head: Column) -> DataFrame:
+    """g, the order value of the head's last row, rows equal to it, and how many of those belong to the head."""
+    wanted = sizes.select(F.col("g").alias("g1"), head.cast("bigint").alias("k"))
+    placed = first.join(wanted, F.col("g").eqNullSafe(F.col("g1")))
+    ends = broadcast_if_small(placed.where("k > 0").select("g1", (F.col("first") + F.col("k") - 1).alias("end")))
+    at = broadcast_if_small(ranked.join(ends, F.col("all") == F.col("end")).select("g1", F.col("o").alias("cut"), "end"))
+    equal = ranked.join(at, F.col("g").eqNullSafe(F.col("g1")) & (F.col("o") == F.col("cut")))
+    return equal.groupBy("g1", "cut", "end").agg(F.count(F.lit(1)).alias("equal"), (F.col("end") - F.min("all") + 1).alias("inside")).drop("end")
 
 
 def _label(df: DataFrame, group: str, order: Column, sizes: DataFrame, heads: dict[str, Column]) -> DataFrame:
     """Add a flag per entry of ``heads``: the row is among the first so many of its group (an expression over n)."""
-    ranked = settle(_ranked(df, group, order))
+    slim = df.select(F.col(group).alias("g"), order.alias("o"))
+    ranked = global_rank(slim, [F.col("g"), F.col("o")], "all")
+    first = settle(ranked.groupBy("g").agg(F.min("all").alias("first")))
     out = df.withColumn("_o", order)
     for flag, head in heads.items():
-        wanted = sizes.select(F.col("g").alias("g1"), head.cast("bigint").alias("k"))
-        at = ranked.join(wanted, F.col("g").eqNullSafe(F.col("g1"))).where("rank = k").select("g", "o", "k")
-        # Rows equal to the cut: how many there are, and how many of them belong to the head.
-        equal = ranked.join(at.withColumnRenamed("g", "g1").withColumnRenamed("o", "cut"), F.col("g").eqNullSafe(F.col("g1")) & (F.col("o") == F.col("cut")))
-        cut = settle(equal.groupBy("g1", "cut", "k").agg(F.count(F.lit(1)).alias("equal"), (F.first("k") - F.min("rank") + 1).alias("inside")))
-        joined = out.join(cut.drop("k"), F.col(group).eqNullSafe(F.col("g1")), "left")
+        cut = broadcast_if_small(_cuts(ranked, first, sizes, head))
+        joined = out.join(cut, F.col(group).eqNullSafe(F.col("g1")), "left")
         split_here = F.coalesce((F.col("_o") == F.col("cut")) & (F.col("inside") < F.col("equal")), F.lit(False))
         told = joined.withColumn(flag, F.coalesce(F.col("_o") <= F.col("cut"), F.lit(False)))
         if cut.where("inside < equal").isEmpty():
             out = told.drop("g1", "cut", "equal", "inside")
             continue
-        across = global_rank(joined.where(split_here).withColumn("_turn", F.monotonically_increasing_id()), [F.col("_o"), F.col(group), F.col("_turn")], "_all")
-        start = across.groupBy(F.col(group).alias("g2")).agg(F.min("_all").alias("_start"))
+        rows = joined.where(split_here)
+        rows = rows.withColumn("_hash", _row_hash(df)).withColumn("_turn", F.monotonically_increasing_id())
+        across = global_rank(rows, [F.col(group), F.col("_hash"), F.col("_turn")], "_all")
+        start = broadcast_if_small(across.groupBy(F.col(group).alias("g2")).agg(F.min("_all").alias("_start")))
         across = across.join(start, F.col(group).eqNullSafe(F.col("g2")))
-        across = across.withColumn(flag, F.col("_all") - F.col("_start") < F.col("inside")).drop("_turn", "_all", "_start", "g2")
+        across = across.withColumn(flag, F.col("_all") - F.col("_start") < F.col("inside")).drop("_hash", "_turn", "_all", "_start", "g2")
         out = told.where(~split_here).unionByName(across).drop("g1", "cut", "equal", "inside")
     return out.drop("_o")
 
 
 def _two_parts(df, group, columns, sizes, head, tie):
-    marked = _label(df, group, _order(df, columns, tie), sizes, {"_head": head})
+    marked = _label(df, group, _order(columns, tie), sizes, {"_head": head})
     return marked.withColumn("split", F.when(F.col("_head"), "train").otherwise("test")).drop("_head")
 
 
@@ -94,7 +104,7 @@ def split_gap(
 ) -> DataFrame:
     """First ⌊head·n⌋ rows train, last ⌊tail·n⌋ rows test, a row between is ``none``."""
     heads = {"_head": _share(head), "_not_tail": F.col("n") - _share(tail)}
-    marked = _label(df, group, _order(df, [F.col(key)], tie), sizes_of(df, group), heads)
+    marked = _label(df, group, _order([F.col(key)], tie), sizes_of(df, group), heads)
     label = F.when(F.col("_head"), "train").when(~F.col("_not_tail"), "test").otherwise("none")
     return marked.withColumn("split", label).drop("_head", "_not_tail")
 

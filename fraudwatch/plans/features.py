@@ -10,29 +10,44 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudwatch import fixed
-from fraudwatch.functions import text
+from fraudwatch.functions import grams, text
 from fraudwatch.operators.ordering import global_rank
 
 CODE_POINTS = 0x110000
 
 
+def _spellable(longest: int) -> None:
+    if longest > grams.PACKED:
+        raise ValueError(f"grams that are told as text have at most {grams.PACKED} characters")
+
+
 def gram_rows(df: DataFrame, key: str, column: str, shortest: int = 1, longest: int = 3) -> DataFrame:
-    """``(key, gram, tf)``, counted inside each row."""
-    # The outer form keeps the optimiser from adding a filter that repeats the expression.
-    rows = df.select(key, F.inline_outer(text.gram_histogram(F.col(column), shortest, longest)))
-    return rows.filter(F.col("gram").isNotNull())
+    """``(key, gram, tf)``, counted inside each row; a missing or empty text has none."""
+    _spellable(longest)
+    rows = grams.keyed(df, key, text.squeeze(F.col(column)))
+    told = rows.mapInArrow(lambda b: grams.spelled(b, shortest, longest), grams.out_schema(df, key, "gram string, tf int"))
+    return told.withColumnRenamed("key", key)
+
+
+def _statistics(df: DataFrame, key: str, column: str, shortest: int, longest: int) -> DataFrame:
+    """``(number, tf, df)`` of every gram: sums of a batch leave its task, numbers are shuffled."""
+    _spellable(longest)
+    rows = grams.keyed(df, key, text.squeeze(F.col(column)))
+    partial = rows.mapInArrow(lambda b: grams.sums(b, shortest, longest), "number bigint, tf bigint, df bigint")
+    return partial.groupBy("number").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def term_statistics(df: DataFrame, key: str, column: str, shortest: int = 1, longest: int = 3) -> DataFrame:
     """Corpus frequency and document frequency of every gram, in one aggregation."""
-    return gram_rows(df, key, column, shortest, longest).groupBy("gram").agg(
-        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")
-    )
+    return _statistics(df, key, column, shortest, longest).select(grams.text_of(F.col("number")).alias("gram"), "tf", "df")
 
 
-def top_terms(df: DataFrame, key: str, column: str, max_terms: int = fixed.MAX_TERMS, **sizes) -> DataFrame:
-    stats = term_statistics(df, key, column, **sizes)
-    return stats.orderBy(F.desc("tf"), F.asc("gram")).limit(max_terms)
+def top_terms(
+    df: DataFrame, key: str, column: str, max_terms: int = fixed.MAX_TERMS, shortest: int = 1, longest: int = 3
+) -> DataFrame:
+    """The most frequent grams; numbers order ties as their texts would."""
+    most = _statistics(df, key, column, shortest, longest).orderBy(F.desc("tf"), F.asc("number")).limit(max_terms)
+    return most.select(grams.text_of(F.col("number")).alias("gram"), "tf", "df")
 
 
 @dataclass
@@ -44,8 +59,8 @@ class TermModel:
     shortest: int = 1
     longest: int = 3
 
-    def table(self, spark) -> DataFrame:
-        return spark.createDataFrame(list(zip(self.terms, self.idf)), "gram string, idf double")
+    def packed(self) -> grams.Terms:
+        return grams.Terms(self.terms, self.idf, self.shortest, self.longest)
 
     def stages(self, source: str = "grams", target: str = "features") -> PipelineModel:
         return PipelineModel(
@@ -79,20 +94,11 @@ def tfidf_vectors(model: TermModel, df: DataFrame, column: str, target: str = "f
 
 
 def tfidf_long(model: TermModel, df: DataFrame, key: str, column: str) -> DataFrame:
-    """The same weights as rows ``(key, gram, weight)``.
-
-    Grams outside the terms go before the shuffle, and each message's pairs leave
-    their task already packed; a group has at most one entry per term.
-    """
-    terms = F.broadcast(model.table(df.sparkSession))
-    raw = gram_rows(df, key, column, model.shortest, model.longest).join(terms, "gram")
-    weighted = F.col("tf") * F.col("idf")
-    packed = raw.groupBy(key).agg(
-        F.sqrt(F.sum(weighted * weighted)).alias("norm"),
-        F.collect_list(F.struct("gram", weighted.alias("raw"))).alias("pairs"),
-    )
-    rows = packed.select(key, "norm", F.inline("pairs"))
-    return rows.select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+    """The same weights as rows ``(key, gram, weight)``; the norm is taken inside the row, nothing is shuffled."""
+    terms = model.packed()
+    rows = grams.keyed(df, key, text.squeeze(F.col(column)))
+    told = rows.mapInArrow(lambda b: grams.weighed(b, terms), grams.out_schema(df, key, "gram string, weight double"))
+    return told.withColumnRenamed("key", key)
 
 
 def build_vocab(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -52,3 +52,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so later jobs see one version."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes, as JSON text, up to which a settled table may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled table, marked for broadcast if its measured bytes are few; beyond that the same join is shuffled."""
+    settled = settle(df)
+    size = settled.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(settled) if size <= most else settled

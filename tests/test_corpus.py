@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from fraudwatch.functions import labels, text
+from fraudwatch.functions import grams, labels, text
 from fraudwatch.operators import cleaning, splits
 from fraudwatch.plans import features
 from tests.conftest import tuples
@@ -142,14 +142,33 @@ def test_grams_count_like_a_loop(spark, values):
         assert got.get(key, Counter()) == python_grams(value, 1, 3)
 
 
-@settings(max_examples=15, deadline=None)
-@given(values=st.lists(texts, min_size=1, max_size=8), piece=st.integers(1, 5))
-def test_counting_in_pieces_changes_nothing(spark, values, piece):
-    frame = spark.createDataFrame(list(enumerate(values)), "key long, content string")
-    counted = frame.select("key", text.gram_histogram(F.col("content"), 1, 3, piece).alias("h"))
-    for row in counted.collect():
-        assert {e["gram"]: e["tf"] for e in row["h"]} == dict(python_grams(values[row["key"]], 1, 3))
-        assert len(row["h"]) == len({e["gram"] for e in row["h"]})
+@given(value=texts, piece=st.integers(1, 5), sizes=st.sampled_from([(1, 3), (2, 4), (1, 1), (3, 3)]))
+def test_counting_in_pieces_changes_nothing(value, piece, sizes):
+    """Pieces give the counts of the whole text, and numbers sort and spell as the grams do."""
+    numbers, counts = grams.histogram(value, *sizes, piece)
+    whole = grams.histogram(value, *sizes)
+    assert numbers.tolist() == whole[0].tolist() and counts.tolist() == whole[1].tolist()
+    assert sum(counts) == sum(max(0, len(value) - n + 1) for n in range(sizes[0], sizes[1] + 1))
+    if sizes[1] <= 3:
+        told = grams.texts_of(numbers).to_pylist()
+        assert told == sorted(told) and [grams.number_of(g) for g in told] == numbers.tolist()
+
+
+def test_numbers_become_text(spark):
+    told = ["a", "ab", "abc", "\0", "\0a", "贷款😀", "\U0010ffff" * 3]
+    frame = spark.createDataFrame([(grams.number_of(g), g) for g in told], "number bigint, gram string")
+    assert all(r[0] == r[1] for r in frame.select(grams.text_of(F.col("number")), "gram").collect())
+
+
+def test_grams_of_missing_and_long_texts(spark):
+    long = "ab cd" * 200_000
+    frame = spark.createDataFrame([("x", None), ("y", ""), ("z", long), ("z", long)], "key string, content string")
+    got = Counter((r["key"], r["gram"], r["tf"]) for r in features.gram_rows(frame, "key", "content").collect())
+    assert got == Counter({("z", g, n): 2 for g, n in python_grams(long, 1, 3).items()})
+    stats = {r["gram"]: (r["tf"], r["df"]) for r in features.term_statistics(frame, "key", "content").collect()}
+    assert stats == {g: (2 * n, 2) for g, n in python_grams(long, 1, 3).items()}
+    with pytest.raises(ValueError):
+        features.gram_rows(frame, "key", "content", 2, 4)
 
 
 def test_grams_of_a_short_text(one):
