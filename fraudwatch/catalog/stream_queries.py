@@ -74,6 +74,24 @@ def w3_two_streams(spark, folder):
     return spark.read.parquet(out).select("id", "mailbox")
 
 
+@query("w3_redelivered", f"WITH {REP} SELECT id, mailbox, strftime(ts, '%Y-%m-%d') AS day, count(*) OVER () AS counted FROM rep")
+def w3_redelivered(spark, folder):
+    """Every message comes again 29 days later, in the same stream and in one with a new checkpoint: one report, counted once."""
+    inbox, out, state = (new_path(spark, name) for name in ("inbox", "archive", "state"))
+    events = table(spark, folder, "events")
+    days = 0
+    for step in (state, state, new_path(spark, "state")):
+        events.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(days))).write.mode("append").parquet(inbox)
+        arriving = as_messages(detect.read_messages(spark, inbox, events.schema))
+        _finish(detect.detect_stream(arriving, build, out, step, **DRAIN))
+        days += 29
+    counters = new_path(spark, "counters")
+    archived = detect.read_messages(spark, out, spark.read.parquet(out).schema)
+    _finish(detect.counter_stream(detect.running_counts(archived), counters, new_path(spark, "state"), **DRAIN))
+    total = detect.latest_counts(spark, counters).agg(F.sum("n").alias("counted"))  # one row
+    return spark.read.parquet(out).select("id", "mailbox", F.col("report_date").cast("string").alias("day")).crossJoin(total)
+
+
 @query(
     "w3_intercept",
     f"""WITH {DOC}, body AS (SELECT lang, source, CASE WHEN class_id = 3 THEN '' ELSE content END AS body FROM doc)

@@ -7,18 +7,27 @@ No sink keeps rows on the driver.
 """
 
 import hashlib
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from fraudwatch import fixed
 from fraudwatch.functions import labels
-from fraudwatch.operators.reports import fraud_type
+from fraudwatch.operators.reports import fraud_type, report_id
 from fraudwatch.sources import mail
 
 
+# The seen-set's processor travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DAY_MS = 24 * 3600 * 1000
+
+
 def read_messages(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     """New parquet files below ``path``, each read exactly once."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -33,6 +42,66 @@ def unseen(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day")
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+class _FirstOnly(StatefulProcessor):
+    """Passes on the first row of a key; the key is remembered for a time, counted anew by nothing."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "since boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told = list(rows)  # repeats of one report in one batch
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield told[0]
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def remember(stream: DataFrame, key: str, keep_days: float | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Drop rows whose key has been seen, however long ago, or within ``keep_days`` days of processing.
+
+    The keys live in keyed state, partitioned like the stream and looked up one by one,
+    so a batch reads as many entries as it has keys, whatever has been seen before.  A
+    stream that starts anew takes the keys of ``known`` as seen.  The state needs the
+    RocksDB store: start the query inside ``keyed_state``.
+    """
+    keep = None if keep_days is None else max(1, int(keep_days * DAY_MS))
+    initial = None if known is None else known.select(key).groupBy(key)
+    return stream.groupBy(key).transformWithState(
+        _FirstOnly(keep), outputStructType=stream.schema, outputMode="Append", timeMode="None" if keep is None else "ProcessingTime",
+        initialState=initial)
+
+
+KEYED = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Expiry needs no batches of its own: entries go when their partition is next written.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's own settings come back."""
+    before = {setting: spark.conf.get(setting, None) for setting in KEYED}
+    for setting, value in KEYED.items():
+        spark.conf.set(setting, value)
+    try:
+        yield
+    finally:
+        for setting, value in before.items():
+            if value is None:
+                spark.conf.unset(setting)
+            else:
+                spark.conf.set(setting, value)
+
+
 def run_stream(
     stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
     interval: int = fixed.POLL_SECONDS, drain: bool = False,
@@ -72,13 +141,25 @@ def _known_ids(spark: SparkSession, path: str, days: list, run: str, batch: int)
     return found.filter(~own).select("report_date", "id")
 
 
+def archived_ids(spark: SparkSession, path: str) -> DataFrame:
+    """id of every report in the archive; none if there is no archive yet."""
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def archive_sink(
     build: Callable[[DataFrame], DataFrame], path: str, run: str = "0"
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function: build reports and store those whose id is not archived yet.
+    """Batch function: build reports and store those that are not archived yet under their day.
 
-    Reports are dated by their interception, so a batch holds one day, or two
-    around midnight, and only the ids of those days are read back.
+    Of one day's reports each id is stored once, whatever stream brings it, and only the
+    ids of the batch's own days are read back.  What a stream has seen on other days is
+    for ``remember`` to know: ``detect_stream`` and ``intercept`` put it before this sink.
     """
 
     def store(messages: DataFrame, batch: int) -> None:
@@ -97,27 +178,37 @@ def archive_sink(
 
 
 def detect_stream(
-    stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+    keep_days: float | None = None, **trigger
 ) -> StreamingQuery:
-    """Score messages in flight and archive the hits."""
-    return run_stream(stream, archive_sink(build, path, run_name(checkpoint)), checkpoint, **trigger)
+    """Score messages in flight and archive the hits, each report once, on whatever days it comes.
+
+    Reports are remembered by id, for ever or for ``keep_days``.  A new checkpoint starts
+    from the ids in the archive.  ``build`` must be row by row, as members and votes are.
+    """
+    spark = stream.sparkSession
+    fresh = remember(build(stream), "id", keep_days, archived_ids(spark, path))
+    with keyed_state(spark):
+        return run_stream(fresh, archive_sink(lambda reports: reports, path, run_name(checkpoint)), checkpoint, **trigger)
 
 
 def intercept(
     raw_mails: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, bad_path: str, checkpoint: str,
-    delay: str = "1 day", **trigger
+    keep_days: float | None = None, **trigger
 ) -> StreamingQuery:
     """Raw mails to archived reports: read, drop repeats, score, archive.
 
-    Repeats are recognised within ``delay`` of their arrival, whatever date a mail
-    claims, so an old mail that arrives late is still scored.  A mail that cannot be
-    read is held in ``bad_path`` and does not stop the others.  ``build`` gets message
-    columns with ``arrived_at``, which dates the report, and ``sent_at``, the date the
-    sender claims, or null.
+    Mails are remembered by what their report's id is made of, for ever or for
+    ``keep_days``, whatever date a mail claims, so an old mail that arrives late is still
+    scored and a repeat never is.  A mail that cannot be read is held in ``bad_path`` and
+    does not stop the others.  ``build`` gets message columns with ``arrived_at``, which
+    dates the report, and ``sent_at``, the date the sender claims, or null.
     """
+    spark = raw_mails.sparkSession
     messages = mail.timed(mail.parse_mail(mail.content_keyed(raw_mails)))
     arrived = messages.withColumn("arrived_at", F.current_timestamp())
-    fresh = unseen(arrived, ["mailbox", "uid"], "arrived_at", delay)
+    keyed = arrived.withColumn("id", report_id(F.col("mailbox"), F.col("uid")))
+    fresh = remember(keyed, "id", keep_days, archived_ids(spark, path)).drop("id")
     run = run_name(checkpoint)
     archive = archive_sink(build, path, run)
 
@@ -133,7 +224,8 @@ def intercept(
         finally:
             rows.unpersist()
 
-    return run_stream(fresh, store, checkpoint, **trigger)
+    with keyed_state(spark):
+        return run_stream(fresh, store, checkpoint, **trigger)
 
 
 def running_counts(reports: DataFrame, time: str = "timestamp", scam_type: Column | None = None):

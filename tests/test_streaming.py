@@ -54,6 +54,32 @@ def test_a_retried_batch_leaves_one_copy(spark):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_a_mail_on_day_1_and_day_30_is_one_report(spark):
+    """Also from a new checkpoint, which starts with what the archive holds."""
+    inbox, out, state = (new_path(spark, n) for n in ("inbox", "out", "state"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for day, checkpoint in ((1, state), (30, state), (31, new_path(spark, "state"))):
+        deliver(spark, inbox, [message(1, day), message(day + 1, day)])
+        detect.detect_stream(stream(spark, inbox), build, out, checkpoint, drain=True).awaitTermination()
+    stored = spark.read.parquet(out).groupBy(F.col("report_date").cast("string")).count()
+    assert tuples(stored) == [("2024-01-01", 2), ("2024-01-30", 1), ("2024-01-31", 1)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_what_is_remembered_expires(spark):
+    import time
+
+    inbox, out, state = (new_path(spark, n) for n in ("inbox", "out", "state"))
+    for _ in range(2):
+        deliver(spark, inbox, [message(1), message(1)])
+        fresh = detect.remember(stream(spark, inbox), "msg_key", 1 / detect.DAY_MS)
+        with detect.keyed_state(spark):
+            running = detect.run_stream(fresh, lambda rows, batch: detect.write_batch(rows, out, batch), state, drain=True)
+        running.awaitTermination()
+        time.sleep(0.1)
+    assert spark.read.parquet(out).count() == 2
+
+
 def test_two_streams_keep_each_others_reports(spark):
     """Batch numbers start anew with a second checkpoint; what is archived stays."""
     out = new_path(spark, "out")
