@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from fraudwatch.operators import ensemble, evaluate, splits
-from fraudwatch.plans import members
+from fraudwatch.plans import boosting, members, vectors
 from fraudwatch.session import new_path
 
 WORDS = {0: "明天开会记得带材料", 1: "公安局通知你涉嫌洗钱", 2: "低息贷款无需抵押", 3: "客服退款请点链接", 4: "我是领导急需转账"}
@@ -34,8 +34,125 @@ def floors(member, corpus):
 
 
 def test_boosted(spark, corpus):
+    """All 300 and 150 rounds; a saved copy scores alike, and so does a fit of the same rows in other partitions."""
     train = corpus.filter("split = 'train'")
-    floors(members.fit_boosted(train, "msg_key", "content", 300, rounds1=6, rounds2=3, depth=3), corpus)
+    member = members.fit_boosted(train, "msg_key", "content")
+    floors(member, corpus)
+    assert sum(len(p[0]) for p in member.stage1.passes) == 300 and sum(len(p[0]) for p in member.stage2.passes) == 4 * 150
+    path = new_path(spark, "bundle")
+    member.save(path)
+    again = members.Member.load(spark, path)
+    other = members.fit_boosted(train.repartition(7), "msg_key", "content")
+    scores = lambda m: {r["msg_key"]: (r["prob"], r["stage2"]) for r in m.score(corpus).collect()}
+    assert again.params == member.params and scores(again) == scores(member) == scores(other)
+
+
+def test_boosting_on_a_bounded_sample(spark, corpus):
+    member = members.fit_boosted(corpus.filter("split = 'train'"), "msg_key", "content", rounds1=40, rounds2=20, fit_rows=180)
+    judged = member.predict(corpus.filter("split = 'test'"))
+    assert evaluate.accuracy(judged, "class_id", "predicted").first()[0] > 0.6
+
+
+def test_boosting_of_nothing(spark, corpus):
+    """No rows, or rows of one class, give a member that scores without failing."""
+    none = members.fit_boosted(corpus.where("false"), "msg_key", "content", rounds1=5, rounds2=5)
+    normal = members.fit_boosted(corpus.where("class_id = 0"), "msg_key", "content", rounds1=5, rounds2=5)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "天" * 5000)], "msg_key long, content string")
+    assert [0 <= r["prob"] <= 1 for r in none.score(odd).collect()] == [True] * 3
+    assert all(r["prob"] < 0.5 for r in normal.score(odd).collect())
+
+
+def test_tree_against_an_exhaustive_search():
+    """The first cut of a tree is the best one, and leaves hold the Newton step of their rows."""
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 4, (400, 6)).astype(np.uint8)
+    gradient, hessian = rng.normal(size=400) + (table[:, 2] > 1), np.ones(400)
+    row, term = np.nonzero(table)
+    terms, cuts, leaves = boosting.grow(row, term, table[row, term], gradient, hessian, 1, 0.1)
+    gain = lambda m: gradient[m].sum() ** 2 / (m.sum() + boosting.PENALTY)
+    best = max((gain(table[:, t] > c) + gain(table[:, t] <= c), t, c) for t in range(6) for c in range(4)
+               if 20 <= (table[:, t] > c).sum() <= 380)
+    assert (terms[0], cuts[0]) == best[1:]
+    above = table[:, best[1]] > best[2]
+    step = lambda m: -0.1 * gradient[m].sum() / (m.sum() + boosting.PENALTY)
+    assert np.allclose(leaves, [step(~above), step(above)])
+    forest = boosting.Forest(1, [0.0], [(np.array([0]), terms[None], cuts[None], leaves[None])])
+    assert np.allclose(forest.raw(400, row, term, table[row, term])[:, 0], np.where(above, leaves[1], leaves[0]))
+
+
+def test_open_labels(spark, corpus):
+    """Seven text labels, trained, saved, loaded and named; rows without a label are left out."""
+    kinds = ["正常", "刷单", "中奖", "校园贷", "杀猪盘", "退款", "冒充", None]
+    rows = [(i, [float(i % 8 == k) + 0.01 * (i % 3) for k in range(8)], kinds[i % 8]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "msg_key long, v array<double>, label string")
+    path = new_path(spark, "bundle")
+    members.fit_semantic(frame, "v", embedded=True, key="msg_key", label="label", normal="正常").save(path)
+    again = members.Member.load(spark, path)
+    assert again.names == kinds[1:7]
+    told = again.predict(frame.where("label IS NOT NULL")).select("label", "predicted_label", again.type_name(F.lit(99)).alias("far")).distinct()
+    assert sorted(map(tuple, told.collect())) == sorted((k, k, "未知诈骗") for k in kinds[:7])
+    scored = members.score_members(frame.where("label = '刷单'"), {"open": again}).first()["scores"][0]
+    assert scored["type"] == "刷单" and scored["prob"] > 0.85
+
+
+def test_open_labels_of_boosted_trees(spark, corpus):
+    words = {0: "正常", 1: "公检法", 2: "贷款", 3: "客服", 4: "领导"}
+    named = corpus.withColumn("label", F.get(F.array(*[F.lit(w) for w in words.values()]), F.col("class_id"))).drop("class_id")
+    member = members.fit_boosted(named.where("split = 'train'"), "msg_key", "content", label="label", normal="正常")
+    path = new_path(spark, "bundle")
+    member.save(path)
+    judged = members.Member.load(spark, path).predict(named.where("split = 'test'"))
+    assert judged.select(F.avg((F.col("label") == F.col("predicted_label")).cast("int"))).first()[0] > 0.8
+
+
+def test_vectors_do_not_depend_on_partitions(spark, corpus):
+    one, many = (vectors.fit(corpus.repartition(n), "content", 16) for n in (1, 9))
+    assert one == many and len(one) == corpus.select(F.explode(F.split("content", "")).alias("c")).where("c <> ''").distinct().count()
+    assert vectors.fit(corpus.where("false"), "content", 16) == {}
+    rows = spark.createDataFrame([(None,), ("",), ("zzz",), ("天天",)], "t string")
+    got = [r[0] for r in rows.select(vectors.averager(one, 16)(F.col("t"))).collect()]
+    assert got[:3] == [[0.0] * 16] * 3 and np.allclose(got[3], one["天"])
+
+
+def test_cooccurrence_by_hand(spark):
+    rows = spark.createDataFrame([("aba",), ("",), (None,), ("b",)], "t string")
+    got = {(r["pair"] >> 21, r["pair"] & (2**21 - 1)): r["n"] for r in vectors.cooccurrence(rows, "t", 2).collect()}
+    a, b = ord("a") + 1, ord("b") + 1
+    assert got == {(a, 0): 2, (b, 0): 2, (a, b): 2, (a, a): 1}
+
+
+def test_failing_rows_stand_alone(spark):
+    def loader():
+        def judge(texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("no way\nmore")
+            return [(0.9, t) for t in texts]
+
+        return judge
+
+    frame = spark.createDataFrame([(i, "bad" if i % 50 == 7 else f"t{i}") for i in range(300)], "k int, t string").coalesce(1)
+    got = {r["k"]: tuple(r["scored"]) for r in members.score_guarded(frame, F.col("t"), loader, batch=64).collect()}
+    assert got == {i: (None, None, "RuntimeError: no way") if i % 50 == 7 else (0.9, f"t{i}", None) for i in range(300)}
+
+    def broken():
+        raise OSError("gone")
+
+    assert {tuple(r["scored"]) for r in members.score_guarded(frame, F.col("t"), broken).collect()} == {(None, None, "OSError: gone")}
+    short = lambda: lambda texts: [(1.0, "x")] * (len(texts) - 1)
+    assert "results for" in members.score_guarded(frame.limit(3), F.col("t"), short).first()["scored"]["error"]
+
+
+def test_members_of_all_kinds_vote(spark, corpus):
+    fitted = members.fit_presence(corpus.filter("split = 'train'"), "content", buckets=1 << 10, iterations=5)
+    answers = spark.createDataFrame([(1, "assistant 贷款诈骗"), (1, "assistant 正常"), (2, "正常")], "msg_key long, answer string")
+    voters = {"presence": fitted, "answers": members.AnswerMember("answers", answers, "msg_key"),
+              "called": members.CalledMember("called", "content", lambda: lambda texts: [(float(len(t) > 1), "长") for t in texts]), "lost": "gone"}
+    rows = {r["msg_key"]: r["scores"] for r in members.score_members(corpus, voters).collect()}
+    assert len(rows) == 300 and all(len(s) == 4 for s in rows.values())
+    assert rows[1][1]["type"] == "正常"  # the first answer in order of text
+    assert rows[2][1]["prob"] == 0.0 and rows[3][1]["prob"] is None and rows[3][3]["error"] == "gone"
+    chosen = members.score_members(corpus, voters, ["called"]).first()["scores"]
+    assert [s["model"] for s in chosen] == ["called"]
 
 
 def test_presence_and_bundle(spark, corpus):
