@@ -226,12 +226,9 @@ def e1_four_members(spark, folder):
 
 
 FITTED_SQL = f"""WITH {TAIL}, t AS (SELECT class_id FROM tail WHERE split = 'test'),
-  v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n,
-      CASE WHEN label = 0 THEN 0 ELSE (label - 1) % 4 + 1 END AS class_id, vec_id FROM embeddings),
-  c AS (SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY class_id) AS n FROM v),
+  v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
   m AS (
     SELECT unnest(['boosted', 'presence', 'semantic_text']) AS member, class_id FROM t
-    UNION ALL SELECT 'semantic', class_id FROM c WHERE rn > n - floor(n * 0.1::DOUBLE)
     UNION ALL SELECT 'labelled', label FROM v WHERE rn > n - floor(n * 0.1::DOUBLE))
   SELECT member, count(*) AS support, TRUE AS accuracy_agrees, TRUE AS above_majority, count(*) FILTER (WHERE class_id = 0) AS normals,
     0 AS missing FROM m GROUP BY member"""
@@ -239,12 +236,11 @@ FITTED_SQL = f"""WITH {TAIL}, t AS (SELECT class_id FROM tail WHERE split = 'tes
 
 @query("v4_fitted_members", FITTED_SQL)
 def v4_fitted_members(spark, folder):
-    """Train, cascade, evaluate: every fitted member judged on its test part."""
+    """Train, cascade, evaluate: members of every kind judged on their test parts."""
     test = parts(spark, folder)[1]
     judged = {
         "boosted": boosted(spark, folder).predict(test), "presence": presence(spark, folder).predict(test),
         "semantic_text": semantic_text(spark, folder).predict(test),
-        "semantic": semantic(spark, folder).predict(vectors(spark, folder).filter("split = 'test'")),
         "labelled": labelled(spark, folder).predict(labelled_vectors(spark, folder).filter("split = 'test'")).withColumn(
             "class_id", F.when(F.col("label") == F.col("predicted_label"), F.col("predicted")).otherwise(
                 F.when(F.col("label") == "正常", 0).otherwise(F.regexp_extract("label", "[0-9]+", 0).cast("int") + 100))),

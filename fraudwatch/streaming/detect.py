@@ -22,7 +22,7 @@ from fraudwatch.operators.reports import fraud_type, report_id
 from fraudwatch.sources import mail
 
 
-# The seen-set's processor travels with the job.
+# The processor of expiring keys travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DAY_MS = 24 * 3600 * 1000
@@ -42,41 +42,67 @@ def unseen(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day")
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def remember(stream: DataFrame, key: str, known_path: str | None = None) -> DataFrame:
+    """Drop rows whose key has been seen, however long ago.
+
+    The keys live in keyed state, partitioned like the stream and looked up one by one,
+    so a batch reads as many entries as it has keys, whatever has been seen before.
+    Keys stored under ``known_path`` enter the state with the first batch; pass that
+    batch through ``without_known``.  Start the query inside ``keyed_state``.
+    """
+    if known_path is None:
+        return stream.dropDuplicates([key])
+    spark = stream.sparkSession
+    schema = T.StructType([T.StructField(key, stream.schema[key].dataType)])
+    known = spark.readStream.schema(schema).parquet(known_path).withColumn("_known", F.lit(True))
+    both = stream.withColumn("_known", F.lit(False)).unionByName(known, allowMissingColumns=True)
+    return both.dropDuplicates([key]).where(~F.col("_known")).drop("_known")
+
+
+def keep_known(known: DataFrame, key: str, checkpoint: str) -> str:
+    """Store beside a new checkpoint, once, which keys are known at its start."""
+    path = checkpoint.rstrip("/") + "-known"
+    known.select(key).distinct().write.mode("ignore").parquet(path)
+    return path
+
+
+def without_known(store: Callable[[DataFrame, int], None], key: str, known_path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that sees no known key: in the first batch, either of two equal keys may have come first."""
+
+    def fresh(rows: DataFrame, batch: int) -> None:
+        known = rows.sparkSession.read.schema(T.StructType([rows.schema[key]])).parquet(known_path) if batch == 0 else None
+        store(rows if known is None else rows.join(known, key, "left_anti").select(*rows.columns), batch)
+
+    return fresh
+
+
 class _FirstOnly(StatefulProcessor):
-    """Passes on the first row of a key; the key is remembered for a time, counted anew by nothing."""
+    """Passes on the first row of a key and remembers the key for a time."""
 
-    def __init__(self, keep_ms: int | None):
+    def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle) -> None:
         self.seen = handle.getValueState("seen", "since boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        told = list(rows)  # repeats of one report in one batch
+        told = list(rows)  # repeats of one key in one batch
         if not self.seen.exists():
             self.seen.update((True,))
             yield told[0]
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
-
     def close(self) -> None:
         pass
 
 
-def remember(stream: DataFrame, key: str, keep_days: float | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Drop rows whose key has been seen, however long ago, or within ``keep_days`` days of processing.
+def remember_for(stream: DataFrame, key: str, days: float) -> DataFrame:
+    """Drop rows whose key was passed on within so many days of processing time; older keys leave the state.
 
-    The keys live in keyed state, partitioned like the stream and looked up one by one,
-    so a batch reads as many entries as it has keys, whatever has been seen before.  A
-    stream that starts anew takes the keys of ``known`` as seen.  The state needs the
-    RocksDB store: start the query inside ``keyed_state``.
+    Some milliseconds a key, since the state is asked from Python: for streams whose
+    keys must expire.  Start the query inside ``keyed_state``.
     """
-    keep = None if keep_days is None else max(1, int(keep_days * DAY_MS))
-    initial = None if known is None else known.select(key).groupBy(key)
     return stream.groupBy(key).transformWithState(
-        _FirstOnly(keep), outputStructType=stream.schema, outputMode="Append", timeMode="None" if keep is None else "ProcessingTime",
-        initialState=initial)
+        _FirstOnly(max(1, int(days * DAY_MS))), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
 KEYED = {
@@ -177,6 +203,17 @@ def archive_sink(
     return store
 
 
+def _once(
+    stream: DataFrame, key: str, store: Callable[[DataFrame, int], None], path: str, checkpoint: str, keep_days: float | None, trigger: dict
+) -> StreamingQuery:
+    """Start a query whose batches hold each key once, for ever or for some days."""
+    spark = stream.sparkSession
+    known = keep_known(archived_ids(spark, path), key, checkpoint)
+    fresh = remember(stream, key, known) if keep_days is None else remember_for(stream, key, keep_days)
+    with keyed_state(spark):
+        return run_stream(fresh, without_known(store, key, known), checkpoint, **trigger)
+
+
 def detect_stream(
     stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
     keep_days: float | None = None, **trigger
@@ -186,10 +223,8 @@ def detect_stream(
     Reports are remembered by id, for ever or for ``keep_days``.  A new checkpoint starts
     from the ids in the archive.  ``build`` must be row by row, as members and votes are.
     """
-    spark = stream.sparkSession
-    fresh = remember(build(stream), "id", keep_days, archived_ids(spark, path))
-    with keyed_state(spark):
-        return run_stream(fresh, archive_sink(lambda reports: reports, path, run_name(checkpoint)), checkpoint, **trigger)
+    store = archive_sink(lambda reports: reports, path, run_name(checkpoint))
+    return _once(build(stream), "id", store, path, checkpoint, keep_days, trigger)
 
 
 def intercept(
@@ -204,16 +239,14 @@ def intercept(
     does not stop the others.  ``build`` gets message columns with ``arrived_at``, which
     dates the report, and ``sent_at``, the date the sender claims, or null.
     """
-    spark = raw_mails.sparkSession
     messages = mail.timed(mail.parse_mail(mail.content_keyed(raw_mails)))
     arrived = messages.withColumn("arrived_at", F.current_timestamp())
     keyed = arrived.withColumn("id", report_id(F.col("mailbox"), F.col("uid")))
-    fresh = remember(keyed, "id", keep_days, archived_ids(spark, path)).drop("id")
     run = run_name(checkpoint)
     archive = archive_sink(build, path, run)
 
     def store(rows: DataFrame, batch: int) -> None:
-        rows = rows.persist()
+        rows = rows.drop("id").persist()
         try:
             # The closing batch of a drained stream is empty, and most batches hold nothing back.
             found = rows.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad")).first()
@@ -224,8 +257,7 @@ def intercept(
         finally:
             rows.unpersist()
 
-    with keyed_state(spark):
-        return run_stream(fresh, store, checkpoint, **trigger)
+    return _once(keyed, "id", store, path, checkpoint, keep_days, trigger)
 
 
 def running_counts(reports: DataFrame, time: str = "timestamp", scam_type: Column | None = None):

@@ -72,7 +72,7 @@ def test_what_is_remembered_expires(spark):
     inbox, out, state = (new_path(spark, n) for n in ("inbox", "out", "state"))
     for _ in range(2):
         deliver(spark, inbox, [message(1), message(1)])
-        fresh = detect.remember(stream(spark, inbox), "msg_key", 1 / detect.DAY_MS)
+        fresh = detect.remember_for(stream(spark, inbox), "msg_key", 1 / detect.DAY_MS)
         with detect.keyed_state(spark):
             running = detect.run_stream(fresh, lambda rows, batch: detect.write_batch(rows, out, batch), state, drain=True)
         running.awaitTermination()
