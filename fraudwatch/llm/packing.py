@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from fraudwatch.llm.base import blocks, kept, shipped, small_batches
-from fraudwatch.operators.ordering import global_rank
+from fraudwatch.llm.base import blocks, broadcast_if_small, kept, shipped, small_batches
 from fraudwatch.session import settle
 
 shipped(__name__)
@@ -25,7 +24,7 @@ WIDENED_ROWS = 500
 #: Marks that the vocabulary's rules always part from a letter before them.
 MARKS = b",.!?;:*$%&#+-=()[]{}|/\\\"<>@^_~`"
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, turn bigint"
 
 
 def cuts(tokens: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -93,7 +92,8 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
     """Cut the ids of every document into pieces whose lengths are powers of two up to ``most``.
 
     ``ids`` holds a piece's ids as little-endian integers: of 16 bits where all ids
-    of the document fit, of 32 bits elsewhere; ``widened`` makes all 32 bits.  A null
+    of the document fit, of 32 bits elsewhere; ``widened`` makes all 32 bits.  ``turn``
+    numbers the pieces of one length within a task.  A null
     or empty text is its end id alone; a null doc_id keeps its pieces.  Repeated rows
     give repeated pieces.  Columns other than doc_id and text are not looked at.
     Rows stay in the task that reads them: nothing is shuffled.
@@ -102,8 +102,9 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(("encoder", vocabulary), lambda: Encoder(vocabulary))
+        turns: dict[int, int] = {}
         for batch in blocks(batches, "text"):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 ids += end
@@ -112,10 +113,11 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
                     ids, width = wide.astype("<u2").tobytes(), 2
                 for start, length in cuts(tokens, most):
                     piece = ids[width * start : width * (start + length)]
-                    for column, value in zip(out, (doc_id, start, length, piece, tokens)):
+                    turn = turns[length] = turns.get(length, -1) + 1
+                    for column, value in zip(out, (doc_id, start, length, piece, tokens, turn)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            names = ["doc_id", "start", "length", "ids", "doc_tokens", "turn"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -142,13 +144,22 @@ def pack(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int =
 
     ``sequence_id`` numbers the sequences from 0 by length, longest first, so a
     range of ids is a bucket of equal lengths from which batches are drawn;
-    ``offset`` is always 0.  ``ids`` holds little-endian 32-bit integers; while rows
-    are sorted they are held in 16 bits where they fit.  An empty table gives an
-    empty table.
+    ``offset`` is always 0.  ``ids`` holds little-endian 32-bit integers, 16 bits on
+    the way where they fit.  An empty table gives an empty table.
+
+    Nothing is sorted or shuffled: the encoding task numbers its pieces of each length,
+    and there are few lengths, so the counts per task and length are all it takes to
+    turn those numbers into the ids of the whole table.
     """
     with small_batches(docs.sparkSession):
-        cut = settle(pieces(docs, vocabulary, most, end_id))  # sorting looks at its input twice
-    # The checksum stands for the ids as the last key: the sort's sample goes to the driver.
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.crc32("ids")]
-    ranked = global_rank(cut, order, "sequence_id")
-    return widened(ranked.withColumn("sequence_id", F.col("sequence_id") - 1).withColumn("offset", F.lit(0).cast("bigint")))
+        cut = settle(pieces(docs, vocabulary, most, end_id).withColumn("part", F.spark_partition_id()))
+    counts = settle(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("length").agg(F.sum("n").alias("n"))  # one row per power of two
+    longer = totals.select("length", (F.sum("n").over(Window.orderBy(F.desc("length"))) - F.col("n")).alias("longer"))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    firsts = counts.withColumn("earlier", earlier).join(F.broadcast(longer), "length")
+    # A row per task, with at most one entry per power of two.
+    entry = F.struct("length", (F.col("longer") + F.col("earlier")).alias("first"))
+    known = broadcast_if_small(firsts.groupBy("part").agg(F.map_from_entries(F.collect_list(entry)).alias("firsts")))
+    numbered = cut.join(known, "part").withColumn("sequence_id", F.element_at("firsts", F.col("length")) + F.col("turn"))
+    return widened(numbered.drop("part", "firsts", "turn").withColumn("offset", F.lit(0).cast("bigint")))
