@@ -124,14 +124,17 @@ def op4(spark, folder):
 
 
 LINES = """
-WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-f AS (SELECT coalesce(source, '') AS site, list_filter(list_distinct(list_transform(ls, lambda x:
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+f AS (SELECT row, coalesce(source, '') AS site, list_filter(list_distinct(list_transform(ls, lambda x:
     trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))), lambda x: x <> '') AS full_lines FROM d),
-o AS (SELECT site, full_lines, list_reverse_sort(list_transform(full_lines, lambda x: {{'n': length(x), 'line': x}})) AS sized FROM f),
-u AS (SELECT site, sized, unnest(full_lines) AS line FROM o),
-l AS (SELECT line, site, CASE WHEN line = sized[1].line THEN coalesce(sized[2].line, '') ELSE sized[1].line END AS body FROM u),
-b AS (SELECT line, body, min(site) AS site FROM l GROUP BY line, body),
-gone AS (SELECT line FROM b GROUP BY line HAVING count(DISTINCT site) >= {sites}),
+u AS (SELECT row, site, unnest(full_lines) AS line FROM f),
+c AS (SELECT line FROM u GROUP BY line HAVING count(DISTINCT site) >= {sites}),
+m AS (SELECT u.row, u.line, length(u.line) AS n, c.line IS NOT NULL AS spread FROM u LEFT JOIN c USING (line)),
+r AS (SELECT row, list(line ORDER BY line) FILTER (NOT spread) AS own, count(*) FILTER (NOT spread) AS own_lines, count(*) AS all_lines,
+    coalesce(sum(n) FILTER (NOT spread), 0) AS own_n, sum(n) AS all_n, list(line ORDER BY n DESC, line DESC) FILTER (spread) AS met FROM m GROUP BY row),
+b AS (SELECT m.line, CASE WHEN 2 * own_lines >= all_lines - 1 OR 2 * own_n >= all_n - n THEN 'own' || coalesce(array_to_string(own, chr(10)), '')
+    ELSE 'met' || CASE WHEN m.line = met[1] THEN met[2] ELSE met[1] END END AS body FROM m JOIN r USING (row) WHERE spread),
+gone AS (SELECT line FROM b GROUP BY line HAVING count(DISTINCT body) >= {sites}),
 x AS (SELECT doc_id, text, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
 k AS (SELECT doc_id, text, i, x.line, gone.line IS NULL AS stays
   FROM x LEFT JOIN gone ON gone.line = trim(x.line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))),

@@ -2,7 +2,9 @@
 
 A line that stands on many sites is boilerplate.  Per line hash a HyperLogLog
 sketch of its sites is built by a mergeable aggregate.  Estimates far from the
-threshold decide; lines near it get an exact distinct count.  Only then are the
+threshold decide; lines near it get an exact distinct count.  A document that many
+sites copied would spread all its lines like that, so the lines found must also stand
+in many different documents, which is counted in the same way.  Only then are the
 lines cut out of the documents.
 """
 
@@ -32,35 +34,59 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """line, site of every distinct line in every distinct document body, slim.
-
-    Copies of a document are one document: for a line, documents with the same
-    longest other line count once, with the smallest of their sites, so that a
-    whole document that many sites copied is not taken for boilerplate.
-    """
+def told_lines(docs: DataFrame) -> DataFrame:
+    """row, site, line, n, place of every distinct line of every row, slim; place 0 is a row's longest line (ties by text)."""
     full = F.filter(F.array_distinct(F.transform(_lines(F.col("text")), trimmed)), lambda x: x != "")
     site = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    told = docs.select(full.alias("full"), site.alias("site"))
     sized = F.sort_array(F.transform("full", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))), asc=False)
-    told = told.withColumn("longest", F.transform(F.slice(sized, 1, 2), lambda x: x["line"]))
-    told = told.select("site", "longest", F.explode("full").alias("text"))
-    first, second = F.col("longest")[0], F.get("longest", F.lit(1))
-    other = F.when(F.col("text") == first, F.coalesce(second, F.lit(""))).otherwise(first)
-    told = told.select(F.xxhash64("text").alias("line"), F.xxhash64(other).alias("body"), "site")
-    return told.groupBy("line", "body").agg(F.min("site").alias("site")).select("line", "site")
+    # The number is given to the row before its lines are dealt out.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(site).alias("site"), full.alias("full"))
+    rows = rows.select("row", "site", F.posexplode(sized).alias("place", "told"))
+    return rows.select("row", "site", F.xxhash64("told.line").alias("line"), "told.n", "place")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines that stand on at least ``min_sites`` distinct sites (in distinct documents)."""
-    told = settle(spread(docs))
-    sketched = told.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    # A line in fewer documents than sites are asked for needs no estimate.
+def spread(told: DataFrame, line: str, of: str, least: int) -> DataFrame:
+    """Lines with at least ``least`` distinct values of a column: by sketch, and exactly near the threshold."""
+    sketched = told.groupBy(line).agg(F.count(F.lit(1)).alias("times"), F.hll_sketch_agg(of, F.lit(LG_K)).alias("sketch"))
+    # A line that is met less often needs no estimate.
     estimate = F.hll_sketch_estimate("sketch")
-    guessed = settle(sketched.where(F.col("n") >= min_sites).select("line", estimate.alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR)))
-    near = broadcast_if_small(guessed.where(F.col("sites") < min_sites * (1 + NEAR)).select("line"))
-    exact = told.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
-    return guessed.where(F.col("sites") >= min_sites * (1 + NEAR)).select("line").unionByName(exact.select("line"))
+    guessed = sketched.where(F.col("times") >= least).select(line, estimate.alias("values"))
+    guessed = settle(guessed.where(F.col("values") >= least * (1 - NEAR)))
+    near = broadcast_if_small(guessed.where(F.col("values") < least * (1 + NEAR)).select(line))
+    pairs = told.join(near, line, "left_semi").select(line, of).distinct()
+    exact = pairs.groupBy(line).agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= least)
+    return guessed.where(F.col("values") >= least * (1 + NEAR)).select(line).unionByName(exact.select(line))
+
+
+def bodies(told: DataFrame, candidates: DataFrame) -> DataFrame:
+    """line and body of every candidate line in every row: what its document is apart from it.
+
+    A document is known by its own lines, those that are no candidates, if they are at
+    least half of the other lines or of their characters.  Else most of it stands
+    elsewhere too, as in a copy that was changed here and there, and it is known by the
+    longest other candidate.
+    """
+    marked = told.join(candidates.withColumn("spread", F.lit(True)), "line", "left")
+    own = F.col("spread").isNull()
+    ones = F.struct("place", "line", "n")
+    # At most the document's own lines; the hashes of its own lines, taken together, stand for their set.
+    rows = marked.groupBy("row").agg(
+        F.collect_list(F.when(~own, ones)).alias("met"), F.bit_xor(F.when(own, F.xxhash64("line"))).alias("own_set"),
+        F.count_if(own).alias("own"), F.count(F.lit(1)).alias("all"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_n"),
+        F.sum("n").alias("all_n"))
+    rows = rows.where(F.size("met") > 0).withColumn("met", F.sort_array("met"))
+    first, second = F.get("met", F.lit(0))["line"], F.get("met", F.lit(1))["line"]
+    each = rows.select("own_set", "own", "all", "own_n", "all_n", first.alias("first"), second.alias("second"), F.inline("met"))
+    known = (2 * F.col("own") >= F.col("all") - 1) | (2 * F.col("own_n") >= F.col("all_n") - F.col("n"))
+    other = F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return each.select("line", F.xxhash64(known, F.when(known, F.col("own_set")).otherwise(other)).alias("body"))
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Hashes of the lines that stand on at least ``min_sites`` distinct sites, in as many different documents."""
+    told = settle(told_lines(docs))
+    candidates = broadcast_if_small(spread(told, "line", "site", min_sites))
+    return spread(settle(bodies(told, candidates)), "line", "body", min_sites)
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
@@ -69,8 +95,9 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool =
     Lines end at \\n and are compared without the white space around them; blank
     lines stay.  Null text stays null, and a row without source counts as the site
     with the empty name.  Rows may be left with an empty text; none is dropped, and
-    repeated rows stay.  With ``counts`` two more columns tell the lines before and
-    the lines cut.
+    repeated rows stay.  A document that many sites copied keeps its lines, also if it
+    is a single line.  With ``counts`` the columns ``lines`` and ``lines_cut`` tell the
+    lines before and the lines cut; own columns of those names are replaced.
     """
     gone = broadcast_if_small(boilerplate(docs, min_sites))
     key, cut, new = (free_name(docs, name) for name in ("cut_key", "cut_lines", "cut_text"))

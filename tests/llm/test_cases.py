@@ -212,6 +212,27 @@ def test_lines(spark, documents):
     assert line_dedup.drop_boilerplate(documents([])).collect() == []
 
 
+@pytest.mark.parametrize("sites", [9, 30])
+def test_lines_on_true_sites(documents, sites):
+    """Sites count however footers, bodies and copies are mixed; what many sites copied as a whole stays."""
+    footer, longer = "short footer", "a footer that is a good deal longer than the documents above it are"
+    both = [(i, f"own text {i}\n{footer}\n{longer}", f"s{i % sites}") for i in range(90)]
+    under = [(200 + i, f"body number {i // sites} is copied to every site\nunder all", f"s{i % sites}") for i in range(30 * sites)]
+    copied = [(2000 + i, "\n".join(f"line {k} of a long copied text" for k in range(9) if (i + k) % 13 or i % 3), f"s{i % sites}") for i in range(90)]
+    alone = [(3000 + i, "a document of one line", f"s{i % sites}") for i in range(60)]
+    rows = both + under + copied + alone
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(documents(rows)).collect()}
+    gone = {footer, longer, "under all"} if sites >= 10 else set()
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t, _ in rows}
+
+
+def test_lines_of_very_long_texts(documents):
+    long = "\n".join(f"line {k}" for k in range(20_000))
+    rows = [(i, f"{long}\nown {i}\nfooter" if i < 2 else f"own {i}\nfooter", f"s{i}") for i in range(12)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(documents(rows)).collect()}
+    assert got == {i: t.removesuffix("\nfooter") for i, t, _ in rows}
+
+
 def test_spread_near_the_threshold_is_exact(spark, documents):
     rows = []
     for line in range(40):
