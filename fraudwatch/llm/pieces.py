@@ -43,38 +43,70 @@ class Pieces:
         self.most = max(map(len, self.ids))
         # Where no piece has a space after another character, each space that follows one starts anew.
         self.spaces_first = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # When a piece is made: the best score is merged first.
+        places = {score: place for place, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {piece: places[score] for piece, score in self.score.items() if len(piece) > 1}
+        # What a piece can end with: no longer piece ends where the text so far does not.
+        self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
         self._follows: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best-scored, then leftmost, neighbours until none is left."""
-        parts = list(text)
-        while True:
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes a piece of several characters, or none if other merges come first.
+
+        The best-scored, then leftmost, neighbours are merged until none is left.
+        """
+        if piece in self._halves:
+            return self._halves[piece]
+        parts, last = list(piece), None
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
+                rank = self.rank.get(parts[i] + parts[i + 1])
+                if rank is not None and (best is None or rank < best):
+                    best, at = rank, i
             if at < 0:
-                return parts
+                last = None
+                break
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self._halves[piece] = last
+        return last
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether two pieces next to each other stay as they are."""
+        """Whether two pieces next to each other stay as they are.
+
+        Their merges are undone, the latest first.  What then stands at the boundary
+        would have merged across it if that merge comes before the ones undone; of two
+        equal ranks the left one comes first.
+        """
         key = (left, right)
         found = self._follows.get(key)
-        if found is None:
-            if len(self._follows) >= CACHE_WORDS:
-                self._follows.clear()
-            found = self._follows[key] = self.merged(left + right) == [left, right]
+        if found is not None:
+            return found
+        if len(self._follows) >= CACHE_WORDS:
+            self._follows.clear()
+        rank, limit = self.rank, len(self.score) + 1
+        while True:
+            across = rank.get(left + right)
+            if across is not None and across < limit:
+                found = False
+                break
+            made, then = rank.get(left, -1) if len(left) > 1 else -1, rank.get(right, -1) if len(right) > 1 else -1
+            if made > then:
+                limit, left = made, self.halves(left)[1]
+            elif then >= 0:
+                limit, right = then + 1, self.halves(right)[0]
+            else:
+                found = True
+                break
+        self._follows[key] = found
         return found
 
     def whole(self, piece: str) -> bool:
         """Whether a piece is its own encoding."""
-        if piece not in self._halves:
-            self._halves[piece] = self.merged(piece) == [piece]
-        return self._halves[piece]
+        return len(piece) < 2 or self.halves(piece) is not None
 
 
 def stream(pieces: Pieces, chars: Iterable[str]) -> Iterator[str]:
@@ -84,6 +116,7 @@ def stream(pieces: Pieces, chars: Iterable[str]) -> Iterator[str]:
     piece.  The window keeps the ends that a later piece can still start from.
     """
     most, base, window = pieces.most, 0, ""  # ``base`` counts the characters before the window
+    rank, tails = pieces.rank, pieces.tails
     last: list[tuple[int, str] | None] = [None]  # for each prefix that ends in the window: start and text of its last piece
 
     def settle(upto: int) -> list[str]:
@@ -100,8 +133,11 @@ def stream(pieces: Pieces, chars: Iterable[str]) -> Iterator[str]:
         found = None
         for start in range(n - 1, max(-1, n - 1 - most), -1):
             piece = window[start:]
-            if len(piece) > 1 and (piece not in pieces.score or not pieces.whole(piece)):
-                continue
+            if start < n - 1:
+                if piece not in tails:
+                    break
+                if piece not in rank or not pieces.whole(piece):
+                    continue
             before = last[start]
             if before is None or pieces.follows(before[1], piece):
                 found = (start, piece)  # one piece only can end a prefix
