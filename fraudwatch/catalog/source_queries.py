@@ -10,7 +10,7 @@ from fraudwatch.functions import labels
 from fraudwatch.operators import cleaning, keyed
 from fraudwatch.operators.ordering import global_rank
 from fraudwatch.session import new_path
-from fraudwatch.sources import corpus as C, mail, store
+from fraudwatch.sources import corpus as C, mail, store, versions
 
 KEEP = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "header": True}
 
@@ -147,6 +147,29 @@ def s6_write_store(spark, folder):
     return spark.read.parquet(path).select("email", "intercept_count")
 
 
+@query(
+    "s6_registry_versions",
+    f"WITH {REG} SELECT email, intercept_count + 1 + (intercept_count % 2) AS intercept_count, 3::BIGINT AS version, TRUE AS refused FROM reg",
+)
+def s6_registry_versions(spark, folder):
+    """Two edits of one version of the registry: the second is refused and made anew on what the first left."""
+    path, kind = new_path(spark, "versions"), schemas.MAILBOX
+    versions.commit_version(registry(spark, folder).select(*kind.names), path, 0)
+    version, rows = versions.read_version(spark, path, kind)
+    count = F.col("intercept_count")
+    odd = lambda now: now.withColumn("intercept_count", count + F.when(count % 2 == 1, 1).otherwise(0))
+    every = lambda now: now.withColumn("intercept_count", count + 1)
+    versions.commit_version(odd(rows), path, version)
+    try:
+        versions.commit_version(every(rows), path, version)
+        refused = False
+    except versions.Conflict:
+        refused = True
+    number = versions.edit_store(spark, path, kind, every)
+    done = versions.read_version(spark, path, kind)[1]
+    return done.select("email", "intercept_count", F.lit(number).cast("bigint").alias("version"), F.lit(refused).alias("refused"))
+
+
 @query(
     "s7_append_feedback",
     """SELECT replace(replace(text, chr(10), ' '), ',', '，') AS content, role AS label, '2024-01-30 00:00:00.000000' AS stamp

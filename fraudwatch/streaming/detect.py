@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from fraudwatch import fixed
 from fraudwatch.functions import labels
 from fraudwatch.operators.reports import fraud_type, report_id
-from fraudwatch.sources import mail
+from fraudwatch.sources import mail, versions
 
 
 # The processor of expiring keys travels with the job.
@@ -278,11 +278,61 @@ def counter_stream(counts: DataFrame, path: str, checkpoint: str, **trigger) ->
     return run_stream(counts, lambda df, batch: write_batch(df, path, batch, run), checkpoint, mode="update", **trigger)
 
 
+NEWEST = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("day", T.DateType()), T.StructField("type", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("upto", T.LongType()),
+])
+STORED = T.StructType([*NEWEST.fields[1:4], T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
+
+
+def _newest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest counter of each run, day and type.
+
+    Merged counters cover each run's batches up to one; only later batch folders are read.
+    """
+    _, merged = versions.read_version(spark, path + "-merged", NEWEST)
+    covered = {r["run_id"]: r["upto"] for r in merged.groupBy("run_id").agg(F.max("upto").alias("upto")).collect()}  # a row per stream
+    try:
+        stored = spark.read.schema(STORED).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], STORED)
+    for run, upto in covered.items():
+        stored = stored.where((F.col("run_id") != run) | (F.col("batch_id") > upto))
+    every = merged.unionByName(stored.withColumnRenamed("batch_id", "upto"))
+    return every.groupBy("run_id", "day", "type").agg(F.max_by("n", "upto").alias("n"))
+
+
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     """The newest counters of each stream, added up over the streams."""
-    stored = spark.read.parquet(path)
-    newest = stored.groupBy("run_id", "day", "type").agg(F.max_by("n", "batch_id").alias("n"))
-    return newest.groupBy("day", "type").agg(F.sum("n").alias("n"))
+    return _newest_counts(spark, path).groupBy("day", "type").agg(F.sum("n").alias("n"))
+
+
+def compact_counts(spark: SparkSession, path: str) -> int:
+    """Merge the counters of finished batches, so that reading them costs what happened since; how many folders went.
+
+    Safe beside running streams: each stream's last batch, which a retry would write
+    again, is left alone, and the merged counters count from the moment their version is
+    committed.  Of two that run at once, one is refused.
+    """
+    stored = spark.read.schema(STORED).parquet(path).select("run_id", "batch_id").distinct()
+    folders = [(r["run_id"], r["batch_id"]) for r in stored.collect()]  # a row per batch since the last time
+    last = {run: max(b for r, b in folders if r == run) for run, _ in folders}
+    done = [(run, batch) for run, batch in folders if batch < last[run]]
+    if not done:
+        return 0
+    version, merged = versions.read_version(spark, path + "-merged", NEWEST)
+    kept = spark.createDataFrame([(run, batch - 1) for run, batch in last.items()], "run_id string, edge bigint")
+    # Of each run, counters as they stood before its last batch; streams are few.
+    before = spark.read.schema(STORED).parquet(path).withColumnRenamed("batch_id", "upto").join(F.broadcast(kept), "run_id").where("upto <= edge").drop("edge")
+    every = merged.unionByName(before)
+    told = every.groupBy("run_id", "day", "type").agg(F.max_by("n", "upto").alias("n"))
+    edges = every.groupBy("run_id").agg(F.max("upto").alias("upto"))
+    versions.commit_version(told.join(F.broadcast(edges), "run_id").select(*NEWEST.names), path + "-merged", version)
+    for run, batch in done:
+        versions.drop_folder(spark, f"{path}/run_id={run}/batch_id={batch}")
+    return len(done)
 
 
 def quarantine(

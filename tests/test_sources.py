@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fraudwatch import schemas
 from fraudwatch.session import new_path
-from fraudwatch.sources import corpus, mail, store
+from fraudwatch.sources import corpus, mail, store, versions
 from tests.conftest import tuples
 
 ROWS = [("你好，世界", "0"), ('引号 " 和\n换行', "0"), ("NA", "1"), ("  留白 ", "1")]
@@ -184,3 +184,27 @@ def test_mail_times(one):
     for text in ("Tue, 30 Jan 2024 08:00:00 +0800", "30 Jan 2024 00:00:00 GMT", "Tue, 30 Jan 2024 08:00:00 +0800 (CST)"):
         assert one(mail_time(F.col("t")), t=text) == at
     assert one(mail_time(F.col("t")), t="yesterday") is None and one(mail_time(F.col("t")), t=None) is None
+
+
+def test_two_edits_of_one_version(spark):
+    """One is refused and nothing of it is seen; made anew on the newer version, both are there."""
+    path = new_path(spark, "registry")
+    kind = schemas.FEEDBACK
+    row = lambda text: spark.createDataFrame([(text, "x", dt.datetime(2024, 1, 1))], kind)
+    assert versions.read_version(spark, path, kind)[0] == 0 and versions.read_version(spark, path, kind)[1].count() == 0
+    assert versions.commit_version(row("a"), path, 0) == 1
+    version, rows = versions.read_version(spark, path, kind)
+    assert versions.commit_version(rows.unionByName(row("b")), path, version) == 2
+    with pytest.raises(versions.Conflict):
+        versions.commit_version(rows.unionByName(row("c")), path, version)
+    texts = lambda n=None: sorted(r["content"] for r in versions.read_version(spark, path, kind, n)[1].collect())
+    assert texts() == ["a", "b"] and texts(1) == ["a"]
+    met = []
+
+    def change(now):
+        if not met:
+            met.append(versions.commit_version(now.unionByName(row("d")), path, 2))  # another writer comes first
+        return now.unionByName(row("c"))
+
+    assert versions.edit_store(spark, path, kind, change) == 4
+    assert texts() == ["a", "b", "c", "d"] and texts(2) == ["a", "b"]

@@ -152,3 +152,21 @@ def test_mails_from_end_to_end(spark):
     assert stored.filter("claimed_at = TIMESTAMP '2001-01-02 00:00:00'").count() == 2
     assert stored.filter(F.col("timestamp") >= F.lit(began)).count() == 3
     assert spark.read.parquet(bad).count() == 1
+
+
+def test_merged_counters_read_few_files(spark):
+    """After many batches and a merge, the newest counters are the same and few files are left to read."""
+    out = new_path(spark, "counters")
+    rows = lambda n: spark.createDataFrame([(dt.date(2024, 1, 1), "x", n), (dt.date(2024, 1, 1 + n % 3), "y", n)], "day date, type string, n long").coalesce(1)
+    for batch in range(6):
+        for run in ("a", "b"):
+            detect.write_batch(rows(batch + 1), out, batch, run)
+    before = tuples(detect.latest_counts(spark, out))
+    assert detect.compact_counts(spark, out) == 10
+    assert tuples(detect.latest_counts(spark, out)) == before and len(spark.read.parquet(out).inputFiles()) == 2
+    detect.write_batch(rows(6), out, 5, "a")  # the last batch again
+    assert tuples(detect.latest_counts(spark, out)) == before
+    assert detect.compact_counts(spark, out) == 0
+    detect.write_batch(rows(9), out, 6, "a")
+    newest = tuples(detect.latest_counts(spark, out))
+    assert detect.compact_counts(spark, out) == 1 and tuples(detect.latest_counts(spark, out)) == newest != before
