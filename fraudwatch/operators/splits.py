@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fraudwatch.operators.ordering import global_rank
-from fraudwatch.session import broadcast_if_small, settle
+from fraudwatch.session import broadcast_if_small, is_small, settle
 
 
 def seeded_order(key: str, seed: int) -> list[Column]:
@@ -43,12 +43,14 @@ def sizes_of(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cuts(ranked: DataFrame, first: DataFrame, sizes: DataFrame, head: Column) -> DataFrame:
+def _cuts(ranked: DataFrame, first: DataFrame, sizes: DataFrame, head: Column, few: bool) -> DataFrame:
     """g, the order value of the head's last row, rows equal to it, and how many of those belong to the head."""
+    # At most one row per group, and the groups have been measured.
+    small = F.broadcast if few else (lambda df: df)
     wanted = sizes.select(F.col("g").alias("g1"), head.cast("bigint").alias("k"))
-    placed = first.join(wanted, F.col("g").eqNullSafe(F.col("g1")))
-    ends = broadcast_if_small(placed.where("k > 0").select("g1", (F.col("first") + F.col("k") - 1).alias("end")))
-    at = broadcast_if_small(ranked.join(ends, F.col("all") == F.col("end")).select("g1", F.col("o").alias("cut"), "end"))
+    placed = first.join(wanted, F.col("g").eqNullSafe(F.col("g1"))).where("k > 0")
+    ends = small(placed.select("g1", (F.col("first") + F.col("k") - 1).alias("end")))
+    at = small(ranked.join(ends, F.col("all") == F.col("end")).select("g1", F.col("o").alias("cut"), "end"))
     equal = ranked.join(at, F.col("g").eqNullSafe(F.col("g1")) & (F.col("o") == F.col("cut")))
     return equal.groupBy("g1", "cut", "end").agg(F.count(F.lit(1)).alias("equal"), (F.col("end") - F.min("all") + 1).alias("inside")).drop("end")
 
@@ -58,9 +60,10 @@ def _label(df: DataFrame, group: str, order: Column, sizes: DataFrame, heads: di
     slim = df.select(F.col(group).alias("g"), order.alias("o"))
     ranked = global_rank(slim, [F.col("g"), F.col("o")], "all")
     first = settle(ranked.groupBy("g").agg(F.min("all").alias("first")))
+    few = is_small(first)
     out = df.withColumn("_o", order)
     for flag, head in heads.items():
-        cut = broadcast_if_small(_cuts(ranked, first, sizes, head))
+        cut = broadcast_if_small(_cuts(ranked, first, sizes, head, few))
         joined = out.join(cut, F.col(group).eqNullSafe(F.col("g1")), "left")
         split_here = F.coalesce((F.col("_o") == F.col("cut")) & (F.col("inside") < F.col("equal")), F.lit(False))
         told = joined.withColumn(flag, F.coalesce(F.col("_o") <= F.col("cut"), F.lit(False)))

@@ -58,8 +58,12 @@ def settle(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 16 << 20
 
 
+def is_small(settled: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a settled table's rows, told as JSON, take few bytes."""
+    return (settled.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most
+
+
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A settled table, marked for broadcast if its measured bytes are few; beyond that the same join is shuffled."""
     settled = settle(df)
-    size = settled.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(settled) if size <= most else settled
+    return F.broadcast(settled) if is_small(settled, most) else settled

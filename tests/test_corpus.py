@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fraudwatch.functions import grams, labels, text
 from fraudwatch.operators import cleaning, splits
 from fraudwatch.plans import features
+from fraudwatch.session import new_path
 from tests.conftest import tuples
 
 texts = st.text(alphabet="ab 贷款😀\n　é", max_size=12)
@@ -110,6 +111,20 @@ def test_stratified_sizes(spark):
         assert abs(got[g, "test"] - 0.2 * size) <= 1
 
 
+def test_splits_do_not_move_the_texts(spark):
+    """Whatever the split, no exchange lies above the scan of the texts."""
+    rows = spark.range(500).selectExpr("id AS key", "int(id % 3) AS g", "concat('text ', id) AS content")
+    path = new_path(spark, "texts")
+    rows.write.parquet(path)
+    frame = spark.read.parquet(path)
+    for split in (splits.split_head, splits.split_tail, splits.split_gap, splits.split_stratified, splits.split_shuffled):
+        out = split(frame, "g", "key")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 1 and "SortMergeJoin" not in plan and "content" in plan
+        assert not any("Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line for line in plan.splitlines())
+        assert out.count() == 500
+
+
 def test_hot_group(spark):
     """A third of the rows in one group, with clustered keys."""
     hot = spark.range(40_000).selectExpr("0 AS g", "id AS key")
