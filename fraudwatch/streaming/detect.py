@@ -26,6 +26,8 @@ from fraudwatch.sources import mail, versions
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DAY_MS = 24 * 3600 * 1000
+#: Days of a batch up to which the archive's other days are not even listed.
+FEW_DAYS = 4
 
 
 def read_messages(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -157,12 +159,15 @@ def _known_ids(spark: SparkSession, path: str, days: list, run: str, batch: int)
         T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()),
     ])
     found = spark.createDataFrame([], schema)
-    for day in days:
+    # A batch of live mail has a day or two; one that catches up on many reads them in one listing.
+    folders = [f"{path}/report_date={day}" for day in days] if len(days) <= FEW_DAYS else [path]
+    for folder in folders:
         try:
-            found = found.unionByName(spark.read.schema(schema).option("basePath", path).parquet(f"{path}/report_date={day}"))
+            found = found.unionByName(spark.read.schema(schema).option("basePath", path).parquet(folder))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+    found = found.filter(F.col("report_date").isin(days))
     own = (F.col("run_id") == run) & (F.col("batch_id") == batch)
     return found.filter(~own).select("report_date", "id")
 
