@@ -92,17 +92,29 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write the rows as Parquet in one folder for each shard, ``shard=<bits>``; rows of a shard are written by one task.
+    """Write the rows as Parquet in one folder for each shard, ``shard=b<bits>``; rows of a shard are written by one task.
 
-    Copies of one row above the limit stay in one folder here.  A column named
+    Copies of one row that exceed the limit together are dealt to the folders
+    ``b<bits>+0``, ``b<bits>+1`` and so on, as ``shards`` names them.  A column named
     like the folder's is not kept.
     """
     sized = settle(_sized(docs))
-    leaves = directory(sized, limit)
-    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]
-    key = free_name(docs, "row_hash")
+    leaves = settle(directory(sized, limit))
+    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # 61 at most
+    key, page, turn, first, per = (free_name(docs, n) for n in ("row_hash", "row_page", "row_turn", "row_first", "row_per"))
     slim = sized.select("hash").distinct().withColumn("depth", F.explode(F.array(*(F.lit(d) for d in depths or [0]))))
     slim = slim.withColumn("prefix", F.expr(f"shiftright(hash, {BITS} - depth)")).join(leaves, ["depth", "prefix"])
-    named = slim.select(F.col("hash").alias(key), F.concat(F.lit("b"), F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))).alias("shard"))
-    rows = docs.drop("shard").withColumn(key, row_hash(F.col("doc_id"), F.col("text").cast("string"))).join(named, key).drop(key)
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    bits = F.concat(F.lit("b"), F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')")))
+    crowded = (F.col("shard_bytes") > limit) & (F.col("rows") > 1)
+    # Copies of one row are equally long; 0 where a shard has one page.
+    fit = F.when(crowded, F.greatest(F.floor(F.lit(limit) * F.col("rows") / F.col("shard_bytes")), F.lit(1))).otherwise(F.lit(0))
+    named = slim.select(F.col("hash").alias(key), bits.alias("shard"), fit.alias(per))
+    rows = docs.drop("shard").withColumn(key, row_hash(F.col("doc_id"), F.col("text").cast("string"))).join(named, key)
+    out = rows.where(F.col(per) == 0).drop(key, per)
+    if not leaves.where(crowded).isEmpty():
+        copies = rows.where(F.col(per) > 0).withColumn(turn, F.monotonically_increasing_id())
+        ranked = global_rank(copies, [F.col(key), F.col(turn)], page)
+        ranked = ranked.join(ranked.groupBy(key).agg(F.min(page).alias(first)), key)
+        number = F.floor((F.col(page) - F.col(first)) / F.col(per)).cast("string")
+        out = out.unionByName(ranked.withColumn("shard", F.concat("shard", F.lit("+"), number)).drop(key, per, page, turn, first))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -194,6 +194,17 @@ def test_written_shards(spark, documents, tmp_path):
     assert max(r["b"] for r in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()) <= 200
 
 
+def test_written_shards_of_copies(spark, documents, tmp_path):
+    """Copies of one row that exceed the limit go to pages that fit; other columns stay, whatever their names."""
+    rows = [(7, "copied text " * 4)] * 33 + [(i, "text " * (i % 7)) for i in range(20)] + [(None, None)] * 5
+    wide = documents(rows).withColumns({"row_hash": F.lit(1), "row_page": F.lit("p")})
+    sharding.write(wide, str(tmp_path / "out"), 200)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.row_hash, r.row_page) for r in back.collect()) == Counter((i, t, 1, "p") for i, t in rows)
+    sizes = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()
+    assert max(r["b"] for r in sizes) <= 200 and any("+" in r["shard"] for r in sizes)
+
+
 # --- lines -------------------------------------------------------------------------------------------------
 
 
