@@ -129,6 +129,63 @@ def test_html(spark, con):
         assert (got[i].url, got[i].text, got[i].n_chars) == (url, text, len(text))
 
 
+def test_quality_against_brute_force(spark, con):
+    """Cells, ratios, log weights, the cut on held-out labels and the Gumbel top k, recounted in plain Python."""
+    import xxhash
+
+    whole = (1 << 64) - 1
+    got = {r.doc_id: r for r in QUERIES["op7_quality_classifier"](spark, FOLDER).collect()}
+    docs = rows(con, "SELECT doc_id, coalesce(text, '') FROM documents")
+    told = quality.labelled(spark.read.parquet(f"{FOLDER}/labels.parquet")).collect()
+    good, held = {r.doc_id: r.good for r in told}, {r.doc_id for r in told if r.held}
+    assert good == {i: q > 0 for i, q in rows(con, "SELECT doc_id, min(quality) FROM labels GROUP BY doc_id")}
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * factor) & whole
+        return x ^ (x >> 33)
+
+    def cells(text):
+        words = re.findall(r"\w+|[^\w\s]+", text)
+        hashes = [xxhash.xxh3_64_intdigest(w.lower()) >> 3 for w in words]
+        place = lambda x: quality.SHAPES + (mixed(x) >> 20) % (quality.CELLS - quality.SHAPES)
+        pairs = [place((a * 0x9E3779B97F4A7C15 + b) & whole) for a, b in zip(hashes, hashes[1:])]
+        shapes = [quality.AGAIN if i and hashes[i] == hashes[i - 1] else quality.shape_of(w) for i, w in enumerate(words)]
+        two = [8 + 8 * a + b for a, b in zip(shapes, shapes[1:])]
+        three = [72 + 64 * a + 8 * b + c for a, b, c in zip(shapes, shapes[1:], shapes[2:])]
+        return Counter([place(h) for h in hashes] + pairs + shapes + two + three)
+
+    bags = {i: cells(t) for i, t in docs}
+    raw, target = Counter(), Counter()
+    for i, bag in bags.items():
+        raw.update(bag)
+        if good.get(i) and i not in held:
+            target.update(bag)
+    share = target.total() / raw.total()
+    ratio = {c: math.log(target[c] + quality.PRIOR) - math.log(n * share + quality.PRIOR) for c, n in raw.items()}
+    weight = {i: math.fsum(n * ratio[c] for c, n in bag.items()) for i, bag in bags.items()}
+    assert all(abs(got[i].log_weight - w) < 2e-6 for i, w in weight.items()) and len(got) == len(docs)
+
+    place = lambda w: math.floor(abs(math.asinh(w) * 50) + 0.5) * (1 if w >= 0 else -1)
+    judged = [(place(weight[i]), good[i]) for i in held if i in weight]
+    edges, wrong = sorted({b for b, _ in judged}), []
+    for edge in [*edges, math.inf]:
+        kept_bad = sum(b >= edge for b, g in judged if not g) / sum(not g for _, g in judged)
+        lost_good = sum(b < edge for b, g in judged if g) / sum(g for _, g in judged)
+        wrong.append(kept_bad + lost_good)
+    best = next(i for i, e in enumerate(wrong) if e <= min(wrong) + 1e-12)
+    above = edges[best] if best < len(edges) else edges[-1] + 1
+    cut = math.sinh((edges[best - 1] + above) / 2 / 50) if best else -math.inf
+    k = sum(w >= cut for w in weight.values())
+
+    def noisy(i, text):
+        bits = xxhash.xxh3_64_intdigest(f"{i}\n{text}", quality.SEED) >> 11
+        return weight[i] - math.log(-math.log((bits + 0.5) / 2**53))
+
+    least = sorted((noisy(i, t) for i, t in docs), reverse=True)[k - 1]
+    assert {i for i, r in got.items() if r.keep} == {i for i, t in docs if noisy(i, t) >= least - 1e-9} and 0 < k < len(docs)
+
+
 def test_quality_on_labels(spark, con):
     got = {r.doc_id: r.keep for r in QUERIES["op7_quality_classifier"](spark, FOLDER).collect()}
     good = dict(rows(con, "SELECT doc_id, min(quality) FROM labels GROUP BY doc_id"))
