@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -93,3 +94,27 @@ def test_packed_ids(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, stages[4].collect()))
+
+
+def test_odd_rows(spark, documents):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text and further columns pass every stage."""
+    long = " ".join(f"word{i % 977} and{i}" for i in range(60_000))
+    odd = [(1, None), (2, ""), (2, ""), (3, " \n\t"), (None, "a text without an id that is long enough to be one"), (4, long), (4, long), (5, "one")]
+    out = documents(odd, 4).withColumns({"line": F.lit(1), "kept_id": F.lit("x"), "part": F.lit(2)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, FOLDER)
+        assert out.columns == corpus_pipeline.COLUMNS
+    kept = out.collect()
+    assert {r.doc_id for r in kept} <= {1, 2, 3, 4, 5, None} and len(kept) == len({(r.doc_id, r.text) for r in kept})
+    pieces = corpus_pipeline.STAGES[-1][1](spark, out, FOLDER).collect()
+    covered = Counter()
+    for r in pieces:
+        covered[r.doc_id] += r.length
+    assert covered == {r.doc_id: r.doc_tokens for r in pieces} and set(covered) == {r.doc_id for r in kept}
+
+
+def test_no_rows(spark, documents):
+    out = documents([])
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, FOLDER)
+        assert out.collect() == []
