@@ -17,7 +17,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites."""
+    """All documents, without the lines that stand on many sites; null texts stay null, a document may be left empty."""
     return line_dedup.drop_boilerplate(docs).select(*COLUMNS)
 
 
@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two of tokens: their token ids, with their documents' ids."""
+    """Sequences of a power of two of tokens: their token ids, with their documents' ids; a null or empty text is its end id."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
