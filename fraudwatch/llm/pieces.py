@@ -12,6 +12,7 @@ first; the pass gives the same ids.
 """
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ shipped(__name__)
 
 #: The character that stands for a space.
 SPACE = "▁"
+NONE: dict = {}
 
 
 class Pieces:
@@ -48,9 +50,14 @@ class Pieces:
         self.rank = {piece: places[score] for piece, score in self.score.items() if len(piece) > 1}
         # What a piece can end with: no longer piece ends where the text so far does not.
         self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
-        self._follows: dict[tuple[str, str], bool] = {}
+        self._follows: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
         self._halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, bytes] = {}
+        # Whether a tail is a piece and its own encoding, as far as has been asked.
+        self.stands: dict[str, bool] = {}
+        # The last piece of a text's encoding, for texts that are the beginning of a run.
+        self.last: dict[str, str] = {"": ""}
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge makes a piece of several characters, or none if other merges come first.
@@ -81,12 +88,10 @@ class Pieces:
         would have merged across it if that merge comes before the ones undone; of two
         equal ranks the left one comes first.
         """
-        key = (left, right)
-        found = self._follows.get(key)
+        first, second = left, right
+        found = self._follows.get(left, NONE).get(right)
         if found is not None:
             return found
-        if len(self._follows) >= CACHE_WORDS:
-            self._follows.clear()
         rank, limit = self.rank, len(self.score) + 1
         while True:
             across = rank.get(left + right)
@@ -101,7 +106,11 @@ class Pieces:
             else:
                 found = True
                 break
-        self._follows[key] = found
+        self._pairs += 1
+        if self._pairs >= CACHE_WORDS:
+            self._follows.clear()
+            self._pairs = 0
+        self._follows.setdefault(first, {})[second] = found
         return found
 
     def whole(self, piece: str) -> bool:
@@ -159,6 +168,38 @@ def stream(pieces: Pieces, chars: Iterable[str]) -> Iterator[str]:
     yield from settle(len(window))
 
 
+def of_run(pieces: Pieces, run: str) -> list[str]:
+    """Pieces of a short run: the same pass, whose backpointers are shared by all runs that begin alike."""
+    last, tails, stands, follows, known = pieces.last, pieces.tails, pieces.stands, pieces.follows, pieces._follows
+    if len(last) >= CACHE_WORDS:
+        last.clear()
+        last[""] = ""
+    for n in range(1, len(run) + 1):
+        upto = run[:n]
+        if upto in last:
+            continue
+        for start in range(n - 1, -1, -1):
+            piece = run[start:n]
+            if start < n - 1:
+                if piece not in tails:
+                    break
+                own = stands.get(piece)
+                if own is None:
+                    own = stands[piece] = piece in pieces.rank and pieces.whole(piece)
+                if not own:
+                    continue
+            before = last[run[:start]]
+            fits = not before or known.get(before, NONE).get(piece)
+            if fits or (fits is None and follows(before, piece)):
+                last[upto] = piece  # one piece only can end a prefix
+                break
+    out, at = [], len(run)
+    while at:
+        out.append(last[run[:at]])
+        at -= len(out[-1])
+    return out[::-1]
+
+
 def ids_of(pieces: Pieces, parts: Iterable[str]) -> list[int]:
     """Ids of pieces; a character without a piece becomes its bytes."""
     out = []
@@ -176,7 +217,8 @@ def encode(pieces: Pieces, text: str) -> bytes:
 
     A space is put in front.  Runs that start with spaces and end before the next
     one are streamed on their own where no piece crosses that boundary, and
-    remembered.
+    remembered.  In a run shorter than the window nothing has to be given out early;
+    longer ones commit where their paths converge.
     """
     if not text:
         return b""
@@ -187,7 +229,8 @@ def encode(pieces: Pieces, text: str) -> bytes:
     for run in _runs(marked):
         found = known.get(run)
         if found is None:
-            found = np.array(ids_of(pieces, stream(pieces, run)), "<u4").tobytes()
+            parts = of_run(pieces, run) if len(run) < 2 * pieces.most else stream(pieces, run)
+            found = array("I", ids_of(pieces, parts)).tobytes()
             if len(run) <= 64:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
