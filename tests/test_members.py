@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F, types as T
 
+from fraudwatch.functions import grams
 from fraudwatch.operators import ensemble, evaluate, splits
-from fraudwatch.plans import boosting, members, vectors
+from fraudwatch.plans import boosting, linear, members, vectors
 from fraudwatch.session import new_path
 
 WORDS = {0: "明天开会记得带材料", 1: "公安局通知你涉嫌洗钱", 2: "低息贷款无需抵押", 3: "客服退款请点链接", 4: "我是领导急需转账"}
@@ -195,3 +198,44 @@ def test_a_member_that_does_not_load_is_left_out(spark, corpus):
     assert len(details) == 300 and all(d == ["presence"] for d in details)
     errors = detected.select(F.col("scores")[0]["error"].alias("e")).distinct().collect()
     assert len(errors) == 1 and errors[0]["e"]
+
+
+def test_presence_as_the_library_fits(spark):
+    """The compact fit takes the steps of Spark ML on the same hashed patterns; Spark's hash is the one used."""
+    numbers = [0, 1, -5, 2**40 + 17, 2**62]
+    hashed = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "x long").select(F.hash("x")).collect()]
+    assert linear.murmur(np.array(numbers)).tolist() == hashed
+    rng, buckets = np.random.default_rng(1), 1 << 17
+    rows = []
+    for key in range(400):
+        number, lean = int(rng.integers(0, 5)), int(rng.integers(0, 5))
+        letters = rng.choice(list("abcdef"), size=int(rng.integers(0, 12)), p=np.roll([0.4, 0.2, 0.1, 0.1, 0.1, 0.1], number if key % 3 else lean))
+        rows.append((key, "".join(letters), number, 5.0 if number == 0 else 1.0))
+    frame = spark.createDataFrame(rows, "k long, text string, class_id int, weight double").repartition(3)
+    stages = linear.fit(linear.blocks(frame, 2, 4, buckets), 4, buckets, 5)
+    ready = HashingTF(inputCol="g", outputCol="features", numFeatures=buckets, binary=True).transform(
+        frame.withColumn("g", grams.patterns(2, 4)(F.col("text")))).withColumns({"one": F.col("class_id") > 0, "two": F.col("class_id") - 1.0})
+    one = LogisticRegression(labelCol="one", weightCol="weight", maxIter=5).fit(ready.withColumn("one", F.col("one").cast("double")))
+    two = LogisticRegression(labelCol="two", family="multinomial", maxIter=5).fit(ready.where("class_id > 0"))
+    assert np.allclose(one.coefficients.toArray(), stages[0].weights[0], atol=1e-4) and np.isclose(one.intercept, stages[0].offsets[0], atol=1e-4)
+    theirs, own = two.coefficientMatrix.toArray(), stages[1].weights
+    assert np.allclose(theirs - theirs.mean(axis=0), own - own.mean(axis=0), atol=1e-4)
+
+
+def test_presence_holds_texts_in_blocks(spark, monkeypatch):
+    """Many long texts leave a task in blocks of bounded size, two bytes a bucket, every text in one of them."""
+    frame = spark.createDataFrame([(chr(65 + i % 26) * 3 + str(i) * (400 if i % 9 else 1), i % 5, 1.0) for i in range(3000)], "text string, class_id int, weight double").coalesce(1)
+    monkeypatch.setattr(linear, "BLOCK_ENTRIES", 2000)
+    monkeypatch.setattr(linear, "CHUNK", 1000)
+    told = linear.blocks(frame, 2, 4, 1 << 18).collect()
+    sizes = [len(r["place"]) // 2 for r in told]
+    assert sum(len(r["label"]) // 4 for r in told) == 3000 and max(sizes) < 2100 and len(told) > 10
+    assert sum(np.frombuffer(r["size"], np.int32).sum() for r in told) == sum(sizes)
+
+
+def test_presence_of_nothing(spark, corpus):
+    none = members.fit_presence(corpus.where("false"), "content", buckets=1 << 10, iterations=3)
+    normal = members.fit_presence(corpus.where("class_id = 0"), "content", buckets=1 << 10, iterations=3)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "天" * 5000)], "msg_key long, content string")
+    assert [0 <= r["prob"] <= 1 for r in none.score(odd).collect()] == [True] * 3
+    assert all(r["prob"] < 0.5 for r in normal.score(odd).collect())
