@@ -1,5 +1,7 @@
 """Source and sink queries (S): write, read back, compare with the table."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from fraudwatch import schemas
@@ -12,6 +14,8 @@ from fraudwatch.operators.ordering import global_rank
 from fraudwatch.session import new_path
 from fraudwatch.sources import corpus as C, mail, store, versions
 
+#: Bytes of text, about, that one task writes to a file.
+FILE_BYTES = 256 << 20
 KEEP = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "header": True}
 
 
@@ -62,12 +66,17 @@ def s2_route_encodings(spark, folder):
         SELECT place, md5(content) AS content_md5, CAST(msg_key AS VARCHAR) AS label FROM o""",
 )
 def s1_one_quoted_file(spark, folder):
-    """One CSV file, every text with line breaks, quotes and commas, read by many tasks in the order of the file."""
+    """A CSV file, every text with line breaks, quotes and commas, read by many tasks in the order of the file.
+
+    A corpus beyond FILE_BYTES is several such files, in order of their names.
+    """
     root = new_path(spark, "quoted")
-    rows = corpus(spark, folder).orderBy("msg_key")
+    rows = corpus(spark, folder)
+    size = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     text = F.concat(F.lit("\n"), "content", F.lit('\r\n"'), F.col("msg_key").cast("string"), F.lit('", \n'))
-    told = rows.select(text.alias("content"), F.col("msg_key").cast("string").alias("label"))
-    told.coalesce(1).write.options(**KEEP, quoteAll=True).csv(root)
+    dealt = rows.repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), "msg_key").sortWithinPartitions("msg_key")
+    told = dealt.select(text.alias("content"), F.col("msg_key").cast("string").alias("label"))
+    told.write.options(**KEEP, quoteAll=True).csv(root)
     loaded = C.load_corpus(spark, {root: 1})
     return global_rank(loaded, [F.asc("msg_key")], "place").select("place", F.md5("content").alias("content_md5"), "label")
 

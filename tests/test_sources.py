@@ -208,3 +208,20 @@ def test_two_edits_of_one_version(spark):
 
     assert versions.edit_store(spark, path, kind, change) == 4
     assert texts() == ["a", "b", "c", "d"] and texts(2) == ["a", "b"]
+
+
+def test_a_large_corpus_is_written_by_many_tasks(spark, monkeypatch):
+    """Beyond FILE_BYTES no task holds the whole corpus; the rows and their order stay those of one file."""
+    from pathlib import Path
+
+    from fraudwatch.catalog import source_queries
+    from tools.compare import compare, tables
+
+    roots, new_path = [], source_queries.new_path
+    monkeypatch.setattr(source_queries, "new_path", lambda *a: roots.append(new_path(*a)) or roots[-1])
+    monkeypatch.setattr(source_queries, "FILE_BYTES", 100_000)
+    folder = "/root/testdata/sf0.001"
+    count, same, note = compare(spark, tables(folder), folder, "s1_one_quoted_file")
+    sizes = [p.stat().st_size for p in Path(roots[0]).glob("*.csv")]
+    assert same and count, note
+    assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
