@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, hot keys and clashing column names."""
 
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -417,6 +418,21 @@ def test_template_inside_articles(spark):
     assert all(got[400 + i] == own(i) + ("\nRead more at Example Site" if i % 2 else "") for i in range(20))
 
 
+def test_slot_from_all_pages(spark):
+    """A line that most pages of a host share and a few lack does not move the slot, whichever pages are met first."""
+    page = "<html><body><div class='k1'><p>{1}</p></div><div class='k2'><div class='k3'><p>Text {0} is here.</p></div></div></body></html>"
+    usual = "A long line that stands on nearly all of the pages of this host and says nothing of any of them"
+    hashed = spark.range(200).orderBy(F.xxhash64("id", F.concat(F.lit("http://a.org/"), F.col("id").cast("string")))).collect()
+    odd = {r.id for r in hashed[1:9]}  # near each other in the order of hashes
+    rows = [(i, f"http://a.org/{i}", page.format(i, "x" if i in odd else usual)) for i in range(200)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    (told,) = html_text.wrappers(table).collect()
+    assert json.loads(told.wrapper)["slot"] == "/html/body/div.k2/div.k3"
+    assert html_text.induce([r[2] for r in rows[1:]])["slot"] == "/html/body/div.k2/div.k3"
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert got == {i: f"Text {i} is here." for i in range(200)}
+
+
 def test_tree_matching():
     blocks = lambda *paths: html_text.tree([(p, "x", False) for p in paths])
     a, b = blocks("/a/b", "/a/c", "/a/b/d", "/e"), blocks("/a/c", "/a/b/d", "/f")
