@@ -346,6 +346,42 @@ def test_wand_finds_what_all_scores_give():
         assert search.wand(index, [0, 7, 14, 21, 28, 35, 42, 49, 1], k, bar) == [x for x in got if x[0] >= bar]
 
 
+def test_wand_side_by_side():
+    """Rare terms summed by posting and frequent ones by table: queries side by side get what all scores give, in any order of postings."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        n = int(rng.integers(300, 1500))
+        bags = [rng.choice(n, size=int(rng.integers(1, n if t < 12 else n // 40 + 2)), replace=False) for t in range(60)]
+        terms, docs = np.repeat(np.arange(60) * 3, list(map(len, bags))), np.concatenate(bags)
+        impacts = np.repeat(rng.exponential(size=60), list(map(len, bags))) * rng.choice([1.0, 1.0, 2.5], size=len(docs))
+        order = rng.permutation(len(docs))
+        index, other = search.Index(terms, docs, impacts, n), search.Index(terms[order], docs[order], impacts[order], n)
+        assert 0 < index.table.shape[1] < 60
+        asked = [rng.choice(200, size=int(rng.integers(0, 150)), replace=False) for _ in range(9)]
+        bars = (rng.exponential(size=9) * rng.integers(0, 2, size=9)).tolist()
+        got = search.wand_all(index, asked, 10, bars)
+        assert got == search.wand_all(other, [x[::-1] for x in asked], 10, bars)
+        for query, bar, mine in zip(asked, bars, got):
+            scores = np.bincount(docs, weights=impacts * np.isin(terms, query), minlength=n)
+            want = sorted(((-round(s, 8), d) for d, s in enumerate(scores.tolist()) if s > 1e-6))[:10]
+            want = [(s, d) for s, d in want if -s >= bar]
+            assert np.allclose([s for s, _ in mine], [-s for s, _ in want], atol=1e-7) and len({d for _, d in mine}) == len(mine)
+            assert np.allclose([scores[d] for _, d in mine], [s for s, _ in mine], atol=1e-7)
+
+
+def test_search_lists_hold_counts_of_any_size(spark, documents):
+    """Batches are inverted once: term, place and count of every posting, two bytes each where they fit."""
+    docs = documents([(1, "a " * 70_000 + "b"), (2, None), (3, "b c b")])
+    told, seen = defaultdict(int), Counter()
+    for row in search.inverted(docs).collect():
+        runs = np.frombuffer(row["runs"], "<u4")
+        places, counts = (search.widen(row[x], int(runs.sum())) for x in ("places", "counts"))
+        for term, place, count in zip(np.repeat(np.frombuffer(row["terms"], np.int64), runs), places, counts.tolist()):
+            told[row["ids"][place], int(term)] += count
+        seen.update(row["ids"])
+    assert sorted(told.values()) == [1, 1, 2, 70_000] and seen == Counter([1, 2, 3])
+
+
 def test_search_cases(spark, documents):
     rows = [(0, "alpha beta"), (50, "alpha beta"), (51, "alpha beta"), (51, "alpha beta"), (None, "alpha beta"), (100, None), (150, ""), (7, "gamma " * 30)]
     docs = documents(rows).withColumn("term", F.lit(1)).withColumn("shard", F.lit(1))
