@@ -11,8 +11,9 @@ The stages, each a Spark job whose unit is a row or a bounded block:
    blocks of similar set size; blocks out of reach are never joined.
 4. Answers come in rounds.  A list first compares all its sets with one leader.
    Sets that join the leader join its component and so have their answer from it.
-   Sets around a leader form chunks; a set asks a chunk only if they share a list
-   and are in different components, and the smaller component asks the larger.
+   Sets of a component, or single ones around a leader, form chunks; a set asks a
+   chunk only if they share a list and are in different components, and the smaller
+   component asks the larger.
    A chunk's lists answer for all its sets at once, exactly.
 """
 
@@ -250,15 +251,21 @@ def _to_leaders(index: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def _members(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """sid, its component so far with its size, and its chunk: at most about CHUNK sets around one leader."""
+    """sid, its component so far with its size, and its chunk: at most about CHUNK sets of one component, or of single ones around a leader.
+
+    A component's leaders are dealt to as many shelves as its size asks for, so near
+    copies with a leader for every few sets do not make a chunk of each.
+    """
     comps = connected(known.where(_joins(percent)).select("a", "b"))
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     comps = comps.join(sizes, "comp").withColumnRenamed("node", "sid")
     rows = sets.select("sid").join(comps, "sid", "left").join(_pivots(known), "sid", "left")
     rows = rows.select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("pivot", "sid").alias("pivot"))
-    crowd = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    shelf = F.xxhash64("comp", F.pmod(F.xxhash64(F.lit("shelf"), "pivot"), F.ceil(F.col("size") / CHUNK)))
+    rows = rows.withColumn("shelf", F.when(F.col("size") > 1, shelf).otherwise(F.col("pivot")))
+    crowd = rows.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     part = F.pmod(F.xxhash64(F.lit("chunk"), "sid"), "chunks")
-    return rows.join(crowd, "pivot").select("sid", "comp", "size", F.xxhash64("pivot", part).alias("chunk"))
+    return rows.join(crowd, "shelf").select("sid", "comp", "size", F.xxhash64("shelf", part).alias("chunk"))
 
 
 def _open_chunks(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:

@@ -72,6 +72,29 @@ def test_join_of_one_large_group(spark, documents):
     assert sorted(map(tuple, jaccard_join.components(documents(rows, 8)).collect()), key=repr) == plain_components(rows)
 
 
+def test_chunks_of_near_copies_are_full(spark, documents, monkeypatch):
+    """Near copies around the threshold follow many leaders; their component still forms few chunks, and few sets ask them."""
+    rng = random.Random(16)
+    base, rows = text_of(rng, 150).split(), []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            words[rng.randrange(150)] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    seen, members = [], jaccard_join._members
+
+    def spied(*args):
+        seen.append(members(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard_join, "_members", spied)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 32)
+    assert sorted(map(tuple, jaccard_join.components(documents(rows, 8)).collect()), key=repr) == plain_components(rows)
+    chunks = seen[0].where("size > 1").groupBy("comp", "size").agg(F.countDistinct("chunk").alias("chunks"), F.count("sid").alias("sets")).collect()
+    assert max(r["size"] for r in chunks) > 5 * jaccard_join.CHUNK
+    assert all(r["chunks"] <= 2 * -(-r["size"] // jaccard_join.CHUNK) and r["sets"] == r["size"] for r in chunks)
+
+
 def test_join_of_nothing(spark, documents):
     assert jaccard_join.components(documents([])).collect() == []
     assert jaccard_join.components(documents([(1, None)])).collect() == [(1, 0, 1)]
