@@ -21,6 +21,8 @@ END_ID = 2
 KNOWN_RUNS = 1_200_000
 #: Sequences whose ids are widened at a time: at most 16 KB each.
 WIDENED_ROWS = 500
+#: Runs by which a vocabulary shows that its rules leave a-z as they are.
+PROBES = (b"a", b"s", b"the", b"qzxv", b"abcdefghijklmnopqrstuvwxyz")
 #: Marks that the vocabulary's rules always part from a letter before them.
 MARKS = b",.!?;:*$%&#+-=()[]{}|/\\\"<>@^_~`"
 
@@ -48,6 +50,8 @@ class Encoder:
     The vocabulary's own rules drop white space and never join what it parts, so
     each run between white space is encoded once and remembered.  A-Z are lowered
     first, as the vocabulary does; not where a text may name a special token.
+    Runs of a-z, nearly all there are, have nothing that the rules could part or
+    change: their merges are asked for directly.
     """
 
     def __init__(self, path: str):
@@ -55,6 +59,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.merges = self.tokenizer.model
+        self.direct = all(self._plain(w) == self._ids([w])[0] for w in PROBES)
+
+    def _ids(self, runs: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in runs], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _plain(self, run: bytes) -> bytes:
+        return array("I", [token.id for token in self.merges.tokenize(run.decode())]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         runs = [(raw if b"<|" in raw else raw.lower()).split() for raw in map(str.encode, texts)]
@@ -74,17 +87,21 @@ class Encoder:
         known, parted, parts = self.known, {}, set()
         for run in new:
             core = run.rstrip(MARKS)
-            if len(core) < len(run) and core and b"<|" not in run and core.decode().lower().isalpha():
+            if len(core) < len(run) and core and b"<|" not in run and (core.isalpha() or core.decode().lower().isalpha()):
                 parted[run] = core
                 parts.add(core)
                 parts.add(run[len(core) :])
             else:
                 parts.add(run)
-        todo = list(parts.difference(known))
+        todo = parts.difference(known)
+        if self.direct:
+            letters = {w for w in todo if w.isalpha() and w.islower()}  # ASCII only, as of bytes
+            known.update((w, self._plain(w)) for w in letters)
+            todo -= letters
+        todo = list(todo)
         for start in range(0, len(todo), 10_000):
             part = todo[start : start + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+            known.update(zip(part, self._ids(part)))
         known.update((w, known[core] + known[w[len(core) :]]) for w, core in parted.items())
 
 

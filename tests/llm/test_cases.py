@@ -345,6 +345,21 @@ def test_url_cases(spark):
     assert url_filter.judge(table.where("false")).collect() == []
 
 
+def test_letters_are_merged_directly():
+    """Runs of a-z ask the vocabulary's merges alone and get the library's ids; all others go through its rules."""
+    encode, texts = packing.Encoder(WORDS), ["Some wordlike runs, it's 12 x\u00e9 \u00c9a don't THE<|x", "qqzxv thethethe \u4f60\u597d!! A.b <|endoftext|> s t", ""]
+    library, asked = encode.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, runs, **options):
+            asked.extend(runs)
+            return library.encode_batch_fast(runs, **options)
+
+    encode.tokenizer = Spy()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not [w for w in asked if w.isascii() and w.isalpha() and w.islower()]
+
+
 # --- search ------------------------------------------------------------------------------------------------
 
 
