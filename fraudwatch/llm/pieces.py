@@ -26,6 +26,8 @@ shipped(__name__)
 #: The character that stands for a space.
 SPACE = "▁"
 NONE: dict = {}
+#: Runs whose ids a task remembers twice over (those met lately and those met before), and beginnings of runs: about 200 bytes each.
+KNOWN_RUNS, KNOWN_BEGINNINGS = 400_000, 600_000
 
 
 class Pieces:
@@ -53,7 +55,7 @@ class Pieces:
         self._follows: dict[str, dict[str, bool]] = {}
         self._pairs = 0
         self._halves: dict[str, tuple[str, str] | None] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = KnownRuns(self)
         # Whether a tail is a piece and its own encoding, as far as has been asked.
         self.stands: dict[str, bool] = {}
         # The last piece of a text's encoding, for texts that are the beginning of a run.
@@ -171,7 +173,7 @@ def stream(pieces: Pieces, chars: Iterable[str]) -> Iterator[str]:
 def of_run(pieces: Pieces, run: str) -> list[str]:
     """Pieces of a short run: the same pass, whose backpointers are shared by all runs that begin alike."""
     last, tails, stands, follows, known = pieces.last, pieces.tails, pieces.stands, pieces.follows, pieces._follows
-    if len(last) >= CACHE_WORDS:
+    if len(last) >= KNOWN_BEGINNINGS:
         last.clear()
         last[""] = ""
     for n in range(1, len(run) + 1):
@@ -200,6 +202,27 @@ def of_run(pieces: Pieces, run: str) -> list[str]:
     return out[::-1]
 
 
+class KnownRuns(dict):
+    """Ids of runs, made when first asked for.  Those met since the last change of halves outlive the next one."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.older.get(run)
+        if found is None:
+            pieces = self.pieces
+            parts = of_run(pieces, run) if len(run) < 2 * pieces.most else stream(pieces, run)
+            found = array("I", ids_of(pieces, parts)).tobytes()
+        if len(run) <= 64:
+            if len(self) >= KNOWN_RUNS:
+                self.older = dict(self)
+                self.clear()
+            self[run] = found
+        return found
+
+
 def ids_of(pieces: Pieces, parts: Iterable[str]) -> list[int]:
     """Ids of pieces; a character without a piece becomes its bytes."""
     out = []
@@ -225,22 +248,17 @@ def encode(pieces: Pieces, text: str) -> bytes:
     marked = SPACE + text.replace(" ", SPACE)
     if not pieces.spaces_first:
         return np.array(ids_of(pieces, stream(pieces, marked)), "<u4").tobytes()
-    out, known = [], pieces.known
-    for run in _runs(marked):
-        found = known.get(run)
-        if found is None:
-            parts = of_run(pieces, run) if len(run) < 2 * pieces.most else stream(pieces, run)
-            found = array("I", ids_of(pieces, parts)).tobytes()
-            if len(run) <= 64:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                known[run] = found
-        out.append(found)
-    return b"".join(out)
+    return b"".join(map(pieces.known.__getitem__, _runs(marked)))
 
 
-def _runs(marked: str) -> Iterator[str]:
+def _runs(marked: str) -> Iterable[str]:
     """Cut before every first space of a row of spaces."""
+    if SPACE + SPACE not in marked and marked[-1] != SPACE:
+        return [SPACE + word for word in marked.split(SPACE)[1:]]
+    return _spaced_runs(marked)
+
+
+def _spaced_runs(marked: str) -> Iterator[str]:
     spaces = ""
     for word in marked.split(SPACE)[1:]:
         spaces += SPACE

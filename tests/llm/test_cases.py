@@ -360,6 +360,19 @@ def test_letters_are_merged_directly():
     assert asked and not [w for w in asked if w.isascii() and w.isalpha() and w.islower()]
 
 
+def test_runs_met_before_are_remembered(monkeypatch):
+    """A full memory of runs is not lost at once, and gives the same ids whatever its size."""
+    words = [f"w{i}ord" for i in range(30)]
+    texts = [" ".join(words), "  a  b " + " ".join(words[::-1]), " ", "x" * 100 + " " + words[3], "end "]
+    want = [pieces.encode(pieces.Pieces(MODEL), t) for t in texts]
+    monkeypatch.setattr(pieces, "KNOWN_RUNS", 20)
+    small, runs, plain = pieces.Pieces(MODEL), [], pieces.of_run
+    monkeypatch.setattr(pieces, "of_run", lambda p, run: runs.append(run) or plain(p, run))
+    assert [pieces.encode(small, t) for t in texts] == want
+    assert len(small.known) <= 20 and len(small.known.older) <= 20
+    assert len(runs) < len(set(runs)) + 12
+
+
 # --- search ------------------------------------------------------------------------------------------------
 
 
