@@ -11,7 +11,7 @@ The stages, each a Spark job whose unit is a row or a bounded block:
    blocks of similar set size; blocks out of reach are never joined.
 4. Answers come in rounds.  A list first compares all its sets with one leader.
    Sets that join the leader join its component and so have their answer from it.
-   Sets of a component, or single ones around a leader, form chunks; a set asks a
+   Sets of a large component, or of small ones around a busy set, form chunks; a set asks a
    chunk only if they share a list and are in different components, and the smaller
    component asks the larger.
    A chunk's lists answer for all its sets at once, exactly.
@@ -35,7 +35,7 @@ PERCENT = 75
 #: Rounds of comparisons with leaders before what is left open.
 ROUNDS = 2
 #: Sets of a chunk, and sets that a task compares with a chunk.
-CHUNK, ASKING = 256, 1024
+CHUNK, ASKING = 1024, 256
 
 
 def shingle_set(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
@@ -251,20 +251,24 @@ def _to_leaders(index: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def _members(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """sid, its component so far with its size, and its chunk: at most about CHUNK sets of one component, or of single ones around a leader.
+    """sid, its component so far with its size, and its chunk: at most about CHUNK sets of one large component, or of small ones together.
 
-    A component's leaders are dealt to as many shelves as its size asks for, so near
-    copies with a leader for every few sets do not make a chunk of each.
+    A large component's leaders are dealt to as many shelves as its size asks for, so near
+    copies with a leader for every few sets do not make a chunk of each.  A component of
+    less than CHUNK sets goes as a whole to the shelf of the busiest set that it was
+    compared with, so sets just short of joining do not make a chunk of each either.
     """
     comps = connected(known.where(_joins(percent)).select("a", "b"))
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     comps = comps.join(sizes, "comp").withColumnRenamed("node", "sid")
-    rows = sets.select("sid").join(comps, "sid", "left").join(_pivots(known), "sid", "left")
-    rows = rows.select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("pivot", "sid").alias("pivot"))
-    shelf = F.xxhash64("comp", F.pmod(F.xxhash64(F.lit("shelf"), "pivot"), F.ceil(F.col("size") / CHUNK)))
-    rows = rows.withColumn("shelf", F.when(F.col("size") > 1, shelf).otherwise(F.col("pivot")))
+    rows = sets.select("sid").join(comps, "sid", "left").join(_pivots(known), "sid", "left").join(_busiest(known), "sid", "left")
+    rows = rows.select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("pivot", "sid").alias("pivot"), "busiest")
+    anchors = rows.where(F.col("size") < CHUNK).groupBy("comp").agg(F.coalesce(F.max("busiest")["met"], F.col("comp")).alias("anchor"))
+    rows = rows.join(anchors, "comp", "left")
+    large = F.xxhash64("comp", F.pmod(F.xxhash64(F.lit("shelf"), "pivot"), F.ceil(F.col("size") / CHUNK)))
+    rows = rows.withColumn("shelf", F.coalesce("anchor", large))
     crowd = rows.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    part = F.pmod(F.xxhash64(F.lit("chunk"), "sid"), "chunks")
+    part = F.pmod(F.xxhash64(F.lit("chunk"), F.when(F.col("anchor").isNull(), F.col("sid")).otherwise(F.col("comp"))), "chunks")
     return rows.join(crowd, "shelf").select("sid", "comp", "size", F.xxhash64("shelf", part).alias("chunk"))
 
 
@@ -359,6 +363,20 @@ def _pivots(known: DataFrame) -> DataFrame:
     return both.groupBy("sid").agg(F.min("p").alias("p")).select("sid", "p.pivot", "p.distance")
 
 
+def _busiest(known: DataFrame) -> DataFrame:
+    """For each compared set the busiest around it: of itself and those it was compared with the one that was compared most often.
+
+    The busiest around that one is taken, so the leaders of lists with much the same sets end at few of them.
+    """
+    both = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    often = both.groupBy(F.col("a").alias("met")).agg(F.count(F.lit(1)).alias("times"))
+    told = F.struct("times", "met").alias("told")
+    met = both.join(often, F.col("b") == F.col("met")).select(F.col("a").alias("sid"), told)
+    first = settle(met.unionByName(often.select(F.col("met").alias("sid"), told)).groupBy("sid").agg(F.max("told").alias("busiest")))
+    second = first.select(F.col("sid").alias("met"), F.col("busiest").alias("further"))
+    return first.join(second, F.col("busiest.met") == F.col("met")).select("sid", F.col("further").alias("busiest"))
+
+
 def set_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between different sets that together connect all sets that join.
 

@@ -95,6 +95,32 @@ def test_chunks_of_near_copies_are_full(spark, documents, monkeypatch):
     assert all(r["chunks"] <= 2 * -(-r["size"] // jaccard_join.CHUNK) and r["sets"] == r["size"] for r in chunks)
 
 
+def test_sets_just_short_of_joining_share_chunks(spark, documents, monkeypatch):
+    """Versions of one text that hardly ever join lie around many leaders; they still form few chunks, and few sets ask each of them."""
+    rng = random.Random(17)
+    base, rows = text_of(rng, 150).split(), []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([5, 6, 7])):
+            words[rng.randrange(150)] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(words)))
+    seen, asks = [], []
+
+    def spied(into, made):
+        def kept(*args):
+            into.append(made(*args))
+            return into[-1]
+
+        return kept
+
+    monkeypatch.setattr(jaccard_join, "_members", spied(seen, jaccard_join._members))
+    monkeypatch.setattr(jaccard_join, "_open_chunks", spied(asks, jaccard_join._open_chunks))
+    assert sorted(map(tuple, jaccard_join.components(documents(rows, 8)).collect()), key=repr) == plain_components(rows)
+    comps, chunks = (seen[0].select(c).distinct().count() for c in ("comp", "chunk"))
+    assert comps > 350 and chunks <= 60
+    assert asks[0].count() <= 25 * len(rows)
+
+
 def test_join_of_nothing(spark, documents):
     assert jaccard_join.components(documents([])).collect() == []
     assert jaccard_join.components(documents([(1, None)])).collect() == [(1, 0, 1)]
