@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import WordHashes, blocks, mix, shingle_hashes, shipped, small_batches, word_array
+from fraudwatch.llm.base import WordHashes, blocks, mix, shingle_hashes, shipped, small_batches, tidied, word_array
 from fraudwatch.llm.components import connected
 from fraudwatch.session import settle
 
@@ -36,6 +36,8 @@ PERCENT = 75
 ROUNDS = 2
 #: Sets of a chunk, and sets that a task compares with a chunk.
 CHUNK, ASKING = 1024, 256
+#: Slices, a power of two, in which a bucket's hashes are counted.
+SLICES = 8
 
 
 def shingle_set(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 names=["doc_id", "n_shingles", "sid"],
             )
 
-    return _slim(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, sid bigint")
+    return _slim(docs).mapInArrow(tidied(run), "doc_id bigint, n_shingles bigint, sid bigint")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -108,7 +110,37 @@ def _dealt(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 names=["bucket", "head", "hashes"],
             )
 
-    return _slim(docs).mapInArrow(run, "bucket int, head binary, hashes binary")
+    return _slim(docs).mapInArrow(tidied(run), "bucket int, head binary, hashes binary")
+
+
+def _shared(parts: list, heads: list, of: list, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice of a bucket's hashes, in order, those of two sets at least, with the set and the number of sets."""
+    found, owners = [], []
+    for (bucket, low), head, sets in zip(parts, heads, of):
+        here = np.flatnonzero(low[:, 5] // (256 // SLICES) == part)  # the highest byte
+        wide = np.zeros((len(here), 8), np.uint8)
+        wide[:, :6] = low[here]
+        found.append(wide.view("<u8").ravel() | np.uint64(bucket << 48))
+        owners.append(sets[np.searchsorted(np.cumsum(head[2]), here, "right")])
+    hashes, owner = np.concatenate(found), np.concatenate(owners)
+    # Most hashes stand alone: sort values only, then look closer at those that repeat.
+    values = np.sort(hashes)
+    twice = values[1:][values[1:] == values[:-1]]
+    if len(twice):
+        repeats = twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+        hashes, owner = hashes[repeats], owner[repeats]
+    else:
+        hashes, owner = hashes[:0], owner[:0]
+    order = np.lexsort((owner, hashes))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)  # a copy of a set repeats its (hash, set)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[fresh], owner[fresh]
+    starts = np.flatnonzero(np.append(np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]))
+    count = np.diff(np.append(starts, len(hashes)))
+    count = np.repeat(count, count)
+    shared = count > 1
+    return hashes[shared], owner[shared], count[shared]
 
 
 def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -121,37 +153,20 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
         heads, parts = [], []
         for batch in batches:
             for bucket, head, low in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "hashes"))):
-                wide = np.zeros((len(low) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-                parts.append(wide.view("<u8").ravel() | np.uint64(bucket << 48))
+                parts.append((bucket, np.frombuffer(low, np.uint8).reshape(-1, 6)))
                 heads.append(np.frombuffer(head, np.int64).reshape(3, -1))
         if not parts:
             return
-        head, hashes = np.concatenate(heads, axis=1), np.concatenate(parts)
-        del heads, parts
+        head = np.concatenate(heads, axis=1)
         sids, of = np.unique(head[0], return_inverse=True)
         size = np.zeros(len(sids), np.int64)
         size[of] = head[1]
-        owner = np.repeat(of.astype(np.int32), head[2])
-        # Most hashes stand alone: sort values only, then look closer at those that repeat.
-        values = np.sort(hashes)
-        twice = values[1:][values[1:] == values[:-1]]
-        del values
-        if not len(twice):
+        of = np.split(of.astype(np.int32), np.cumsum([h.shape[1] for h in heads])[:-1])
+        slices = [_shared(parts, heads, of, part) for part in range(SLICES)]
+        hashes, owner, count = (np.concatenate(x) for x in zip(*slices))
+        if not len(hashes):
             return
-        place = np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)
-        repeats = twice[place] == hashes
-        hashes, owner = hashes[repeats], owner[repeats]
-        order = np.lexsort((owner, hashes))
-        hashes, owner = hashes[order], owner[order]
-        fresh = np.ones(len(hashes), bool)  # a copy of a set repeats its (hash, set)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[fresh], owner[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        count = np.diff(np.append(starts, len(hashes)))
-        count = np.repeat(count, count)
-        shared = count > 1
-        hashes, owner, count = hashes[shared], owner[shared], count[shared]
+        del parts, slices
         dest = (mix(sids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[owner]
         order = np.lexsort((owner, dest))
         dest, hashes, owner, count = dest[order], hashes[order], owner[order], count[order]
@@ -169,7 +184,7 @@ def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
             [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "head", "hashes", "counts"]
         )
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "bucket int, head binary, hashes binary, counts binary")
+    return dealt.repartition(buckets, "bucket").mapInArrow(tidied(run), "bucket int, head binary, hashes binary, counts binary")
 
 
 def _ordered(counted: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -200,7 +215,7 @@ def _ordered(counted: DataFrame, percent: int, buckets: int) -> DataFrame:
                 names=["sid", "n", "hashes", "prefix"],
             )
 
-    return counted.repartition(buckets, "bucket").mapInArrow(run, "sid bigint, n bigint, hashes binary, prefix bigint")
+    return counted.repartition(buckets, "bucket").mapInArrow(tidied(run), "sid bigint, n bigint, hashes binary, prefix bigint")
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +242,7 @@ def _index(sets: DataFrame, percent: int) -> DataFrame:
                 names=["hash", "block", "sid", "n", "place"],
             )
 
-    return sets.mapInArrow(run, "hash bigint, block int, sid bigint, n bigint, place bigint")
+    return sets.mapInArrow(tidied(run), "hash bigint, block int, sid bigint, n bigint, place bigint")
 
 
 def _possible(percent: int):
@@ -347,7 +362,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"]
             )
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, common bigint")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidied(run), "a bigint, b bigint, na bigint, nb bigint, common bigint")
 
 
 def _joins(percent: int):

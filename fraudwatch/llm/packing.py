@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fraudwatch.llm.base import blocks, broadcast_if_small, kept, shipped, small_batches
+from fraudwatch.llm.base import blocks, broadcast_if_small, kept, shipped, small_batches, tidied
 from fraudwatch.session import settle
 
 shipped(__name__)
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(cut, PIECES)
+    return slim.mapInArrow(tidied(cut, keeps=True), PIECES)
 
 
 def widened(packed: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def widened(packed: DataFrame) -> DataFrame:
                 ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in told]
                 yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
 
-    return packed.mapInArrow(run, packed.schema)
+    return packed.mapInArrow(tidied(run, keeps=True), packed.schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, most: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:

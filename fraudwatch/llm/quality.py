@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fraudwatch.llm.base import CACHE_WORDS, WordHashes, blocks, mix, shipped, small_batches, word_array
+from fraudwatch.llm.base import CACHE_WORDS, WordHashes, blocks, mix, shipped, small_batches, tidied, word_array
 from fraudwatch.session import settle
 
 shipped(__name__)
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = CELLS) -> Model:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["cell", "raw", "target"])
 
-    counts = _marked(docs, labels).mapInArrow(run, "cell bigint, raw bigint, target bigint")
+    counts = _marked(docs, labels).mapInArrow(tidied(run), "cell bigint, raw bigint, target bigint")
     with small_batches(docs.sparkSession):
         found = counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(size), np.zeros(size)
@@ -150,7 +150,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "good", "held", "log_weight", "noisy"],
             )
 
-    return _marked(docs, labels).mapInArrow(run, "doc_id bigint, good boolean, held boolean, log_weight double, noisy double")
+    return _marked(docs, labels).mapInArrow(tidied(run), "doc_id bigint, good boolean, held boolean, log_weight double, noisy double")
 
 
 def cut_of(scored: DataFrame) -> float:
@@ -243,4 +243,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
             _, noisy = _weights(hashes, model, slim)
             yield batch.filter(pa.array([x >= least for x in noisy], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -2,14 +2,17 @@
 
 import json
 import random
+import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fraudwatch.llm import components, fingerprints, html_text, jaccard_join, line_dedup, packing, pieces, quality, search, sharding, url_filter
+from fraudwatch.llm import base, components, fingerprints, html_text, jaccard_join, line_dedup, packing, pieces, quality, search, sharding, url_filter
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -121,6 +124,43 @@ def test_sets_just_short_of_joining_share_chunks(spark, documents, monkeypatch):
     assert asks[0].count() <= 25 * len(rows)
 
 
+class OfOneTask:
+    """Stands for a table of one task: gives the function that the task runs."""
+
+    def select(self, *columns):
+        return self
+
+    def repartition(self, *by):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_counting_a_bucket_takes_little_memory(spark):
+    """A bucket's hashes are counted in slices, so the arrays beside them stay small."""
+    rng = random.Random(18)
+    texts = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(3000)) for _ in range(80)]
+    texts += [text.rpartition(" ")[0] for text in texts[:20]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    dealt = list(jaccard_join._dealt(OfOneTask(), 5, 1)(iter([batch])))
+    size = sum(len(x) for b in dealt for x in b.column("hashes").to_pylist())
+    tracemalloc.start()
+    found = list(jaccard_join._counted(OfOneTask(), 1)(iter(dealt)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x in found[0].column("hashes").to_pylist()) == 8 * 2 * 20 * 2995
+    assert peak < 6 * size, peak / size
+
+
+def test_stages_let_go_of_what_others_kept(spark):
+    base.kept(("told", 1), lambda: "large")
+    assert list(base.tidied(iter, keeps=True)(iter([1]))) == [1]
+    assert "fraudwatch_kept" in sys.modules
+    assert list(base.tidied(iter)(iter([1, 2]))) == [1, 2]
+    assert "fraudwatch_kept" not in sys.modules
+
+
 def test_join_of_nothing(spark, documents):
     assert jaccard_join.components(documents([])).collect() == []
     assert jaccard_join.components(documents([(1, None)])).collect() == [(1, 0, 1)]
