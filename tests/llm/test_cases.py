@@ -531,6 +531,34 @@ def test_search_asks_for_whole_texts(spark, documents, monkeypatch):
     assert ask() == got
 
 
+def test_search_takes_a_shard_in_pieces(spark, documents, monkeypatch):
+    """A task holds the index of a bounded piece of its shard, however much the shard got; the answers are those of the whole."""
+    rng = np.random.default_rng(3)
+    rows = [(i if i % 11 else None, " ".join(f"w{j}" for j in rng.integers(0, 60, int(rng.integers(1, 30))))) for i in range(400)]
+    docs = documents(rows).coalesce(1)
+    monkeypatch.setattr(base, "BLOCK_CHARS", 300)
+    lists = search.inverted(docs).drop("number").toArrow()
+    df, n, mean, parts = search.statistics(search.inverted(docs))
+    asked = search.queries_of(docs.where("doc_id % 50 < 9"), df, n).withColumn("block", F.lit(0))
+    block = {name: bytes(raw) for name, raw in search.packed(asked).drop("block").first().asDict().items()}
+    sizes, index = [], search._index
+
+    def spied(*given):
+        made = index(*given)
+        sizes.append(made[0].size)
+        return made
+
+    monkeypatch.setattr(search, "_index", spied)
+    tell = lambda: sorted(map(str, pa.Table.from_batches(search.answered(iter(lists.to_batches()), block, {}, mean, 5)).to_pylist()))
+    whole = tell()
+    assert sizes == [400] and len(whole) > 50 and lists.num_rows > 20
+    sizes.clear()
+    monkeypatch.setattr(search, "PIECE_WORDS", 500)
+    monkeypatch.setattr(search, "PIECE_DOCS", 40)
+    assert tell() == whole
+    assert max(sizes) <= 40 and sum(sizes) == 400 and parts == 1
+
+
 # --- pages -------------------------------------------------------------------------------------------------
 
 
