@@ -83,6 +83,37 @@ def test_tree_against_an_exhaustive_search():
     assert np.allclose(forest.raw(400, row, term, table[row, term])[:, 0], np.where(above, leaves[1], leaves[0]))
 
 
+def test_boosting_reads_all_rows_and_terms(spark):
+    """The trees of a pass are those that all rows give, each on its share of the terms, and the shares are all terms."""
+    rng = np.random.default_rng(7)
+    letters = [chr(0x4E00 + i) for i in range(40)]
+    rows = []
+    for key in range(5000):
+        kind = int(rng.integers(0, 3))
+        own = rng.choice(40, size=int(rng.integers(3, 15)), p=np.roll(np.linspace(1, 9, 40), 13 * kind) / 200)
+        rows.append((key, "".join(letters[i] for i in own), kind, 1.0 + 4.0 * (kind == 0)))
+    frame = spark.createDataFrame(rows, "key long, text string, label int, weight double")
+    terms = grams.Terms(letters, [1.0] * 40, 1, 1)
+    drawn = frame.select(F.xxhash64("key").alias("draw"), "text", "label", "weight")
+    few, many = (boosting.blocks(drawn.repartition(n), terms) for n in (1, 9))
+    assert few.agg(F.sum("rows")).first()[0] == many.agg(F.sum("rows")).first()[0] == 5000
+    forest, other = (boosting.fit(t, 3, 8, 2, 0.1, 40) for t in (few, many))
+    row, term, bin_ = boosting.entries([r[1] for r in rows], terms)
+    label, weight = (np.array([r[i] for r in rows]) for i in (2, 3))
+    share = np.bincount(label, weight) / weight.sum()
+    assert np.allclose(forest.base, np.log(share), atol=1e-6)
+    gradient, hessian = boosting.gradients(np.tile(np.array(forest.base), (5000, 1)), label, weight)
+    ((classes, found, cuts, leaves),) = forest.passes
+    looked = set()
+    for tree, (own, of) in enumerate(zip(classes.tolist(), (boosting.scrambled(np.arange(40), 0) * 8).astype(int)[None].repeat(24, 0))):
+        mine = of[term] == tree // 3
+        looked |= set(term[mine].tolist())
+        want = boosting.grow(row[mine], term[mine], bin_[mine], gradient[:, own], hessian[:, own], 2, 0.1)
+        assert own == tree % 3 and (found[tree] == want[0]).all() and (cuts[tree] == want[1]).all() and np.allclose(leaves[tree], want[2], atol=1e-5)
+    assert looked == set(range(40)) and (cuts < boosting.NO_CUT).sum() > 24
+    assert all((x == y).all() for x, y in zip(forest.passes[0], other.passes[0]))
+
+
 def test_open_labels(spark, corpus):
     """Seven text labels, trained, saved, loaded and named; rows without a label are left out."""
     kinds = ["正常", "刷单", "中奖", "校园贷", "杀猪盘", "退款", "冒充", None]
