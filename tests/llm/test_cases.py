@@ -619,3 +619,52 @@ def test_tree_matching():
     a, b = blocks("/a/b", "/a/c", "/a/b/d", "/e"), blocks("/a/c", "/a/b/d", "/f")
     assert html_text._score(a, b, {}) == 5  # root, a, c, b, d
     assert [(x.name, y.name) for x, y in html_text._pairs(a, b, {})] == [("a", "a")]
+
+
+def plain_matching(a, b):
+    """Simple tree matching by its definition: the number of common nodes, and the paired children."""
+    if a.name != b.name:
+        return 0, []
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y)[0])
+    i, j, out = len(a.kids), len(b.kids), []
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((a.kids[i], b.kids[j]))
+    return 1 + best[-1][-1], out[::-1]
+
+
+def test_tree_matching_of_any_size():
+    """Nodes with very many children are matched in order like others, and trees are matched to their full depth."""
+    rng = random.Random(11)
+    for _ in range(150):
+        roots = [html_text.tree([("/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 4))), "x", False) for _ in range(rng.randint(1, 25))]) for _ in range(2)]
+        score, pairs = plain_matching(*roots)
+        assert html_text._score(*roots, {}) == score and html_text._pairs(*roots, {}) == pairs
+    wide = lambda names: html_text.tree([(f"/{n}/{m}", "x", False) for n, m in names])
+    turns = [("ab"[i % 2], "cd"[i // 2 % 2]) for i in range(4000)]
+    a, b = wide(turns), wide(turns[1:] + turns[:1])
+    assert html_text._score(a, b, {}) == 1 + 2 * 3999
+    assert html_text._pairs(a, b, {}) == list(zip(a.kids[1:], b.kids))
+    deep = lambda last: html_text.tree([("/a" * 3000 + last, "x", False)])
+    assert html_text._score(deep("/b/c"), deep("/b/d"), {}) == 3002
+    assert len(html_text.aligned(deep("/b/c"), deep("/b/d"))) == 3002
+
+
+def test_slot_in_a_deep_page(spark):
+    """What varies far down in a page is told apart from what does not, also beyond sixty levels."""
+    low, top = "".join(f"<div class='q{i}'>" for i in range(70)), "</div>" * 70
+    page = f"<html><body>{low}<div class='k1'><p>{{1}}</p></div><div class='k2'><div><p>Text {{0}} is here, and it is long enough to be the story.</p></div></div>{top}</body></html>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, "Visits" if i % 20 else "odd")) for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    (told,) = html_text.wrappers(table).collect()
+    assert json.loads(told.wrapper)["slot"].endswith("/div.q69/div.k2/div")
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert got == {i: f"Text {i} is here, and it is long enough to be the story." for i in range(60)}
